@@ -161,3 +161,15 @@ def with_previous(df: DataFrame, group: str, seq: str, columns: list[str], block
     for c in columns:
         dealt = dealt.withColumn(f"prev_{c}", F.lag(c).over(w))
     return dealt.where("_own").drop("_block", "_own")
+
+
+def bounded_lists(rows: DataFrame, key: str, order: Order, columns: list[str], bound: int, name: str) -> DataFrame:
+    """Ordered list of structs per key. A key with more than `bound` rows gets no list and `<name>_over` = 1.
+
+    Only bound + 1 rows of a key are ever brought together, so a hot key cannot fill a task; it fails closed
+    instead of being cut.
+    """
+    top = top_per_key(rows.select(key, *dict.fromkeys([*[c for c, _ in order], *columns])), key, order, bound + 1, "_rank")
+    lists = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_rank", *columns))).alias(name))
+    over = F.size(name) > bound
+    return lists.select(key, F.when(~over, F.col(name)).alias(name), F.when(over, 1).otherwise(0).alias(f"{name}_over"))

@@ -102,8 +102,7 @@ def identity_counts(rows: DataFrame, columns: list[str], nullable: str) -> DataF
 
 def zero_filled(rows: DataFrame, column: str, known: tuple[str, ...]) -> DataFrame:
     """Histogram that lists every known status, also those without rows."""
-    spark = rows.sparkSession
-    dim = spark.createDataFrame([(k,) for k in known], f"{column} string")
+    dim = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in known])).alias(column))
     counts = rows.groupBy(column).agg(F.count("*").alias("n"))
     return dim.join(counts, column, "full_outer").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 

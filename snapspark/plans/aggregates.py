@@ -41,7 +41,7 @@ def _(a):
     count(c.drop_id) as chains, 0 as unsafe
   from (select drop_id from $drop_cards union select drop_id + 1000000000 from $moment_hidden_drops) d left join $chain_stats c on c.drop_id = d.drop_id group by d.drop_id""")
 def _(a):
-    asked = J.union_distinct(a.drop_cards.select("drop_id"), a.moment_hidden_drops.select(F.col("drop_id") + 1000000000))
+    asked = J.union_distinct(a.drop_cards.select("drop_id"), a.moment_hidden_drops.select((F.col("drop_id") + 1000000000).alias("drop_id")))
     return G.chain_projection(asked, a.chain_stats)
 
 
