@@ -411,4 +411,4 @@ def oracle(sql: str, extra: dict[str, str] | None = None) -> str:
     if not ordered:
         return main.strip()
     ctes = ",\n".join(f"{name} as ({body.strip()})" for name, body in ordered.items())
-    return f"with {ctes}\n{main.strip()}"
+    return f"with recursive {ctes}\n{main.strip()}"
