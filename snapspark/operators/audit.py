@@ -217,17 +217,19 @@ def manifest_consistency(manifest: DataFrame, records: DataFrame) -> DataFrame:
 def page_audit(pages: DataFrame, claims: DataFrame, nested_limit: int) -> DataFrame:
     """Raw pages (entity, page, rows array) against (entity, upper_bound, expected_rows).
 
-    A page is a bounded array, so order inside it is an array test; pages are chained by comparing each page's
-    first id with the last id of the page before it.
+    A page is a bounded array, so order inside it is an array test; pages are chained by comparing the smallest id
+    of each page with the largest id of the page before it.
     """
     ids = F.transform("rows", lambda r: r["id"])
     inner = F.exists(F.arrays_zip(F.slice(ids, 1, F.greatest(F.size(ids) - 1, F.lit(0))).alias("a"),
                                   F.slice(ids, 2, F.greatest(F.size(ids) - 1, F.lit(0))).alias("b")), lambda p: p["b"] <= p["a"])
     unsafe = F.exists("rows", lambda r: r["drops"].isNull() | (F.size(r["drops"]) >= nested_limit))
     facts = pages.select("entity", "page", F.size(ids).alias("n"), F.coalesce(inner, F.lit(False)).alias("_disorder"),
-                         F.try_element_at(ids, F.lit(1)).alias("first_id"), F.try_element_at(ids, F.lit(-1)).alias("last_id"),
+                         F.array_min(ids).alias("first_id"), F.array_max(ids).alias("last_id"),
                          F.coalesce(unsafe, F.lit(False)).alias("_unsafe"))
-    chained = O.with_previous(facts, "entity", "page", ["last_id", "page"])
+    # Page numbers may have holes, so the chain runs over their rank.
+    ranked = O.positions(facts, "entity", ["page"], "_seq")
+    chained = O.with_previous(ranked, "entity", "_seq", ["last_id", "page"])
     rules = R.reasons(
         ("order_invalid", F.col("_disorder") | F.coalesce(F.col("first_id") <= F.col("prev_last_id"), F.lit(False))),
         ("page_gap", F.coalesce(F.col("prev_page"), F.lit(0)) + 1 != F.col("page")),
