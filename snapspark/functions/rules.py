@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values ---------------------------------------------------------------------------------
@@ -185,25 +185,26 @@ def safe_url(col: Column, https_only: bool = False) -> Column:
     return F.when(ok, col)
 
 
-def resolve_image_url(col: Column, hosts: MediaHosts) -> Column:
-    """struct(url, code): the URL to fetch, or why it is refused; a known dead host is rewritten."""
-    host = F.lower(_url(col, "HOST"))
-    parsed = host.isNotNull() & (_url(col, "PROTOCOL").isNotNull())
-    plain = (
-        (F.lower(_url(col, "PROTOCOL")) == "https")
-        & _url(col, "USERINFO").isNull()
-        & ~F.coalesce(_url(col, "AUTHORITY").rlike(r":[0-9]+$"), F.lit(False))
+def with_image_url(df: DataFrame, column: str, hosts: MediaHosts) -> DataFrame:
+    """Add `url` (what to fetch) and `code` (OK, REWRITTEN, or why it is refused); a known dead host is rewritten."""
+    source = F.col(column)
+    parsed = (
+        df.withColumn("_scheme", F.lower(_url(source, "PROTOCOL")))
+        .withColumn("_host", F.lower(_url(source, "HOST")))
+        .withColumn("_user", _url(source, "USERINFO"))
+        .withColumn("_port", F.regexp_extract(F.coalesce(_url(source, "AUTHORITY"), F.lit("")), ":[0-9]+$", 0))
     )
-    bare = F.regexp_replace(col, "#.*$", "")
-    rewritten = F.regexp_replace(bare, r"^(?i)https://[^/?]+", f"https://{hosts.recovered_images}")
+    plain = (F.col("_scheme") == "https") & F.col("_host").isNotNull() & F.col("_user").isNull() & (F.col("_port") == "")
     code = (
-        F.when(~parsed | ~F.coalesce(plain, F.lit(False)), "INVALID_SOURCE_URL")
-        .when(host == hosts.dead_images, "REWRITTEN")
-        .when(~host.isin(*hosts.trusted_images), "SOURCE_HOST_NOT_ALLOWED")
+        F.when(~F.coalesce(plain, F.lit(False)), "INVALID_SOURCE_URL")
+        .when(F.col("_host") == hosts.dead_images, "REWRITTEN")
+        .when(~F.col("_host").isin(*hosts.trusted_images), "SOURCE_HOST_NOT_ALLOWED")
         .otherwise("OK")
     )
-    url = F.when(code == "REWRITTEN", rewritten).when(code == "OK", bare)
-    return F.struct(url.alias("url"), code.alias("code"), host.alias("host"))
+    bare = F.regexp_replace(source, "#.*$", "")
+    moved = F.regexp_replace(bare, "^(?i)https://[^/?]+", f"https://{hosts.recovered_images}")
+    url = F.when(F.col("code") == "REWRITTEN", moved).when(F.col("code") == "OK", bare)
+    return parsed.withColumn("code", code).withColumn("url", url).drop("_scheme", "_host", "_user", "_port")
 
 
 def gateway_label(url: Column, media_key: Column, hosts: MediaHosts) -> Column:
