@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 Order = Sequence[tuple[str, str]]  # (column, "asc" | "desc")
 
-_SAMPLE_ROWS = 4096  # upper bound on what split_points brings to the driver
-_MAX_PARTS = 200
+_FANOUT = 128  # cuts per level of the bucket search
+_MAX_PARTS = _FANOUT * _FANOUT
+_SAMPLE_PER_PART = 8  # at most _MAX_PARTS * _SAMPLE_PER_PART key tuples come to the driver
 
 
 def only(df: DataFrame, keys: DataFrame | None, on: str | list[str]) -> DataFrame:
@@ -71,32 +72,42 @@ def first_per_key(df: DataFrame, key: str | list[str], order: list[str], columns
 
 def split_points(df: DataFrame, columns: list[str], parts: int) -> list[tuple]:
     """Up to parts - 1 ordered cut tuples from a bounded uniform sample. Any cuts give right results."""
-    sample = (
-        df.select(*columns)
-        .orderBy(F.xxhash64(*columns))
-        .limit(_SAMPLE_ROWS)
-        .collect()
-    )
+    sample = df.select(*columns).orderBy(F.xxhash64(*columns)).limit(max(1024, parts * _SAMPLE_PER_PART)).collect()
     ordered = sorted({tuple(r) for r in sample if all(v is not None for v in r)})
     parts = min(parts, len(ordered))
     return [ordered[len(ordered) * i // parts] for i in range(1, parts)]
 
 
-def _bucket(columns: list[str], cuts: list[tuple]) -> Column:
-    """Number of cuts at or below the row, found by binary search inside one expression."""
-    def below(cut: tuple) -> Column:
-        out = F.lit(False)
-        for col, value in reversed(list(zip(columns, cut))):
-            out = (F.col(col) < F.lit(value)) | ((F.col(col) == F.lit(value)) & out)
-        return out
+def _before(columns: list[str], cut: tuple) -> Column:
+    out = F.lit(False)
+    for col, value in reversed(list(zip(columns, cut))):
+        out = (F.col(col) < F.lit(value)) | ((F.col(col) == F.lit(value)) & out)
+    return out
 
-    def search(lo: int, hi: int) -> Column:
+
+def _search(columns: list[str], cuts: list[tuple]) -> Column:
+    """Number of cuts at or below the row, by binary search inside one expression."""
+    def step(lo: int, hi: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(below(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+        return F.when(_before(columns, cuts[mid]), step(lo, mid)).otherwise(step(mid + 1, hi))
+
+    return step(0, len(cuts))
+
 
-    return search(0, len(cuts))
+def with_bucket(df: DataFrame, columns: list[str], cuts: list[tuple], name: str = "_bucket") -> DataFrame:
+    """Bucket of each row between the cuts. Many cuts are searched in two levels of at most 128 each."""
+    if len(cuts) < _FANOUT:
+        return df.withColumn(name, _search(columns, cuts))
+    width = -(-(len(cuts) + 1) // _FANOUT)
+    coarse = cuts[width - 1 :: width]
+    groups = [cuts[i * width : (i + 1) * width - 1] for i in range(len(coarse) + 1)]
+    literal = lambda cut: F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, cut)])
+    kind = df.select(F.struct(*columns)).schema.fields[0].dataType.simpleString()
+    table = F.array(*[F.array(*[literal(c) for c in g]).cast(f"array<{kind}>") for g in groups])
+    fine = F.size(F.filter(table[F.col("_coarse")], lambda c: c <= F.struct(*columns)))
+    return df.withColumn("_coarse", _search(columns, coarse)).withColumn(name, F.col("_coarse") * width + fine).drop("_coarse")
 
 
 def running_sums(
@@ -117,7 +128,7 @@ def running_sums(
     keys = [group, *order]
     cuts = split_points(df, keys, parts)
     cut_groups = sorted({c[0] for c in cuts})
-    rows = df.withColumn("_bucket", _bucket(keys, cuts))
+    rows = with_bucket(df, keys, cuts)
     for name, value in sums.items():
         rows = rows.withColumn(f"_in_{name}", value)
     w = W.partitionBy(group, "_bucket").orderBy(*order)

@@ -174,9 +174,9 @@ def journal(expected: DataFrame, loaded: DataFrame, key: str, fields: list[str])
 
 def journal_totals(loaded: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Journal row totals per table beside the tables' own counts."""
-    totals = loaded.groupBy("table_name").agg(F.sum("row_count").alias("journal_rows"))
-    counts = union_all(*[df.agg(F.count("*").alias("table_rows")).select(F.lit(n).alias("table_name"), "table_rows") for n, df in tables.items()])
-    both = totals.join(counts, "table_name", "full_outer").na.fill(0, ["journal_rows", "table_rows"])
+    logged = loaded.groupBy("table_name").agg(F.sum("row_count").alias("j"), F.lit(0).cast("bigint").alias("t"))
+    counts = [df.agg(F.lit(0).cast("bigint").alias("j"), F.count("*").alias("t")).select(F.lit(n).alias("table_name"), "j", "t") for n, df in tables.items()]
+    both = union_all(logged, *counts).groupBy("table_name").agg(F.sum("j").alias("journal_rows"), F.sum("t").alias("table_rows"))
     return both.withColumn("ok", R.flag(F.col("journal_rows") == F.col("table_rows")))
 
 

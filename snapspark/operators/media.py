@@ -98,8 +98,9 @@ def media_plan(media, moments, scope, gateways, hosts: R.MediaHosts) -> DataFram
 
     `scope` holds (moment_id, hidden) of moments linked to a drop.
     """
-    known = moments.select("moment_id", F.lit(1).alias("_moment"))
-    rows = media.join(known, "moment_id", "left").join(scope, "moment_id", "left")
+    # Facts per moment first: the media join them once, on a key that may be very uneven.
+    known = moments.select("moment_id", F.lit(1).alias("_moment")).join(scope, "moment_id", "left")
+    rows = media.join(known, "moment_id", "left")
     rows = rows.join(gateway_choices(gateways, hosts).select("media_key", "original", "originals"), "media_key", "left")
     eligibility = (
         F.when(F.col("_moment").isNull(), "orphan_media")
@@ -202,7 +203,9 @@ def alias_summary(media: DataFrame, members: DataFrame) -> DataFrame:
     heads = two.groupBy("source_hash").agg(
         F.max(F.when(F.col("_r") == 1, F.col("media_key"))).alias("_k1"), F.max(F.when(F.col("_r") == 2, F.col("media_key"))).alias("_k2"))
     own = members.select("media_key", F.lit(1).alias("_own"), R.flag(F.col("preserved_key").isNotNull()).alias("_own_preserved"))
-    rows = media.select("media_key", "source_hash").join(totals, "source_hash").join(heads, "source_hash").join(own, "media_key", "left")
+    # The media meet the per-digest facts in one last join, so AQE can split a digest that very many media share.
+    facts = totals.join(heads, "source_hash")
+    rows = media.select("media_key", "source_hash").join(own, "media_key", "left").join(facts, "source_hash")
     return rows.select(
         "media_key",
         "source_hash",

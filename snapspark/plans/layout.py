@@ -137,7 +137,7 @@ def _(a):
     path = scratch_path(a.spark, "export-csv")
     rows = export_rows(a)
     lines = rows.withColumn("line", X.csv_line(list(X.CSV_COLUMNS))).select("queried_address", "token_id", "source_uid", "line")
-    S.write_csv(lines, CSV_HEADER, path, "queried_address", ["token_id", "source_uid"], 8)
+    S.write_csv(lines, CSV_HEADER, path, "queried_address", ["token_id", "source_uid"], int(a.spark.conf.get("spark.sql.shuffle.partitions")))
     return S.read_csv_lines(a.spark, path, CSV_HEADER)
 
 

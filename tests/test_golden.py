@@ -118,7 +118,7 @@ def test_keyset_skips_null_keys(spark):
     assert [r.i for r in df.where(O.after((("k", "desc"), ("i", "asc")), (1, 5))).collect()] == [3]
 
 
-@pytest.mark.parametrize("parts", [1, 3, 16])
+@pytest.mark.parametrize("parts", [1, 3, 16, 300])
 def test_positions_of_a_hot_group(spark, parts):
     data = [("hot", f"{i:05d}") for i in range(3000)] + [(f"g{i % 40}", f"{i:05d}") for i in range(500)]
     random.Random(3).shuffle(data)
