@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import ordering as O
 from ..operators.audit import multiset_digest, violation
 from ..schemas import SCHEMAS
 
@@ -99,11 +98,12 @@ def write_csv(lines: DataFrame, header: str, path: str, owner: str, order: list[
     """Quoted CSV files with a byte order mark, a header in each file and CRLF line ends.
 
     `lines` has the owner, the order columns (sorted descending) and the finished `line`. Owners are dealt to
-    `files` files by hash in sections of 5,000 rows, so one large owner fills many files.
+    `files` files by hash; an owner with more than 5,000 rows is first dealt to as many sections, so that one large
+    owner fills many files.
     """
-    section = F.floor(F.col("_n") / 5_000)
-    numbered = O.positions(lines, owner, order, "_n")
-    dealt = numbered.withColumn("file", F.pmod(F.xxhash64(owner, section), F.lit(files))).withColumn("_row", F.lit(1))
+    sizes = lines.groupBy(owner).agg(F.ceil(F.count("*") / 5_000).alias("_sections"))
+    section = F.pmod(F.xxhash64(*order), F.col("_sections"))
+    dealt = lines.join(sizes, owner).withColumn("file", F.pmod(F.xxhash64(owner, section), F.lit(files))).withColumn("_row", F.lit(1)).drop("_sections")
     heads = lines.sparkSession.range(files).select(F.col("id").alias("file"), F.lit("﻿" + header).alias("line"), F.lit(0).alias("_row"))
     stacked = dealt.unionByName(heads, allowMissingColumns=True)
     keys = ["file", "_row", owner, *[F.col(c).desc() for c in order]]
