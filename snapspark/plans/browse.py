@@ -8,6 +8,7 @@ from ..domain import CATALOG_SNAPSHOT, COLLECTIONS_SNAPSHOT, MEDIA_BASE, MOMENTS
 from ..functions import ordering as O
 from ..functions import rules as R
 from ..operators import browse as B
+from ..operators.relations import collection_drop_union
 from .registry import query
 from .sqltext import CARD_KEY_OK, CLASS_SQL, PUBLIC_MEDIA
 
@@ -196,21 +197,29 @@ def _(a):
 
 @query("k06_collection_lists_pages", """
   select list, collection_id, id, drop_id, n as page_rank from (
-    select *, row_number() over (partition by list, collection_id order by id, drop_id) as n from (
-      select 'items' as list, collection_id, item_id::varchar as id, drop_id from $collection_items
-      union all select 'artist-drops', ar.collection_id, ad.artist_id, ad.drop_id from $collection_artist_drops ad join $collection_artists ar on ar.artist_id = ad.artist_id
-      union all select 'suggestions', collection_id, suggestion_id::varchar, drop_id from $suggested_drops where curation_status = 'approved') u) x
-  where n <= 48""")
+    select *, row_number() over (partition by list, collection_id order by k, id, drop_id) as n from (
+      select 'items' as list, collection_id, item_id::varchar as id, drop_id, item_id as k from $collection_items
+      union all select 'artist-drops', ar.collection_id, ad.artist_id, ad.drop_id, 0 from $collection_artist_drops ad join $collection_artists ar on ar.artist_id = ad.artist_id
+      union all select 'suggestions', collection_id, suggestion_id::varchar, drop_id, suggestion_id from $suggested_drops where curation_status = 'approved'
+      union all select 'drop-stats', collection_id, drop_id::varchar, drop_id, drop_id from $k06_union) u) x
+  where n <= 48""", {"k06_union": """select collection_id, drop_id from $collection_items
+    union select ar.collection_id, ad.drop_id from $collection_artist_drops ad join $collection_artists ar on ar.artist_id = ad.artist_id
+    union select collection_id, drop_id from $suggested_drops where curation_status = 'approved'"""})
 def _(a):
-    items = a.collection_items.select("collection_id", F.col("item_id").cast("string").alias("id"), "drop_id")
-    artist = a.collection_artist_drops.join(a.collection_artists.select("artist_id", "collection_id"), "artist_id").select(
-        "collection_id", F.col("artist_id").alias("id"), "drop_id")
-    approved = a.suggested_drops.where("curation_status = 'approved'").select(
-        "collection_id", F.col("suggestion_id").cast("string").alias("id"), "drop_id")
-    order = (("id", "asc"), ("drop_id", "asc"))
-    lists = {"items": items, "artist-drops": artist, "suggestions": approved}
-    parts = [O.top_per_key(df, "collection_id", order, 48, "page_rank").withColumn("list", F.lit(n)) for n, df in lists.items()]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    artist = a.collection_artist_drops.join(a.collection_artists.select("artist_id", "collection_id"), "artist_id")
+    approved = a.suggested_drops.where("curation_status = 'approved'")
+    union = collection_drop_union(a.collection_items, a.collection_artist_drops, a.collection_artists, a.suggested_drops)
+    lists = {
+        "items": (a.collection_items, "item_id", (("item_id", "asc"),)),
+        "artist-drops": (artist, "artist_id", (("artist_id", "asc"), ("drop_id", "asc"))),
+        "suggestions": (approved, "suggestion_id", (("suggestion_id", "asc"),)),
+        "drop-stats": (union, "drop_id", (("drop_id", "asc"),)),
+    }
+    parts = []
+    for name, (df, ident, order) in lists.items():
+        top = O.top_per_key(df, "collection_id", order, 48, "page_rank")
+        parts.append(top.select(F.lit(name).alias("list"), "collection_id", F.col(ident).cast("string").alias("id"), "drop_id", "page_rank"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("k07_moments_pages", """

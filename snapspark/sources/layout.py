@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..operators.audit import multiset_digest, violation
 from ..schemas import SCHEMAS
 
+SECTION_ROWS = 5_000  # fixed value: most rows of one owner in one exported file
+
 
 def scan(spark: SparkSession, path: str, columns: list[str], where: Column | str | None = None, order: list[str] | None = None) -> DataFrame:
     """Named columns of a Parquet table; filter and columns reach the scan."""
@@ -101,7 +103,7 @@ def write_csv(lines: DataFrame, header: str, path: str, owner: str, order: list[
     `files` files by hash; an owner with more than 5,000 rows is first dealt to as many sections, so that one large
     owner fills many files.
     """
-    sizes = lines.groupBy(owner).agg(F.ceil(F.count("*") / 5_000).alias("_sections"))
+    sizes = lines.groupBy(owner).agg(F.ceil(F.count("*") / SECTION_ROWS).alias("_sections"))
     section = F.pmod(F.xxhash64(*order), F.col("_sections"))
     dealt = lines.join(sizes, owner).withColumn("file", F.pmod(F.xxhash64(owner, section), F.lit(files))).withColumn("_row", F.lit(1)).drop("_sections")
     heads = lines.sparkSession.range(files).select(F.col("id").alias("file"), F.lit("﻿" + header).alias("line"), F.lit(0).alias("_row"))

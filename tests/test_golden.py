@@ -15,6 +15,7 @@ from snapspark.operators import media as M
 from snapspark.operators import publication as P
 from snapspark.operators import quality as Q
 from snapspark.operators import relations as J
+from snapspark.operators.exports import chunk_dataset
 
 
 def frame(spark, schema, *data):
@@ -225,3 +226,18 @@ def test_recovery_rules(spark):
     assert retry("oversize", None, None) is False
     assert one(spark, M.needs_recovery(F.lit("private_stored"), F.lit(1))) is True
     assert one(spark, M.needs_recovery(F.lit(None).cast("string"), F.lit(1))) is False
+
+
+def test_data_files_stay_below_the_target(spark):
+    import json
+
+    data = [("o", i, "x" * (i % 17)) for i in range(200)]
+    df = frame(spark, "owner string, i int, t string", *data)
+    files = {}
+    for r in chunk_dataset(df, "owner", ["i"], 100, 1000).orderBy("i").collect():
+        files.setdefault(r.chunk, []).append(json.dumps({"owner": r.owner, "i": r.i, "t": r.t}, separators=(",", ":")))
+    sizes = [len(",".join(f)) + 100 for f in files.values()]
+    assert max(sizes) < 1000
+    # Next-fit: the first record of each file would not have fitted the file before it.
+    starts = [f[0] for f in files.values()]
+    assert all(size + 1 + len(start) >= 1000 for size, start in zip(sizes, starts[1:]))
