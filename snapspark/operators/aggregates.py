@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
@@ -108,9 +109,12 @@ def zero_filled(rows: DataFrame, column: str, known: tuple[str, ...]) -> DataFra
 
 
 def holdings_by_month(tokens: DataFrame, owner: str) -> DataFrame:
-    """Per owner and UTC mint month; unknown months last."""
+    """Per owner and UTC mint month with the month's place: newest first, unknown last. The session zone must be UTC."""
     month = F.date_format(F.timestamp_seconds("minted_on"), "yyyy-MM")
-    return tokens.groupBy(owner, F.coalesce(month, F.lit("unknown")).alias("month")).agg(F.count("*").alias("n"))
+    counts = tokens.groupBy(owner, F.coalesce(month, F.lit("unknown")).alias("month")).agg(F.count("*").alias("n"))
+    # Only an owner's months reach this window, not their tokens.
+    order = W.partitionBy(owner).orderBy(F.col("month") == "unknown", F.col("month").desc())
+    return counts.withColumn("place", F.row_number().over(order))
 
 
 def url_coverage(references: DataFrame) -> DataFrame:

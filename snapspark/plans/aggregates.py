@@ -131,8 +131,9 @@ def _(a):
 
 
 @query("g16_holdings_by_month", """
+  select *, row_number() over (partition by owner order by month = 'unknown', month desc) as place from (
   select lower(owner_address) as owner, coalesce(strftime(to_timestamp(minted_on) at time zone 'UTC', '%Y-%m'), 'unknown') as month, count(*) as n
-  from $raw_tokens where regexp_matches(owner_address, '^0x[0-9a-fA-F]{40}$') group by 1, 2""")
+  from $raw_tokens where regexp_matches(owner_address, '^0x[0-9a-fA-F]{40}$') group by 1, 2) m""")
 def _(a):
     rows = a.raw_tokens.withColumn("owner", R.address(F.col("owner_address"))).where("owner is not null")
     return G.holdings_by_month(rows, "owner")
