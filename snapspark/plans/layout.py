@@ -16,7 +16,7 @@ from ..operators import quality as Q
 from ..operators import relations as J
 from ..session import scratch_path
 from ..sources import layout as S
-from .joins import LAYER_TABLES, layers
+from .joins import layers
 from .quality import SQL as QUALITY
 from .registry import ORACLES, query
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rules as R
 from ..operators import aggregates as G
 from ..operators import quality as Q
 from ..operators import relations as J

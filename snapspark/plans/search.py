@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import browse as B
-from ..operators import relations as J
 from ..operators import search as T
 from .registry import query
 
