@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontamination, exact_dedup, mixing, token_counts, url_filter
+from . import chat_windows, decontamination, exact_dedup, mixing, ngram_join, token_counts, url_filter
 from .common import read
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(read(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), columns=["doc_id"])
     ids = F.col("item_ids")
@@ -44,7 +48,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_decontamination, op6_token_counts, op7_chat_windows, op8_url_filter, op9_exact_dedup, op10_mixing)
+    f.__name__: f for f in (op1_ngram_join, op4_decontamination, op6_token_counts, op7_chat_windows, op8_url_filter, op9_exact_dedup, op10_mixing)
 }
 
 _LOWER = f"translate(coalesce(text, ''), '{decontamination.UPPER}', '{decontamination.LOWER}')"
