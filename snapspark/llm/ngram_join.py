@@ -216,6 +216,28 @@ def read_lists(threshold: tuple[int, int]):
     return run
 
 
+def _folded(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many bits two bitmaps differ, the longer one folded to the length of the other."""
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
+def _possible(threshold: tuple[int, int]):
+    """A task that keeps the pairs that the bitmaps don't rule out."""
+    num, den = threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("nx", "ny", "x", "y"))
+            keep = [_folded(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) <= (den - num) * (m + n) // (den + num) for m, n, x, y in zip(*columns)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def _chunk_pairs(threshold: tuple[int, int]):
     """A task over rows in order of (key, i, j): pairs of different components that the bitmaps don't rule out."""
     num, den = threshold
@@ -224,22 +246,15 @@ def _chunk_pairs(threshold: tuple[int, int]):
         i, j = group[0]["i"], group[0]["j"]
         left = [r for r in group if r["chunk"] == i]
         right = [r for r in group if r["chunk"] == j]
-        sizes = np.array([r["n"] for r in right])
-        comps = np.array([r["comp"] for r in right])
-        ids = np.array([r["row"] for r in right])
+        sizes, comps, ids = (np.array([r[c] for r in right]) for c in ("n", "comp", "row"))
         maps = [np.frombuffer(r["bitmap"], dtype=np.uint64) for r in right]
         for r in left:
             own = np.frombuffer(r["bitmap"], dtype=np.uint64)
             able = (comps != r["comp"]) & (den * np.minimum(sizes, r["n"]) >= num * np.maximum(sizes, r["n"]))
-            able &= (ids > r["row"]) if i == j else True
+            if i == j:
+                able &= ids > r["row"]
             for at in np.flatnonzero(able):
-                a, b = own, maps[at]
-                while len(a) > len(b):
-                    a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-                while len(b) > len(a):
-                    b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-                allowed = (den - num) * (r["n"] + int(sizes[at])) // (den + num)
-                if int(np.bitwise_count(a ^ b).sum()) <= allowed:
+                if _folded(own, maps[at]) <= (den - num) * (r["n"] + int(sizes[at])) // (den + num):
                     yield (r["row"], int(ids[at]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +323,7 @@ def _sets(width: int):
                 d2.append(b)
                 elements.append(found.tobytes())
                 held += found.nbytes
-                if held > 1 << 24:
+                if held > 1 << 22:
                     yield rows()
                     n, d1, d2, elements, held = [], [], [], [], 0
             if n:
@@ -333,6 +348,16 @@ def _asked(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.where(F.getbit(byte, (slot % 8).cast("int")) == 1)
 
 
+def _fetched(docs: DataFrame, members: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """(row, elements) of the sets in `pairs`, from the texts of their documents."""
+    rows = pairs.select(F.explode(F.array("a", "b")).alias("row")).dropDuplicates()
+    asked = stored(members.join(rows, "row", "left_semi").select("row", "doc_id", "n", "d1", "d2"), "asked")
+    whole = _asked(docs.select("doc_id", text_or_empty(docs).alias("text")), asked).select("text")
+    whole = whole.mapInArrow(_sets(width), "n long, d1 long, d2 long, elements binary")
+    whole = whole.groupBy("n", "d1", "d2").agg(F.first("elements").alias("elements"))
+    return stored(whole.join(asked, ["n", "d1", "d2"]).select("row", "elements"), "sets")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     x = sets.select(F.col("row").alias("a"), F.col("elements").alias("x"))
     y = sets.select(F.col("row").alias("b"), F.col("elements").alias("y"))
@@ -362,15 +387,10 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = TH
     ordered = postings.repartition("key").sortWithinPartitions("key", "n", "row")
     lists = stored(ordered.mapInArrow(read_lists(threshold), "key long, row long, n int, place long, center long, fits boolean"), "lists")
 
-    asked = members.where("row = node").join(lists.select("row").dropDuplicates(), "row", "left_semi")
-    asked = stored(asked.select("row", "doc_id", "n", "d1", "d2"), "asked")
-    whole = _asked(docs.select("doc_id", text_or_empty(docs).alias("text")), asked).select("text")
-    whole = whole.mapInArrow(_sets(width), "n long, d1 long, d2 long, elements binary")
-    whole = whole.groupBy("n", "d1", "d2").agg(F.first("elements").alias("elements"))
-    sets = stored(whole.join(asked, ["n", "d1", "d2"]).select("row", "elements"), "sets")
-
-    star = stored(lists.where("fits and row <> center").select(F.col("center").alias("a"), F.col("row").alias("b")).dropDuplicates(), "star")
-    near = stored(components(_verified(star, sets, threshold)), "components")
+    star = lists.where("fits and row <> center").select(F.col("center").alias("a"), F.col("row").alias("b")).dropDuplicates()
+    bitmap = lambda a, n, x: signed.select(F.col("row").alias(a), F.col("n").alias(n), F.col("bitmap").alias(x))
+    tried = stored(star.join(bitmap("a", "nx", "x"), "a").join(bitmap("b", "ny", "y"), "b").mapInArrow(_possible(threshold), "a long, b long"), "star")
+    near = stored(components(_verified(tried, _fetched(docs, members, tried, width), threshold)), "components")
 
     # Lists that still hold several components.
     scanned = lists.where(F.col("key").bitwiseAND(F.lit(63)) == 0).select("key", "row", "n", "place")
@@ -383,8 +403,9 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = TH
     spread = spread.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "row", "n", "comp", "bitmap")
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk")
     pairs = dealt.mapInArrow(_chunk_pairs(threshold), "a long, b long").dropDuplicates()
-    tried = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    far = _verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, threshold)
+    before = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = stored(pairs.join(before, ["a", "b"], "left_anti"), "pairs")
+    far = _verified(pairs, _fetched(docs, members, pairs, width), threshold)
     # Components of components.
     up = lambda name: near.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
     lifted = far.join(up("a"), "a", "left").join(up("b"), "b", "left")
