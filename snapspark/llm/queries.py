@@ -7,14 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontamination, exact_dedup, mixing, ngram_join, token_counts, url_filter
-from .common import read
+from . import chat_windows, decontamination, exact_dedup, mixing, ngram_join, token_counts, toxicity, url_filter
+from .common import fold, read
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = toxicity.tag(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), columns=["doc_id"])
+    return tagged.select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.size("spans").alias("n_spans"),
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), columns=["doc_id"])
     ids = F.col("item_ids")
@@ -48,7 +56,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op4_decontamination, op6_token_counts, op7_chat_windows, op8_url_filter, op9_exact_dedup, op10_mixing)
+    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op4_decontamination, op6_token_counts, op7_chat_windows, op8_url_filter, op9_exact_dedup, op10_mixing)
 }
 
 _LOWER = f"translate(coalesce(text, ''), '{decontamination.UPPER}', '{decontamination.LOWER}')"
