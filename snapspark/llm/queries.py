@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_windows, decontamination, exact_dedup, mixing, ngram_join, token_counts, toxicity, url_filter
+from . import brown_lm, chat_windows, decontamination, exact_dedup, mixing, ngram_join, quality, token_counts, toxicity, url_filter
 from .common import fold, read
 
 
@@ -23,6 +23,13 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.find(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), columns=["doc_id"])
     ids = F.col("item_ids")
@@ -32,6 +39,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score(read(spark, sf_dir, "documents"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(read(spark, sf_dir, "documents"))
 
@@ -56,7 +67,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_join, op2_toxicity, op4_decontamination, op6_token_counts, op7_chat_windows, op8_url_filter, op9_exact_dedup, op10_mixing)
+    f.__name__: f
+    for f in (
+        op1_ngram_join, op2_toxicity, op3_quality, op4_decontamination, op5_brown_lm,
+        op6_token_counts, op7_chat_windows, op8_url_filter, op9_exact_dedup, op10_mixing,
+    )
 }
 
 _LOWER = f"translate(coalesce(text, ''), '{decontamination.UPPER}', '{decontamination.LOWER}')"

@@ -29,7 +29,7 @@ from .words import LETTERS, Piece, scan
 FIT_ROWS = (3000, 1000)  # labelled documents that training takes at most: plain, toxic
 FIT_BYTES = 1 << 16  # a longer document is scored but not trained on
 SLOTS = 1 << 18
-LEAST_DOCS, LEAST_SHARE, LEAST_ODDS = 8, 0.03, 2.5  # toxic documents with a feature, and its log odds, that make it a mark
+LEAST_DOCS, LEAST_ODDS = 5, 1.0  # toxic documents with a feature, and its log odds less two standard errors, that make it a mark
 STEPS, RATE, RIDGE = 30, 0.5, 1e-4
 CHUNK_WORDS = 1 << 17  # words that training holds messages of at once
 
@@ -167,7 +167,8 @@ def label_tokens(slots: np.ndarray, bounds: np.ndarray, toxic: np.ndarray) -> np
         for kind in (0, 1):
             seen[kind] += np.bincount(flat[kinds == kind] % SLOTS, minlength=SLOTS)
     odds = np.log((seen[1] + 0.5) / (toxic.sum() + 1)) - np.log((seen[0] + 0.5) / ((~toxic).sum() + 1))
-    marks = (seen[1] >= max(LEAST_DOCS, LEAST_SHARE * toxic.sum())) & (odds >= LEAST_ODDS)
+    doubt = 2 * np.sqrt(1 / (seen[1] + 0.5) + 1 / (seen[0] + 0.5))
+    marks = (seen[1] >= LEAST_DOCS) & (odds - doubt >= LEAST_ODDS)
     return marks[slots].any(axis=1) & np.repeat(toxic, np.diff(bounds))
 
 
