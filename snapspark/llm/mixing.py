@@ -110,4 +110,4 @@ def draw(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST,
     facts = kept.select("doc_id", F.col("source").cast("string").alias("source"), words(text_or_empty(kept)).alias("size"), F.xxhash64("text").alias("tie"), F.col(row).alias("row"))
     taken = _ranked(stored(facts, "mix-facts"), weights, most, seed, band_rows, ["row"]).where("copies > 0").select(F.col("row").alias(row), "copies")
     joined = kept.join(taken, row)
-    return joined.select(*[kept[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias(copy))
+    return joined.select(*[kept[f"`{c}`"] for c in docs.columns], F.explode(F.sequence(F.lit(1), taken["copies"])).alias(copy))

@@ -13,11 +13,11 @@ first, and everything below works on one representative for each class.
 * The boundary is the largest size up to which enumerating subsets costs no more keys than a set's lists would, where
   a list entry stands for `LIST_COST` keys of scanning and checking.
 
-Members of a list are first linked to its smallest set, and such links are verified on the whole sets. Most groups of
-near copies become one component this way, with work in proportion to their size. What is left are lists that still
-hold several components: only there, pairs of different components are compared, long lists in blocks of `CHUNK`
-members, by parity bitmaps that can't rule out a pair that links; pairs that pass are verified on the whole sets. No
-partner is left out.
+Members of a list are first paired with its smallest set, one from its middle, and the next larger one; parity bitmaps,
+which can't rule out a pair that links, and then the whole sets decide on these pairs. Most groups of near copies become
+one component this way, with work in proportion to their size. Lists of up to three sets are done with that. Of longer
+ones that still hold several components, the pairs of different components are compared, in blocks of `CHUNK` members,
+by bitmaps and then by whole sets. No partner is left out.
 
 Shingles are 64-bit hashes of their words.
 """
@@ -179,7 +179,7 @@ def read_lists(threshold: tuple[int, int]):
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, start, center, center_n = None, 0, 0, 0  # the list in which the last batch ended
+        key, start, center, center_n, last = None, 0, 0, 0, 0  # the list in which the last batch ended
         waiting = None  # its first member, if it was the last row: whether it has company is not known yet
         for batch in batches:
             if not batch.num_rows:
@@ -201,7 +201,10 @@ def read_lists(threshold: tuple[int, int]):
             ends = np.concatenate([heads[1:], [len(keys)]])
             lone = (ends - heads == 1) & ~(going_on & (np.arange(len(heads)) == 0))
             waiting = (keys[-1], sizes[-1], rows[-1]) if lone[-1] else None
-            key, start, center, center_n = keys[-1], int(places[-1]) + 1, centers[-1], center_sizes[-1]
+            before = np.concatenate([[last if going_on else rows[0]], rows[:-1]])
+            before[heads[int(going_on):]] = rows[heads[int(going_on):]]
+            middle = rows[(heads + (ends - heads) // 2)[number]]  # of the part at hand
+            key, start, center, center_n, last = keys[-1], int(places[-1]) + 1, centers[-1], center_sizes[-1], rows[-1]
             keep = ~lone[number]
             common = keys & 63
             smallest, own = center_sizes[number], sizes
@@ -209,8 +212,8 @@ def read_lists(threshold: tuple[int, int]):
             fits = np.where(common > 0, den * common >= num * (smallest + own - common), den * smallest >= num * own)
             if keep.any():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[keep]) for x in (keys, rows, own, places.astype(np.int64), centers[number], fits)],
-                    names=["key", "row", "n", "place", "center", "fits"],
+                    [pa.array(x[keep]) for x in (keys, rows, own, places.astype(np.int64), centers[number], middle, before, fits)],
+                    names=["key", "row", "n", "place", "center", "middle", "before", "fits"],
                 )
 
     return run
@@ -385,16 +388,22 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = TH
     copies = members.where("row <> node").select("row")
     postings = filled.select("row", "n", "keys").join(copies, "row", "left_anti").select(F.explode("keys").alias("key"), "row", F.col("n").cast("int").alias("n"))
     ordered = postings.repartition("key").sortWithinPartitions("key", "n", "row")
-    lists = stored(ordered.mapInArrow(read_lists(threshold), "key long, row long, n int, place long, center long, fits boolean"), "lists")
+    lists = stored(ordered.mapInArrow(read_lists(threshold), "key long, row long, n int, place long, center long, middle long, before long, fits boolean"), "lists")
 
-    star = lists.where("fits and row <> center").select(F.col("center").alias("a"), F.col("row").alias("b")).dropDuplicates()
+    scanned = F.col("key").bitwiseAND(F.lit(63)) == 0
+    paired = F.when(scanned, F.array("center", "middle", "before")).otherwise(F.array("center"))
+    star = lists.where(scanned | F.col("fits")).select("row", F.explode(F.array_distinct(paired)).alias("to")).where("row <> to")
+    star = star.select(F.least("row", "to").alias("a"), F.greatest("row", "to").alias("b")).dropDuplicates()
     bitmap = lambda a, n, x: signed.select(F.col("row").alias(a), F.col("n").alias(n), F.col("bitmap").alias(x))
-    tried = stored(star.join(bitmap("a", "nx", "x"), "a").join(bitmap("b", "ny", "y"), "b").mapInArrow(_possible(threshold), "a long, b long"), "star")
+    alike = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
+    tried = star.join(bitmap("a", "nx", "x"), "a").join(bitmap("b", "ny", "y"), "b").where(alike)
+    tried = stored(tried.mapInArrow(_possible(threshold), "a long, b long"), "star")
     near = stored(components(_verified(tried, _fetched(docs, members, tried, width), threshold)), "components")
 
-    # Lists that still hold several components.
-    scanned = lists.where(F.col("key").bitwiseAND(F.lit(63)) == 0).select("key", "row", "n", "place")
-    known = scanned.join(near.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("component", "row"))
+    # Longer lists that still hold several components.
+    long = lists.where(scanned & (F.col("place") >= 3)).select("key").dropDuplicates()
+    members_of = lists.where(scanned).select("key", "row", "n", "place").join(long, "key", "left_semi")
+    known = members_of.join(near.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("component", "row"))
     known = stored(known.select("key", "row", "n", "place", "comp"), "known")
     mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("place").alias("last")).where("low <> high")
     chunk = F.floor(F.col("place") / CHUNK)
@@ -403,8 +412,7 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = TH
     spread = spread.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "row", "n", "comp", "bitmap")
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk")
     pairs = dealt.mapInArrow(_chunk_pairs(threshold), "a long, b long").dropDuplicates()
-    before = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = stored(pairs.join(before, ["a", "b"], "left_anti"), "pairs")
+    pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
     far = _verified(pairs, _fetched(docs, members, pairs, width), threshold)
     # Components of components.
     up = lambda name: near.select(F.col("node").alias(name), F.col("component").alias(f"c{name}"))
