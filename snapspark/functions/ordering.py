@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import written
+
 Order = Sequence[tuple[str, str]]  # (column, "asc" | "desc")
 
-_FANOUT = 128  # cuts per level of the bucket search
-_MAX_PARTS = _FANOUT * _FANOUT
-_SAMPLE_PER_PART = 8  # at most _MAX_PARTS * _SAMPLE_PER_PART key tuples come to the driver
+LIST_PART = 1000  # list values in one part of a document
 
 
 def only(df: DataFrame, keys: DataFrame | None, on: str | list[str]) -> DataFrame:
@@ -70,46 +70,6 @@ def first_per_key(df: DataFrame, key: str | list[str], order: list[str], columns
     return df.groupBy(*keys).agg(best).select(*keys, "_first.*")
 
 
-def split_points(df: DataFrame, columns: list[str], parts: int) -> list[tuple]:
-    """Up to parts - 1 ordered cut tuples from a bounded uniform sample. Any cuts give right results."""
-    sample = df.select(*columns).orderBy(F.xxhash64(*columns)).limit(max(1024, parts * _SAMPLE_PER_PART)).collect()
-    ordered = sorted({tuple(r) for r in sample if all(v is not None for v in r)})
-    parts = min(parts, len(ordered))
-    return [ordered[len(ordered) * i // parts] for i in range(1, parts)]
-
-
-def _before(columns: list[str], cut: tuple) -> Column:
-    out = F.lit(False)
-    for col, value in reversed(list(zip(columns, cut))):
-        out = (F.col(col) < F.lit(value)) | ((F.col(col) == F.lit(value)) & out)
-    return out
-
-
-def _search(columns: list[str], cuts: list[tuple]) -> Column:
-    """Number of cuts at or below the row, by binary search inside one expression."""
-    def step(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(_before(columns, cuts[mid]), step(lo, mid)).otherwise(step(mid + 1, hi))
-
-    return step(0, len(cuts))
-
-
-def with_bucket(df: DataFrame, columns: list[str], cuts: list[tuple], name: str = "_bucket") -> DataFrame:
-    """Bucket of each row between the cuts. Many cuts are searched in two levels of at most 128 each."""
-    if len(cuts) < _FANOUT:
-        return df.withColumn(name, _search(columns, cuts))
-    width = -(-(len(cuts) + 1) // _FANOUT)
-    coarse = cuts[width - 1 :: width]
-    groups = [cuts[i * width : (i + 1) * width - 1] for i in range(len(coarse) + 1)]
-    literal = lambda cut: F.struct(*[F.lit(v).alias(c) for c, v in zip(columns, cut)])
-    kind = df.select(F.struct(*columns)).schema.fields[0].dataType.simpleString()
-    table = F.array(*[F.array(*[literal(c) for c in g]).cast(f"array<{kind}>") for g in groups])
-    fine = F.size(F.filter(table[F.col("_coarse")], lambda c: c <= F.struct(*columns)))
-    return df.withColumn("_coarse", _search(columns, coarse)).withColumn(name, F.col("_coarse") * width + fine).drop("_coarse")
-
-
 def running_sums(
     df: DataFrame,
     group: str,
@@ -119,39 +79,22 @@ def running_sums(
 ) -> DataFrame:
     """Exclusive running sums per group in order, without putting a whole group into one task.
 
-    The rows are cut into ranges of (group, order). Only groups that cross a cut need the sums of their earlier
-    ranges, and there are fewer of them than cuts, so that side is bounded by the number of cuts and is broadcast.
-    Group and order columns must not be NULL; (group, order) must be unique.
+    The rows are dealt by range of (group, order) and written to the shared folder, so that their places hold. Sums inside
+    a range are joined with the totals of the same group in earlier ranges: one row for each group and range.
+    (group, order) should be unique; rows that tie get their places in no particular order.
     """
-    spark = df.sparkSession
-    parts = parts or min(_MAX_PARTS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [group, *order]
-    cuts = split_points(df, keys, parts)
-    cut_groups = sorted({c[0] for c in cuts})
-    rows = with_bucket(df, keys, cuts)
-    for name, value in sums.items():
-        rows = rows.withColumn(f"_in_{name}", value)
-    w = W.partitionBy(group, "_bucket").orderBy(*order)
-    before = w.rowsBetween(W.unboundedPreceding, -1)
-    out = rows
-    for name in sums:
-        out = out.withColumn(name, F.coalesce(F.sum(f"_in_{name}").over(before), F.lit(0)))
-    if cut_groups:
-        totals = (
-            rows.where(F.col(group).isin(cut_groups))
-            .groupBy(group, "_bucket")
-            .agg(*[F.sum(f"_in_{name}").alias(f"_t_{name}") for name in sums])
-        )
-        earlier = W.partitionBy(group).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-        offsets = totals.select(
-            group,
-            "_bucket",
-            *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}") for name in sums],
-        )
-        out = out.join(F.broadcast(offsets), [group, "_bucket"], "left")
-        for name in sums:
-            out = out.withColumn(name, F.col(name) + F.coalesce(F.col(f"_o_{name}"), F.lit(0)))
-    return out.select(*df.columns, *sums)
+    rows = df.select(*df.columns, *[value.alias(f"_in_{name}") for name, value in sums.items()])
+    ranged = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    ranged = written(ranged.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().alias("_place")), "ranges")
+    before = W.partitionBy("_range", group).orderBy("_place").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy("_of").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    totals = ranged.groupBy(F.col(group).alias("_of"), F.col("_range").alias("_at")).agg(*[F.sum(f"_in_{name}").alias(f"_t_{name}") for name in sums])
+    offsets = totals.select("_of", "_at", *[F.coalesce(F.sum(f"_t_{name}").over(earlier), F.lit(0)).alias(f"_o_{name}") for name in sums])
+    inside = ranged.select("*", *[F.coalesce(F.sum(f"_in_{name}").over(before), F.lit(0)).alias(f"_b_{name}") for name in sums])
+    joined = inside.join(offsets, inside[group].eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_at")))
+    return joined.select(*[inside[c] for c in df.columns], *[(F.col(f"_b_{name}") + F.col(f"_o_{name}")).alias(name) for name in sums])
 
 
 def positions(df: DataFrame, group: str, order: list[str], name: str = "position", parts: int | None = None) -> DataFrame:
@@ -174,13 +117,20 @@ def with_previous(df: DataFrame, group: str, seq: str, columns: list[str], block
     return dealt.where("_own").drop("_block", "_own")
 
 
-def bounded_lists(rows: DataFrame, key: str, order: Order, columns: list[str], bound: int, name: str) -> DataFrame:
-    """Ordered list of structs per key. A key with more than `bound` rows gets no list and `<name>_over` = 1.
+def list_parts(rows: DataFrame, key: str, order: Order, columns: list[str], name: str, size: int = LIST_PART) -> DataFrame:
+    """(key, part, list): the ordered structs of a key in numbered parts of at most `size`, so a key of any size is whole."""
+    rank = F.row_number().over(W.partitionBy(key).orderBy(*sort_columns(order)))
+    placed = rows.select(key, *dict.fromkeys([*[c for c, _ in order], *columns])).withColumn("_rank", rank)
+    dealt = placed.withColumn("part", F.floor((F.col("_rank") - 1) / size))
+    return dealt.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("_rank", *columns))).alias(name))
 
-    Only bound + 1 rows of a key are ever brought together, so a hot key cannot fill a task; it fails closed
-    instead of being cut.
-    """
-    top = top_per_key(rows.select(key, *dict.fromkeys([*[c for c, _ in order], *columns])), key, order, bound + 1, "_rank")
-    lists = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_rank", *columns))).alias(name))
-    over = F.size(name) > bound
-    return lists.select(key, F.when(~over, F.col(name)).alias(name), F.when(over, 1).otherwise(0).alias(f"{name}_over"))
+
+def with_lists(docs: DataFrame, key: str, lists: list[DataFrame]) -> DataFrame:
+    """Documents with their lists: part 0 has the columns of the document, further parts only its key and more of the lists."""
+    if "part" not in docs.columns:
+        docs = docs.withColumn("part", F.lit(0).cast("bigint"))
+    have = docs.select(key, "part")
+    more = reduce(DataFrame.unionByName, [one.where("part > 0").select(key, "part") for one in lists]).distinct()
+    more = more.join(have.select(key), key, "left_semi").join(have, [key, "part"], "left_anti")
+    spine = docs.unionByName(more, allowMissingColumns=True)
+    return reduce(lambda left, right: left.join(right, [key, "part"], "left"), lists, spine)

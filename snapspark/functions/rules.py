@@ -87,8 +87,18 @@ def reasons(*rules: tuple[str, Column]) -> Column:
     return F.array_compact(F.array(*[F.when(failed, F.lit(code)) for code, failed in rules]))
 
 
+def trimmed(col: Column) -> Column:
+    """Without white space at the ends, as text tools see it: tabs, line ends, no-break spaces and byte order marks too."""
+    return F.regexp_replace(col, r"^[\s\u00A0\uFEFF]+|[\s\u00A0\uFEFF]+$", "")
+
+
+def escaped(text: str) -> str:
+    """Text as a pattern that matches just itself."""
+    return "".join(c if c.isalnum() or c in "/_-" else f"\\{c}" for c in text)
+
+
 def address(col: Column, trim: bool = False) -> Column:
-    value = F.trim(col) if trim else col
+    value = trimmed(col) if trim else col
     return F.when(value.rlike(ADDRESS), F.lower(value))
 
 
@@ -147,7 +157,7 @@ def archive_artwork_key(key: Column, snapshot: str, drop_id: Column) -> Column:
 
 def content_addressed_key(key: Column, snapshot: str, space: str) -> Column:
     """The folder must be the digest prefix, the snapshot and family the expected ones."""
-    pattern = rf"^snapshots/{snapshot.replace('.', '[.]')}/{space}/sha256/([0-9a-f]{{2}})/\1[0-9a-f]{{62}}\.(png|jpg|gif|webp|avif)$"
+    pattern = rf"^snapshots/{escaped(snapshot)}/{space}/sha256/([0-9a-f]{{2}})/\1[0-9a-f]{{62}}\.(png|jpg|gif|webp|avif)$"
     return key.rlike(pattern)
 
 
@@ -169,19 +179,32 @@ def holding_artwork_url(base: str, key: Column, catalog: str, holdings: str, col
     return media_url(base, key, valid)
 
 
-def _url(col: Column, part: str) -> Column:
-    return F.try_parse_url(col, F.lit(part))
+#: Scheme, authority and the rest of a web URL; characters a host name can't have.
+_WEB_URL = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*):[/\\]{2}([^/\\?#]*)"
+_HOST = r"^([^\x00-\x20\x7F#/:<>?@\[\\\]^|%]+|\[[0-9A-Fa-f:.]+\])(:[0-9]{0,5})?$"
+
+
+def _scheme(col: Column) -> Column:
+    return F.lower(F.regexp_extract(col, _WEB_URL, 1))
+
+
+def _authority(col: Column) -> Column:
+    """Everything between the slashes and the path; empty when there is none."""
+    return F.regexp_extract(col, _WEB_URL, 2)
+
+
+def _host(col: Column) -> Column:
+    return F.lower(F.regexp_extract(_authority(col), _HOST, 1))
 
 
 def safe_url(col: Column, https_only: bool = False) -> Column:
-    """The URL when it is short, http(s) and free of credentials, else NULL; the text is not normalised."""
+    """The URL when it is short, http(s), with a host and free of credentials, else NULL; the text is not normalised.
+
+    Only scheme and authority decide: blanks, bars, percent signs and any script are fine behind the host, and underscores
+    and letters of any script inside it, as web browsers take them.
+    """
     schemes = ("https",) if https_only else ("http", "https")
-    ok = (
-        (F.length(col) <= MAX_URL_LENGTH)
-        & F.lower(_url(col, "PROTOCOL")).isin(*schemes)
-        & _url(col, "HOST").isNotNull()
-        & _url(col, "USERINFO").isNull()
-    )
+    ok = (F.length(col) <= MAX_URL_LENGTH) & _scheme(col).isin(*schemes) & (_host(col) != "")
     return F.when(ok, col)
 
 
@@ -189,12 +212,9 @@ def with_image_url(df: DataFrame, column: str, hosts: MediaHosts) -> DataFrame:
     """Add `url` (what to fetch) and `code` (OK, REWRITTEN, or why it is refused); a known dead host is rewritten."""
     source = F.col(column)
     parsed = (
-        df.withColumn("_scheme", F.lower(_url(source, "PROTOCOL")))
-        .withColumn("_host", F.lower(_url(source, "HOST")))
-        .withColumn("_user", _url(source, "USERINFO"))
-        .withColumn("_port", F.regexp_extract(F.coalesce(_url(source, "AUTHORITY"), F.lit("")), ":[0-9]+$", 0))
+        df.withColumn("_scheme", _scheme(source)).withColumn("_host", _host(source)).withColumn("_port", F.regexp_extract(_authority(source), ":[0-9]+$", 0))
     )
-    plain = (F.col("_scheme") == "https") & F.col("_host").isNotNull() & F.col("_user").isNull() & (F.col("_port") == "")
+    plain = (F.col("_scheme") == "https") & (F.col("_host") != "") & (F.col("_port") == "")
     code = (
         F.when(~F.coalesce(plain, F.lit(False)), "INVALID_SOURCE_URL")
         .when(F.col("_host") == hosts.dead_images, "REWRITTEN")
@@ -204,7 +224,7 @@ def with_image_url(df: DataFrame, column: str, hosts: MediaHosts) -> DataFrame:
     bare = F.regexp_replace(source, "#.*$", "")
     moved = F.regexp_replace(bare, "^(?i)https://[^/?]+", f"https://{hosts.recovered_images}")
     url = F.when(F.col("code") == "REWRITTEN", moved).when(F.col("code") == "OK", bare)
-    return parsed.withColumn("code", code).withColumn("url", url).drop("_scheme", "_host", "_user", "_port")
+    return parsed.withColumn("code", code).withColumn("url", url).drop("_scheme", "_host", "_port")
 
 
 def gateway_label(url: Column, media_key: Column, hosts: MediaHosts) -> Column:
@@ -213,7 +233,7 @@ def gateway_label(url: Column, media_key: Column, hosts: MediaHosts) -> Column:
         F.when(url == F.concat(F.lit(f"https://{hosts.original}/"), media_key), "original")
         .when(url == F.concat(F.lit(f"https://{hosts.thumbnail}/thumbnails/"), media_key, F.lit(".webp")), "thumbnail")
         .when(url == F.concat(F.lit(f"https://{hosts.hls}/"), media_key, F.lit("/"), media_key, F.lit(".m3u8")), "hls")
-        .when(url.rlike(rf"^https://{hosts.legacy}/[A-Za-z0-9._-]{{1,500}}$".replace(".example", "[.]example")), "legacy")
+        .when(url.rlike(rf"^https://{escaped(hosts.legacy)}/[A-Za-z0-9._-]{{1,500}}$"), "legacy")
         .otherwise("other")
     )
 

@@ -324,13 +324,13 @@ def artwork_actions(referenced: DataFrame, archive: DataFrame, seed: DataFrame,
 
 
 def legacy_twin(url: Column, hosts: ArtworkHosts) -> Column:
-    plain = url.rlike(rf"^https://{hosts.asset}(/[^?#]*)?$".replace(".", "[.]", 2))
+    plain = url.rlike(rf"^https://{R.escaped(hosts.asset)}(/[^?#]*)?$")
     return F.when(plain, F.concat(F.lit(f"https://{hosts.storage}{hosts.storage_prefix}"), F.regexp_extract(url, r"^https://[^/]+(.*)$", 1)))
 
 
 def canonical_source(url: Column, hosts: ArtworkHosts) -> Column:
-    asset, storage = hosts.asset.replace(".", "[.]"), hosts.storage.replace(".", "[.]")
-    return F.coalesce(url.rlike(rf"^https://({asset}(/[^?#@]*)?|{storage}{hosts.storage_prefix}/[^?#@]*)$"), F.lit(False))
+    asset, storage = R.escaped(hosts.asset), R.escaped(hosts.storage + hosts.storage_prefix)
+    return F.coalesce(url.rlike(rf"^https://({asset}(/[^?#@]*)?|{storage}/[^?#@]*)$"), F.lit(False))
 
 
 def source_candidates(raw_json: Column, source_url: Column, hosts: ArtworkHosts) -> Column:

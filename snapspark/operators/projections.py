@@ -84,7 +84,7 @@ def _field(source: Column, rule: str) -> tuple[Column, Column]:
     if rule == TEXT_NULL:
         return text, F.lit(False)
     if rule == TEXT_TRIM:
-        trimmed = F.trim(text)
+        trimmed = R.trimmed(text)
         return F.when(trimmed != "", trimmed), F.lit(False)
     if rule == LOWER:
         return F.lower(text), ~R.nonempty(text)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,10 +10,6 @@ from ..functions import rules as R
 from .aggregates import chain_key, preservation_state
 from .relations import union_all, union_distinct
 
-# Most relation rows one moment may carry; more is an error, never a cut list.
-BOUNDS = {"drops": 32, "collections": 1024, "media": 1024, "links": 64, "tags": 64, "capsules": 64}
-PROFILE_BOUND = 1024
-
 
 def drop_scope(moment_drops: DataFrame, hidden: DataFrame) -> DataFrame:
     """Linked moments with `hidden` = 1 when any linked drop is hidden; one combined pass over the bridge."""
@@ -107,45 +101,43 @@ def tagged_moments(tags: DataFrame, public: DataFrame, keys: DataFrame | None =
 
 
 def collection_profiles(details, urls, media, sections, artists, organizations) -> DataFrame:
-    """Collection documents: detail columns plus five ordered lists."""
-    key, bound = "collection_id", PROFILE_BOUND
+    """Collection documents: detail columns plus five ordered lists, in parts (`ordering.with_lists`)."""
+    key = "collection_id"
     safe = urls.withColumn("url", R.safe_url(F.col("url")))
     lists = [
-        O.bounded_lists(safe, key, (("url_id", "asc"),), ["url_id", "url"], bound, "urls"),
-        O.bounded_lists(media, key, (("role_rank", "asc"), ("role", "asc")), ["role", "object_key"], bound, "media"),
-        O.bounded_lists(sections, key, (("position", "asc"), ("section_id", "asc")), ["section_id", "name"], bound, "sections"),
-        O.bounded_lists(artists, key, (("artist_id", "asc"),), ["artist_id", "name"], bound, "artists"),
-        O.bounded_lists(organizations, key, (("organization_id", "asc"),), ["organization_id"], bound, "organizations"),
+        O.list_parts(safe, key, (("url_id", "asc"),), ["url_id", "url"], "urls"),
+        O.list_parts(media, key, (("role_rank", "asc"), ("role", "asc")), ["role", "object_key"], "media"),
+        O.list_parts(sections, key, (("position", "asc"), ("section_id", "asc")), ["section_id", "name"], "sections"),
+        O.list_parts(artists, key, (("artist_id", "asc"),), ["artist_id", "name"], "artists"),
+        O.list_parts(organizations, key, (("organization_id", "asc"),), ["organization_id"], "organizations"),
     ]
-    return reduce(lambda left, right: left.join(right, key, "left"), lists, details)
+    return O.with_lists(details, key, lists)
 
 
 def moment_summaries(public, counts, previews, moment_drops, pairs) -> DataFrame:
-    """Summary documents of public moments."""
+    """Summary documents of public moments, in parts."""
     key = "moment_id"
-    drops = O.bounded_lists(moment_drops, key, (("drop_id", "asc"),), ["drop_id"], BOUNDS["drops"], "drops")
-    collections = O.bounded_lists(pairs, key, (("collection_id", "asc"),), ["collection_id"], BOUNDS["collections"], "collections")
+    drops = O.list_parts(moment_drops, key, (("drop_id", "asc"),), ["drop_id"], "drops")
+    collections = O.list_parts(pairs, key, (("collection_id", "asc"),), ["collection_id"], "collections")
     preview = previews.select(key, F.col("media_key").alias("preview_key"))
     rows = public.join(counts, key, "left").na.fill(0, ["source_media_count", "media_count"])
     rows = rows.withColumn("media_state", preservation_state(F.col("source_media_count"), F.col("media_count")))
-    for side in (preview, drops, collections):
-        rows = rows.join(side, key, "left")
-    return rows
+    return O.with_lists(rows.join(preview, key, "left"), key, [drops, collections])
 
 
 def moment_details(summaries, public_media, links, tags, capsule_rows) -> DataFrame:
-    """Detail documents: summaries plus media, links, tags and capsules in order."""
+    """Detail documents: summaries plus media, links, tags and capsules in order, in parts."""
     key = "moment_id"
     media = public_media.where("moment_id is not null").withColumn("kind", R.media_kind(F.col("archive_content_type")))
     media_columns = ["media_key", "kind", "mime_type", "object_key", "byte_length", "duration_ms", "width", "height", "position"]
     safe_links = links.withColumn("url", R.safe_url(F.col("url"), https_only=True))
     sides = [
-        O.bounded_lists(media, key, (("position", "asc"), ("created_at", "asc"), ("media_key", "asc")), media_columns, BOUNDS["media"], "media"),
-        O.bounded_lists(safe_links, key, (("link_id", "asc"),), ["link_id", "url", "title"], BOUNDS["links"], "links"),
-        O.bounded_lists(tags, key, (("tag_id", "asc"),), ["tag_id", "address", "ens"], BOUNDS["tags"], "tags"),
-        O.bounded_lists(capsule_rows, key, (("capsule_id", "asc"),), ["capsule_id", "external_id", "title", "url"], BOUNDS["capsules"], "capsules"),
+        O.list_parts(media, key, (("position", "asc"), ("created_at", "asc"), ("media_key", "asc")), media_columns, "media"),
+        O.list_parts(safe_links, key, (("link_id", "asc"),), ["link_id", "url", "title"], "links"),
+        O.list_parts(tags, key, (("tag_id", "asc"),), ["tag_id", "address", "ens"], "tags"),
+        O.list_parts(capsule_rows, key, (("capsule_id", "asc"),), ["capsule_id", "external_id", "title", "url"], "capsules"),
     ]
-    return reduce(lambda left, right: left.join(right, key, "left"), sides, summaries)
+    return O.with_lists(summaries, key, sides)
 
 
 def drop_statistics(ids: DataFrame, cards: DataFrame, chains: DataFrame) -> DataFrame:

@@ -83,8 +83,9 @@ def _(a):
 
 
 @query("j05_recent_list_anti_join", """
-  select collection_id from $collections c where not exists (
-    select 1 from $collection_ui_settings u where u.collection_id = c.collection_id and u.is_visible_in_recent_list = 0)""")
+  select c.collection_id from $collections c
+  left join (select collection_id, min(is_visible_in_recent_list) as seen from $collection_ui_settings group by collection_id) u on u.collection_id = c.collection_id
+  where coalesce(u.seen, 1) <> 0""")
 def _(a):
     return B.public_collections(a.collections, a.collection_ui_settings).select("collection_id")
 

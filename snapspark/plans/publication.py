@@ -14,12 +14,15 @@ from .registry import query
 from .sqltext import CLASS_SQL, PUBLIC_MEDIA, SAFE_URL
 
 SQL = {
-    "public_moments": """select m.* from $moments m join $moment_visibility v on v.moment_id = m.moment_id and v.is_public = 1
-      where exists (select 1 from $moment_drops l where l.moment_id = m.moment_id)
-      and not exists (select 1 from $moment_drops l join $moment_hidden_drops h on h.drop_id = l.drop_id where l.moment_id = m.moment_id)
-      and not exists (select 1 from $moment_suppressions s where s.moment_id = m.moment_id and s.active = 1)""",
-    "public_capsules": """select c.* from $capsules c join $capsule_visibility v on v.capsule_id = c.capsule_id and v.is_public = 1
-      where not exists (select 1 from $capsule_suppressions s where s.capsule_id = c.capsule_id and s.active = 1)""",
+    "public_moments": """select m.* from $moments m
+      join (select moment_id, max(is_public) as shown from $moment_visibility group by moment_id) v on v.moment_id = m.moment_id
+      join (select l.moment_id, bool_or(h.drop_id is not null) as touches_hidden from $moment_drops l left join $moment_hidden_drops h on h.drop_id = l.drop_id group by l.moment_id) s on s.moment_id = m.moment_id
+      left join (select moment_id, bool_or(active = 1) as stopped from $moment_suppressions group by moment_id) x on x.moment_id = m.moment_id
+      where v.shown = 1 and not s.touches_hidden and not coalesce(x.stopped, false)""",
+    "public_capsules": """select c.* from $capsules c left join (
+        select capsule_id, max(shown) as shown, max(stopped) as stopped from (
+          select capsule_id, is_public as shown, 0 as stopped from $capsule_visibility union all select capsule_id, 0, active from $capsule_suppressions) r group by capsule_id) f
+      on f.capsule_id = c.capsule_id where f.shown = 1 and f.stopped <> 1""",
     "pairs": "select distinct m.moment_id, i.collection_id from $moment_drops m join $collection_items i on i.drop_id = m.drop_id",
     "pub_media": f"select * from $moment_media where {PUBLIC_MEDIA}",
     "tagged": "select distinct address_norm, moment_id from $moment_user_tags where moment_id in (select moment_id from $public_moments)",
@@ -120,7 +123,7 @@ def _(a):
 
 
 @query("b04_collection_profiles", f"""
-  select c.collection_id, c.title, coalesce(u.ids, '') as url_ids, coalesce(u.urls, '') as urls, coalesce(m.roles, '') as roles, coalesce(s.ids, '') as section_ids,
+  select c.collection_id, 0 as part, c.title, coalesce(u.ids, '') as url_ids, coalesce(u.urls, '') as urls, coalesce(m.roles, '') as roles, coalesce(s.ids, '') as section_ids,
     coalesce(ar.ids, '') as artist_ids, coalesce(o.ids, '') as organization_ids, f.featured_on
   from $collections c
   left join (select collection_id, string_agg(url_id::varchar, ',' order by url_id) as ids, string_agg(coalesce({SAFE_URL('url')}, ''), ',' order by url_id) as urls from $collection_urls group by 1) u on u.collection_id = c.collection_id
@@ -134,7 +137,7 @@ def _(a):
                                  a.collection_artists, a.collection_organizations)
     text = P.joined_text
     return docs.select(
-        "collection_id", "title", text("urls", "url_id").alias("url_ids"), text("urls", "url").alias("urls"), text("media", "role").alias("roles"),
+        "collection_id", "part", "title", text("urls", "url_id").alias("url_ids"), text("urls", "url").alias("urls"), text("media", "role").alias("roles"),
         text("sections", "section_id").alias("section_ids"), text("artists", "artist_id").alias("artist_ids"),
         text("organizations", "organization_id").alias("organization_ids"), "featured_on")
 
@@ -150,7 +153,7 @@ def moment_documents(a):
 
 
 @query("b05_moment_summaries", """
-  select p.moment_id, coalesce(c.n, 0) as source_media_count, coalesce(c.p, 0) as media_count,
+  select p.moment_id, 0 as part, coalesce(c.n, 0) as source_media_count, coalesce(c.p, 0) as media_count,
     case when c.n is null then 'none' when c.p = 0 then 'pending' when c.p < c.n then 'partial' else 'complete' end as media_state, v.media_key as preview_key,
     coalesce(d.ids, '') as drop_ids, coalesce(k.ids, '') as collection_ids
   from $public_moments p
@@ -159,12 +162,12 @@ def moment_documents(a):
   left join (select moment_id, string_agg(drop_id::varchar, ',' order by drop_id) as ids from $moment_drops group by moment_id) d on d.moment_id = p.moment_id
   left join (select moment_id, string_agg(collection_id::varchar, ',' order by collection_id) as ids from $pairs group by moment_id) k on k.moment_id = p.moment_id""", SQL)
 def _(a):
-    return summaries(a).select("moment_id", "source_media_count", "media_count", "media_state", "preview_key",
+    return summaries(a).select("moment_id", "part", "source_media_count", "media_count", "media_state", "preview_key",
                                P.joined_text("drops", "drop_id").alias("drop_ids"), P.joined_text("collections", "collection_id").alias("collection_ids"))
 
 
 @query("b06_moment_details", f"""
-  select p.moment_id, p.cid, coalesce(m.ids, '') as media_keys, coalesce(m.kinds, '') as kinds, coalesce(l.ids, '') as link_ids, coalesce(l.urls, '') as link_urls,
+  select p.moment_id, 0 as part, p.cid, coalesce(m.ids, '') as media_keys, coalesce(m.kinds, '') as kinds, coalesce(l.ids, '') as link_ids, coalesce(l.urls, '') as link_urls,
     coalesce(t.ids, '') as tag_addresses, coalesce(c.ids, '') as capsule_ids
   from $public_moments p
   left join (select moment_id, string_agg(media_key, ',' order by position, created_at, media_key) as ids, string_agg({KIND}, ',' order by position, created_at, media_key) as kinds from $pub_media group by 1) m on m.moment_id = p.moment_id
@@ -173,7 +176,7 @@ def _(a):
   left join (select moment_id, string_agg(capsule_id::varchar, ',' order by capsule_id) as ids from $capsule_moments where capsule_id in (select capsule_id from $public_capsules) group by 1) c on c.moment_id = p.moment_id""", SQL)
 def _(a):
     text = P.joined_text
-    return moment_documents(a).select("moment_id", "cid", text("media", "media_key").alias("media_keys"), text("media", "kind").alias("kinds"),
+    return moment_documents(a).select("moment_id", "part", "cid", text("media", "media_key").alias("media_keys"), text("media", "kind").alias("kinds"),
                                       text("links", "link_id").alias("link_ids"), text("links", "url").alias("link_urls"),
                                       text("tags", "address").alias("tag_addresses"), text("capsules", "capsule_id").alias("capsule_ids"))
 

@@ -136,10 +136,24 @@ def test_previous_row_across_blocks(spark):
     assert got == {i: (None if i == 0 else (i - 1) * 10) for i in range(50)}
 
 
-def test_bounded_lists_fail_closed(spark, rows):
-    df = frame(spark, "k int, v int", *[(1, i) for i in range(3)], *[(2, i) for i in range(4)])
-    got = {r.k: (None if r.vs is None else [v.v for v in r.vs], r.vs_over) for r in O.bounded_lists(df, "k", (("v", "asc"),), ["v"], 3, "vs").collect()}
-    assert got == {1: ([0, 1, 2], 0), 2: (None, 1)}
+def test_list_parts_keep_a_key_of_any_size_whole(spark):
+    df = frame(spark, "k int, v int", *[(1, i) for i in range(3)], *[(2, i) for i in range(5000)])
+    parts = O.list_parts(df, "k", (("v", "desc"),), ["v"], "vs").collect()
+    assert all(len(r.vs) <= O.LIST_PART for r in parts)
+    whole = {k: [v.v for r in sorted((r for r in parts if r.k == k), key=lambda r: r.part) for v in r.vs] for k in (1, 2)}
+    assert whole == {1: [2, 1, 0], 2: list(range(4999, -1, -1))}
+
+
+def test_documents_go_on_in_further_parts(spark):
+    docs = frame(spark, "k int, title string", (1, "one"), (2, "two"), (3, "three"))
+    tags = frame(spark, "k int, v int", *[(1, i) for i in range(7)], *[(2, i) for i in range(2)], *[(9, i) for i in range(9)])
+    links = frame(spark, "k int, v int", *[(1, i) for i in range(12)])
+    lists = [O.list_parts(t, "k", (("v", "asc"),), ["v"], name, 5) for t, name in ((tags, "tags"), (links, "links"))]
+    got = {(r.k, r.part): (r.title, [v.v for v in r.tags or []], [v.v for v in r.links or []]) for r in O.with_lists(docs, "k", lists).collect()}
+    assert got == {
+        (1, 0): ("one", [0, 1, 2, 3, 4], [0, 1, 2, 3, 4]), (1, 1): (None, [5, 6], [5, 6, 7, 8, 9]), (1, 2): (None, [], [10, 11]),
+        (2, 0): ("two", [0, 1], []), (3, 0): ("three", [], []),
+    }
 
 
 def greedy(sizes, cap, max_rows):
@@ -163,7 +177,7 @@ def test_packing_equals_the_sequential_rule(spark, cap, max_rows):
     got = {(r.g, r.i): r.chunk for r in C.pack(df, "g", ["i"], F.col("c"), cap, max_rows).collect()}
     want = {(g, i): c for g, sizes in groups.items() for i, c in enumerate(greedy(sizes, cap, max_rows))}
     assert {k: v for k, v in got.items() if k[0] != "bad"} == want
-    assert got[("bad", 0)] is None and C.oversized(df, "g", F.col("c"), cap).count() == 1
+    assert got[("bad", 0)] == 0 and got[("bad", 1)] is None and C.oversized(df, "g", F.col("c"), cap).count() == 1
 
 
 SIGNATURES = [
@@ -192,12 +206,32 @@ def test_object_keys(spark):
 
 @pytest.mark.parametrize("url,ok", [
     ("https://a.example/x", True), ("http://a.example", True), ("HTTPS://a.example/x", True), ("ftp://a.example/x", False), ("javascript:alert(1)", False),
-    ("https://u:p@a.example/", False), ("not a url", False), (None, False), ("https://a.example/" + "x" * 2048, False)])
+    ("https://u:p@a.example/", False), ("not a url", False), (None, False), ("https://a.example/" + "x" * 2048, False),
+    ("https://my_host.example.org/a", True), ("https://a.example.org/a b", True), ("https://a.example.org/a|b", True), ("https://a.example.org/%zz", True),
+    ("https://münchen.de/x", True), ("https://[2001:db8::1]:8080/x", True), ("https:///x", False), ("https://a b.example/x", False), ("https://:80/x", False),
+    ("https://a.example:80x/", False), ("https://@a.example/", False), ("https://a.example?x=u@b", True)])
 def test_safe_url(spark, url, ok):
     got = one(spark, R.safe_url(F.lit(url).cast("string")))
     assert (got == url) if ok else got is None
 
 
+def test_host_patterns_match_just_the_host(spark):
+    hosts = R.MediaHosts(legacy="files.media.a-b.org")
+    label = lambda url: one(spark, R.gateway_label(F.lit(url), F.lit("k"), hosts))
+    assert label("https://files.media.a-b.org/a") == "legacy"
+    assert label("https://filesXmediaXa-bXorg/a") == label("https://files.mediaXa-b.org/a") == "other"
+    own = M.ArtworkHosts(asset="one.two.three.four.org", storage="s.t.u.org", storage_prefix="/v.1")
+    canonical = lambda url: one(spark, M.canonical_source(F.lit(url), own))
+    assert canonical("https://one.two.three.four.org/x") and canonical("https://s.t.u.org/v.1/x")
+    assert not canonical("https://one.two.threeXfour.org/x") and not canonical("https://s.t.u.org/vX1/x")
+    twin = lambda url: one(spark, M.legacy_twin(F.lit(url), own))
+    assert twin("https://one.two.three.four.org/x") == "https://s.t.u.org/v.1/x" and twin("https://one.two.threeXfour.org/x") is None
+
+
+def test_trimmed(spark):
+    assert one(spark, R.trimmed(F.lit("\t\u00a0\ufeff a b \r\n"))) == "a b"
+
+
 def test_csv_cells(spark):
     for value, safe in (("=1+1", "'=1+1"), (" \t@x", "' \t@x"), ("a=b", "a=b"), (None, ""), ("-1", "'-1")):
         assert one(spark, R.csv_cell(F.lit(value).cast("string"))) == safe
