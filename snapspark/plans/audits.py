@@ -19,10 +19,17 @@ STATUS_KNOWN = "'pending', 'public_stored', 'private_stored', 'missing', 'quaran
 
 @query("d01_primary_keys", """
   select 'duplicate_key' as rule, 'raw_tokens' as entity, repeated_uid as key, count(*)::varchar as detail from $raw_tokens group by repeated_uid having count(*) > 1
-  union all select 'null_key', 'branding', 'null', count(*)::varchar from $moment_media where moment_id is null having count(*) > 0
-  union all select 'duplicate_key', 'branding', moment_id::varchar, count(*)::varchar from $moment_media where moment_id is not null group by moment_id having count(*) > 1""")
+  union all select 'null_key', 'moment_media_by_moment', 'null', count(*)::varchar from $moment_media where moment_id is null having count(*) > 0
+  union all select 'duplicate_key', 'moment_media_by_moment', moment_id::varchar, count(*)::varchar from $moment_media where moment_id is not null group by moment_id having count(*) > 1
+  union all select 'duplicate_key', 'moment_media', media_key, count(*)::varchar from $moment_media group by media_key having count(*) > 1
+  union all select 'duplicate_key', 'moments', moment_id::varchar, count(*)::varchar from $moments group by moment_id having count(*) > 1
+  union all select 'duplicate_key', 'collection_media', collection_id || ' ' || role, count(*)::varchar from $collection_media group by collection_id, role having count(*) > 1""")
 def _(a):
-    return D.primary_key(a.raw_tokens, ["repeated_uid"], "raw_tokens").unionByName(D.primary_key(a.moment_media, ["moment_id"], "branding"))
+    """The real keys of three tables, and two columns that are planted as keys and are none."""
+    found = D.primary_key(a.raw_tokens, ["repeated_uid"], "raw_tokens").unionByName(D.primary_key(a.moment_media, ["moment_id"], "moment_media_by_moment"))
+    for name, key in (("moment_media", ["media_key"]), ("moments", ["moment_id"]), ("collection_media", ["collection_id", "role"])):
+        found = found.unionByName(D.primary_key(getattr(a, name), key, name))
+    return found
 
 
 @query("d02_check_constraints", f"""

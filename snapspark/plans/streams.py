@@ -8,14 +8,12 @@ from ..session import scratch_path
 from ..streaming import loads as L
 from .registry import query
 
-FILES = 8
-
 
 def _files(rows, name, by):
-    """Write rows as a few files and open them as a stream of several batches."""
+    """Write rows as files, dealt by a column, and open them as a stream of several batches."""
     spark = rows.sparkSession
     path = scratch_path(spark, name)
-    rows.repartition(FILES, by).write.parquet(path)
+    rows.repartition(by).write.parquet(path)
     return path, rows.schema
 
 
@@ -27,25 +25,31 @@ SHARD = "'events-' || event_id % 8"
 
 
 @query("t01_shard_load", f"""
-  select {SHARD} as shard_path, case event_id % 8 when 7 then 'unknown' when 3 then 'changed' else 'loaded' end as verdict, count(*) as journal_rows,
-    case when event_id % 8 in (3, 7) then 0 else count(*) end as data_rows, 0 as added_by_second_run from events group by 1, 2, event_id % 8""")
+  select {SHARD} as shard_path, case event_id % 8 when 3 then 'changed' when 5 then 'changed' when 6 then 'partial' when 7 then 'unknown' else 'loaded' end as verdict,
+    count(*) as journal_rows, case when event_id % 8 in (3, 5, 6, 7) then 0 else count(*) end as data_rows, 0 as added_by_second_run from events group by 1, 2, event_id % 8
+  union all select 'events-none', 'missing', 0, 0, 0""")
 def _(a):
+    """Shards spread over all files: one with a row too many, one with another row than planned, one not complete, one not planned, one never sent."""
     spark = a.spark
     tag = F.concat(F.lit("events-"), (F.col("event_id") % 8).cast("string"))
-    rows = a.events.select("event_id", "user_id", "event_type", tag.alias("shard_path"))
-    path, schema = _files(rows, "events", "shard_path")
-    plan = rows.groupBy("shard_path").agg(F.count("*").alias("row_count")).where("shard_path <> 'events-7'")
-    plan = plan.withColumn("row_count", F.col("row_count") + F.when(F.col("shard_path") == "events-3", 1).otherwise(0))
-    data, journal, checkpoint = (scratch_path(spark, n) for n in ("load-data", "load-journal", "load-checkpoint"))
-    L.load_shards(_stream(spark, path, schema), plan, data, journal, checkpoint)
-    first = spark.read.parquet(data).agg(F.count("*").alias("n"))
-    before = first.collect()[0].n  # one number, taken before the second run
-    L.load_shards(_stream(spark, path, schema), plan, data, journal, checkpoint)
-    loaded = spark.read.parquet(data)
-    per = loaded.groupBy("shard_path").agg(F.count("*").alias("data_rows"))
-    added = loaded.agg(F.count("*") - F.lit(before)).scalar()
-    joined = spark.read.parquet(journal).join(per, "shard_path", "left")
-    return joined.select("shard_path", "verdict", F.col("loaded").alias("journal_rows"), F.coalesce("data_rows", F.lit(0)).alias("data_rows"), added.alias("added_by_second_run"))
+    columns = ["event_id", "user_id", "event_type"]
+    rows = a.events.select(*columns, tag.alias("shard_path"))
+    path, schema = _files(rows, "events", "event_id")
+    shard = F.col("shard_path")
+    plan = rows.groupBy("shard_path").agg(F.count("*").alias("row_count"), L.row_digest(columns).alias("digest")).where(shard != "events-7")
+    plan = plan.withColumn("row_count", F.col("row_count") - F.when(shard == "events-3", 1).when(shard == "events-6", -1).otherwise(0))
+    plan = plan.withColumn("digest", F.when(shard == "events-5", "0").otherwise(F.col("digest")))
+    plan = plan.unionByName(spark.range(1).select(F.lit("events-none").alias("shard_path"), F.lit(5).cast("bigint").alias("row_count"), F.lit("0").alias("digest")))
+    data, checkpoint = scratch_path(spark, "load-data"), scratch_path(spark, "load-checkpoint")
+    L.stage_shards(_stream(spark, path, schema), data, checkpoint)
+    before = spark.read.parquet(data).count()  # one number, taken before the second run
+    L.stage_shards(_stream(spark, path, schema), data, checkpoint)
+    staged = spark.read.parquet(data)
+    journal = L.shard_journal(staged, plan, columns)
+    per = L.loaded_rows(staged, journal).groupBy("shard_path").agg(F.count("*").alias("data_rows"))
+    added = staged.agg(F.count("*") - F.lit(before)).scalar()
+    return journal.join(per, "shard_path", "left").select(
+        "shard_path", "verdict", F.col("rows").alias("journal_rows"), F.coalesce("data_rows", F.lit(0)).alias("data_rows"), added.alias("added_by_second_run"))
 
 
 @query("t02_projection_append", "select drop_id, token_id, source_uid, owner_address_norm from $tokens")
@@ -71,13 +75,18 @@ def _(a):
     return L.over_plan(L.current(a.spark, out, "table_name"), plan, "table_name")
 
 
-@query("t04_first_suppressions", "select moment_id, reason_code from $moment_suppressions where active = 1")
+@query("t04_first_suppressions", "select moment_id, 'appeal' as reason_code, 1 as seq from $moment_suppressions where active = 1")
 def _(a):
-    again = a.moment_suppressions.unionByName(a.moment_suppressions.withColumn("active", F.lit(0)))
-    path, schema = _files(again.unionByName(a.moment_suppressions), "suppressions", "moment_id")
+    """Every suppression comes three times: inactive, later, and earlier for another reason; the earlier active one stands."""
+    rows = a.moment_suppressions
+    later = rows.withColumn("seq", F.lit(2))
+    first = rows.withColumn("seq", F.lit(1)).withColumn("reason_code", F.lit("appeal"))
+    again = later.unionByName(rows.withColumn("active", F.lit(0)).withColumn("seq", F.lit(0))).unionByName(first)
+    path, schema = _files(again, "suppressions", "seq")
     out, checkpoint = scratch_path(a.spark, "accepted"), scratch_path(a.spark, "accepted-checkpoint")
-    L.append_projection(_stream(a.spark, path, schema), lambda s: L.first_suppressions(s, True, "moment_id"), out, checkpoint)
-    return a.spark.read.parquet(out).select("moment_id", "reason_code")
+    accepted = L.first_suppressions(_stream(a.spark, path, schema), True, "moment_id", ["seq", "reason_code"], ["reason_code", "seq"])
+    L.write_updates(accepted, out, checkpoint)
+    return L.current(a.spark, out, "moment_id").select("moment_id", "reason_code", "seq")
 
 
 @query("t05_latest_states", "select media_key, seq, status, sha256 from $capture_log qualify row_number() over (partition by media_key order by seq desc) = 1")

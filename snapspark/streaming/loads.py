@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -31,28 +31,45 @@ def run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame,
     started.awaitTermination()
 
 
-def load_shards(stream: DataFrame, plan: DataFrame, data: str, journal: str, checkpoint: str) -> None:
-    """Load shard files beside their journal rows.
-
-    The stream has a `shard_path` column. A shard outside the plan, or with another row count than planned, is
-    refused as a whole: it gets a journal row that says so and no data. The planned count is `row_count`.
-    """
+def stage_shards(stream: DataFrame, data: str, checkpoint: str) -> None:
+    """Stage the rows of shard files; what a shard is worth is judged over everything staged (`shard_journal`)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        # The batch is read twice; persist keeps both reads on the same rows.
-        batch.persist()
-        counts = batch.groupBy("shard_path").agg(F.count("*").alias("loaded"))
-        verdicts = counts.join(plan.select("shard_path", "row_count"), "shard_path", "left")
-        verdict = F.when(F.col("row_count").isNull(), "unknown").when(F.col("row_count") != F.col("loaded"), "changed").otherwise("loaded")
-        verdicts = verdicts.withColumn("verdict", verdict)
-        good = verdicts.where("verdict = 'loaded'").select("shard_path")
-        batch.join(good, "shard_path", "left_semi").write.mode("overwrite").parquet(_batch_path(data, batch_id))
-        verdicts.write.mode("overwrite").parquet(_batch_path(journal, batch_id))
-        batch.unpersist()
+        batch.write.mode("overwrite").parquet(_batch_path(data, batch_id))
 
     run_batches(stream, checkpoint, write)
 
 
+def row_digest(columns: list[str]) -> Column:
+    """A digest of the multiset of rows, as an aggregate: the sum of 60-bit row digests."""
+    text = F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    return F.sum(F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")).cast("string")
+
+
+def shard_journal(staged: DataFrame, plan: DataFrame, digest_of: list[str]) -> DataFrame:
+    """One row per shard staged or planned: rows, batches and the verdict over all its files and batches.
+
+    `plan` has shard_path, row_count and digest. A shard is loaded when just the planned rows are there; it is partial while
+    there are fewer, changed when there are more or others, missing without any, and unknown without a plan. Rows and
+    journal can't disagree, because the journal is what the staged rows say.
+    """
+    found = staged.groupBy("shard_path").agg(F.count("*").alias("rows"), F.count_distinct("batch_id").alias("batches"), row_digest(digest_of).alias("found"))
+    both = found.join(plan.select("shard_path", "row_count", "digest"), "shard_path", "full")
+    verdict = (
+        F.when(F.col("row_count").isNull(), "unknown")
+        .when(F.col("rows").isNull(), "missing")
+        .when(F.col("rows") < F.col("row_count"), "partial")
+        .when((F.col("rows") > F.col("row_count")) | (F.col("found") != F.col("digest")), "changed")
+        .otherwise("loaded")
+    )
+    return both.select("shard_path", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("batches", F.lit(0)).alias("batches"), verdict.alias("verdict"))
+
+
+def loaded_rows(staged: DataFrame, journal: DataFrame) -> DataFrame:
+    """Rows of the shards that are loaded; other shards are refused as a whole."""
+    return staged.join(journal.where("verdict = 'loaded'"), "shard_path", "left_semi")
+
+
 def append_projection(stream: DataFrame, project: Transform, path: str, checkpoint: str) -> None:
     """Keep a projection in step with its source: every new row is projected once."""
     sink = project(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
@@ -88,10 +105,10 @@ def over_plan(counts: DataFrame, plan: DataFrame, table: str) -> DataFrame:
     return joined.where(bad).select(table, "loaded", "expected_rows")
 
 
-def first_suppressions(stream: DataFrame, ready: bool, key: str) -> DataFrame:
-    """Accepted suppressions: active, only for a ready snapshot, the first per id. The state grows with the ids."""
-    active = stream.where(F.col("active") == 1)
-    return active.where(F.lit(ready)).dropDuplicates([key])
+def first_suppressions(stream: DataFrame, ready: bool, key: str, order: list[str], columns: list[str]) -> DataFrame:
+    """Accepted suppressions: active, only for a ready snapshot, the first per id by `order`. The state grows with the ids."""
+    active = stream.where((F.col("active") == 1) & F.lit(ready))
+    return active.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("first")).select(key, "first.*")
 
 
 def latest_states(stream: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
