@@ -109,11 +109,12 @@ def redacted_cards(cards: DataFrame, base: str, catalog: str, collections: str)
 
 
 def drop_collectors(refs: DataFrame, tokens: DataFrame, keys: DataFrame | None = None, per_key: int | None = None) -> DataFrame:
-    """Collectors of each drop through the drop-ordered copy of the tokens."""
+    """Collectors of each drop through the drop-ordered copy of the tokens; a page is cut before the tokens are joined."""
     on = ["owner_address_norm", "token_id", "source_uid"]
     wanted = O.only(refs, keys, "drop_id")
-    rows = wanted.join(tokens.select(*on, "minted_on", "network", "transfer_count"), on)
-    return rows if per_key is None else O.page_per_key(rows, "drop_id", COLLECTOR_ORDER, per_key)
+    if per_key is not None:
+        wanted = O.page_per_key(wanted, "drop_id", COLLECTOR_ORDER, per_key)
+    return wanted.join(tokens.select(*on, "minted_on", "network", "transfer_count"), on)
 
 
 def owner_holdings(tokens: DataFrame, keys: DataFrame | None = None, per_key: int | None = None) -> DataFrame:

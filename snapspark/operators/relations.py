@@ -178,26 +178,22 @@ def collection_map(moment_drops: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def collection_map_counts(moment_drops: DataFrame, collections: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Coverage counts of the bridge as one row of scalar subqueries."""
-    def count(df: DataFrame, *cols: str) -> DataFrame:
-        rows = df.select(*cols).distinct() if cols else df
-        return rows.agg(F.count("*").alias("n"))
-
-    matched = moment_drops.join(items.select("drop_id").distinct(), "drop_id", "left_semi")
-    counts = {
-        "collections": count(collections),
-        "collections_with_drop_ids": count(items, "collection_id"),
-        "collection_drop_references": count(items),
-        "unique_collection_drops": count(items, "drop_id"),
-        "moment_drop_relations": count(moment_drops),
-        "moments_with_drop_relations": count(moment_drops, "moment_id"),
-        "matched_moment_drop_relations": count(matched),
-        "mapped_moments": count(pairs, "moment_id"),
-        "mapped_collections": count(pairs, "collection_id"),
-        "moment_collection_pairs": count(pairs),
-    }
-    tagged = [df.select(F.lit(name).alias("name"), "n") for name, df in counts.items()]
-    return reduce(DataFrame.unionByName, tagged)
+    """Coverage counts of the bridge, (name, n) rows from one grouped pass for each table; `pairs` are distinct."""
+    def counted(df: DataFrame, **numbers: str) -> DataFrame:
+        row = df.agg(*[(F.count_distinct(column) if column else F.count("*")).alias(name) for name, column in numbers.items()])
+        return row.unpivot([], list(numbers), "name", "n")
+
+    known = items.select("drop_id").distinct().withColumn("_known", F.lit(1))
+    matched = moment_drops.join(known, "drop_id", "left").agg(
+        F.count("*").alias("moment_drop_relations"), F.count_distinct("moment_id").alias("moments_with_drop_relations"),
+        F.count("_known").alias("matched_moment_drop_relations"))
+    tables = [
+        counted(collections, collections=""),
+        counted(items, collections_with_drop_ids="collection_id", collection_drop_references="", unique_collection_drops="drop_id"),
+        matched.unpivot([], matched.columns, "name", "n"),
+        counted(pairs, mapped_moments="moment_id", mapped_collections="collection_id", moment_collection_pairs=""),
+    ]
+    return reduce(DataFrame.unionByName, tables)
 
 
 def one_sided(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:

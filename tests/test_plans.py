@@ -33,3 +33,10 @@ def test_scan_is_pruned_and_filtered(spark, sf):
 def test_top_per_key_limits_before_the_shuffle(spark, sf):
     plan = physical(QUERIES["k03_owner_holdings_page"](spark, sf))
     assert "WindowGroupLimit" in plan
+
+
+def test_collectors_page_is_cut_before_the_join(spark, sf):
+    plan = physical(QUERIES["k04_drop_collectors_page"](spark, sf))
+    join = next(line for line in plan.splitlines() if "Join" in line)
+    limit = next(line for line in plan.splitlines() if "WindowGroupLimit" in line)
+    assert plan.index(join) < plan.index(limit)  # a plan is printed from its last step down
