@@ -29,7 +29,7 @@ from .words import LETTERS, Piece, scan
 FIT_ROWS = (3000, 1000)  # labelled documents that training takes at most: plain, toxic
 FIT_BYTES = 1 << 16  # a longer document is scored but not trained on
 SLOTS = 1 << 18
-LEAST_DOCS, LEAST_ODDS = 5, 1.0  # toxic documents with a feature, and its log odds less two standard errors, that make it a mark
+LEAST_DOCS, LEAST_ODDS = 4, 1.0  # toxic documents with a feature, and its log odds less two standard errors, that make it a mark
 STEPS, RATE, RIDGE = 30, 0.5, 1e-4
 CHUNK_WORDS = 1 << 17  # words that training holds messages of at once
 
