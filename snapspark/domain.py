@@ -164,7 +164,7 @@ def definitions(d) -> dict[str, str]:
     t["collection_items"] = """
       select collection_id * 1000000000 + drop_id as item_id, collection_id, drop_id,
         case when drop_id % 7 = 0 then null else '2023-05-01' end as created_on
-      from (select distinct l_suppkey + 1 as collection_id, l_partkey + 1 as drop_id from $lineitem where l_linenumber <= 2) i"""
+      from (select distinct l_suppkey + 1 as collection_id, l_partkey + 1 as drop_id from $lineitem where l_linenumber % 3 = 1) i"""
     t["collection_sections"] = f"""
       select 's-' || {S('s_suppkey + 1')} || '-' || {S('k')} as section_id, s_suppkey + 1 as collection_id,
         'Part ' || {S('k')} as name, cast(k as int) as position
@@ -199,8 +199,8 @@ def definitions(d) -> dict[str, str]:
         case when s_suppkey % 4 = 0 then null else 'a' || {S('s_suppkey')} || '.eth' end as ens
       from $supplier where s_suppkey % 3 = 0 or s_suppkey % 20 = 1"""
     t["collection_artist_drops"] = f"""
-      select distinct 'artist-' || {S('l_suppkey + 1')} as artist_id, l_partkey + 1 as drop_id
-      from $lineitem where l_linenumber = 3 and l_suppkey % 3 = 0"""
+      select distinct 'artist-' || {S('l_suppkey - l_suppkey % 3 + 1')} as artist_id, l_partkey + 1 as drop_id
+      from $lineitem where l_linenumber % 3 = 0"""
     t["collection_organizations"] = """
       select s_suppkey + 1000001 as organization_id, s_suppkey + 1 as collection_id, 'Org ' || s_name as name
       from $supplier where s_suppkey % 3 = 1"""
@@ -212,7 +212,7 @@ def definitions(d) -> dict[str, str]:
     t["suggested_drops"] = """
       select collection_id * 1000000000 + drop_id as suggestion_id, collection_id, drop_id,
         case when drop_id % 3 = 1 then 'approved' else 'pending' end as curation_status, '2023-06-01' as created_on
-      from (select distinct l_suppkey + 1 as collection_id, l_partkey + 1 as drop_id from $lineitem where l_linenumber = 4) i"""
+      from (select distinct l_suppkey + 1 as collection_id, l_partkey + 1 as drop_id from $lineitem where l_linenumber % 3 = 2) i"""
     dsha = d.sha(f"'card-' || {S('drop_id')}")
     t["drop_cards"] = f"""
       select drop_id, p_brand as fancy_id, case when drop_id % 34 = 0 then null else 'Card ' || p_name end as title,

@@ -234,19 +234,18 @@ def _(a):
     return J.collection_drop_union(a.collection_items, a.collection_artist_drops, a.collection_artists, a.suggested_drops)
 
 
-def drop_id_arrays(a):
+def drop_id_arrays(items):
     """The captured view: arrays of drop ids per collection, at most 4096 ids in one row."""
     part = F.floor(F.col("drop_id") / 4096).alias("part")
-    rows = a.collection_items.where("collection_id % 4 <> 0")
-    return rows.groupBy("collection_id", part).agg(F.sort_array(F.collect_list("drop_id")).alias("drop_ids"))
+    return items.groupBy("collection_id", part).agg(F.sort_array(F.collect_list("drop_id")).alias("drop_ids"))
 
 
 @query("u02_referenced_drop_union", """
   select drop_id from $collection_items union select drop_id from $collection_artist_drops union select drop_id from $suggested_drops""")
 def _(a):
-    arrays = drop_id_arrays(a).select(F.explode("drop_ids").alias("drop_id"))
+    arrays = drop_id_arrays(a.collection_items).select(F.explode("drop_ids").alias("drop_id"))
     frames = [df.select("drop_id") for df in (a.collection_items, a.collection_artist_drops, a.suggested_drops)]
-    return J.union_distinct(*frames, arrays).where("drop_id > 0")
+    return J.union_distinct(*frames, arrays)
 
 
 @query("u04_missing_ids", """

@@ -216,15 +216,15 @@ def _(a):
 
 
 ACTIONS = """
-  select drop_id, case when drop_id in (select drop_id from $artwork_files where state = 'ok' and drop_id % 2 = 0) then 'archive'
+  select drop_id, case when drop_id in (select drop_id from $artwork_files where state = 'ok') then 'archive'
     when drop_id in (select drop_id from $holding_drops where image_object_key is not null) then 'seed'
-    when drop_id in (select drop_id from $drop_cards where drop_id % 5 = 2) then 'collection-reuse' else 'capture' end as action
+    when drop_id in (select drop_id from $drop_cards where image_object_key is not null) then 'collection-reuse' else 'capture' end as action
   from (select distinct drop_id from $tokens) t"""
 
 
 def actions(a):
-    return M.artwork_actions(a.tokens.select("drop_id").distinct(), a.artwork_files.where("state = 'ok' and drop_id % 2 = 0"),
-                             a.holding_drops.where("image_object_key is not null"), a.drop_cards.where("drop_id % 5 = 2"))
+    return M.artwork_actions(a.tokens.select("drop_id").distinct(), a.artwork_files.where("state = 'ok'"),
+                             a.holding_drops.where("image_object_key is not null"), a.drop_cards.where("image_object_key is not null"))
 
 
 @query("e12_artwork_actions", ACTIONS)
@@ -295,12 +295,12 @@ def _(a):
     min_by(byte_length, kind) as byte_length, case when count(distinct kind || byte_length) > 1 then 1 else 0 end as conflict from (
     select 'collection-media' as kind, object_key as key, sha256, byte_length from $collection_media where eligible_for_publish = 1
     union all select 'archive-drop-artwork', 'art/' || drop_id, sha256, byte_length from $artwork_files where state = 'ok'
-    union all select 'collection-drop-artwork', case when drop_id % 10 = 0 then 'art/' else 'new/' end || drop_id, sha256, byte_length from $artwork_files where drop_id % 2 = 0) x group by key""")
+    union all select 'collection-drop-artwork', case when drop_id % 10 = 0 then 'art/' else 'new/' end || drop_id, sha256, byte_length from $artwork_files) x group by key""")
 def _(a):
     media = a.collection_media.where("eligible_for_publish = 1").withColumnRenamed("object_key", "key")
     text = F.col("drop_id").cast("string")
     reused = a.artwork_files.where("state = 'ok'").withColumn("key", F.concat(F.lit("art/"), text))
-    stored = a.artwork_files.where("drop_id % 2 = 0").withColumn("key", F.concat(F.when(F.col("drop_id") % 10 == 0, "art/").otherwise("new/"), text))
+    stored = a.artwork_files.withColumn("key", F.concat(F.when(F.col("drop_id") % 10 == 0, "art/").otherwise("new/"), text))
     return M.publication_plan({"collection-media": (media, "upload"), "archive-drop-artwork": (reused, "reuse"), "collection-drop-artwork": (stored, "upload")})
 
 
@@ -425,10 +425,10 @@ def _(a):
 @query("j24_artwork_publication_proofs", """
   select case when drop_id % 17 = 0 then 'unproven' else 'proof_differs' end as rule, 'objects' as entity,
     'snapshots/coll-1/collections/drop-artwork/sha256/' || substr(sha256, 1, 2) || '/' || sha256 || '.webp' as key, '' as detail
-  from $artwork_files where state = 'ok' and drop_id % 2 = 1 and (drop_id % 17 = 0 or drop_id % 5 = 0)""")
+  from $artwork_files where state = 'ok' and (drop_id % 17 = 0 or drop_id % 5 = 0)""")
 def _(a):
     c = F.col
     key = R.content_key("snapshots/coll-1/collections/drop-artwork", c("sha256"), F.lit("webp"))
-    stored = a.artwork_files.where("state = 'ok' and drop_id % 2 = 1").select("drop_id", key.alias("key"), "sha256", "byte_length", F.lit("image/webp").alias("content_type"))
+    stored = a.artwork_files.where("state = 'ok'").select("drop_id", key.alias("key"), "sha256", "byte_length", F.lit("image/webp").alias("content_type"))
     proofs = stored.where("drop_id % 17 <> 0").withColumn("content_type", F.when(c("drop_id") % 5 == 0, "image/png").otherwise(c("content_type")))
     return M.proof_audit(stored, proofs, "key", ["sha256", "byte_length", "content_type"])
