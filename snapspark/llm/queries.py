@@ -84,8 +84,8 @@ with item as (select coalesce(cast(item_id as varchar), '') as item, regexp_extr
 gram as (select distinct item, size, array_to_string(w[i:i + size - 1], ' ') as gram
          from (select item, w, least(len(w), 10) as size, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from item where len(w) > 0)),
 doc as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '{decontamination.WORD}') as w from documents),
-at as (select r, w, size, unnest(range(1, len(w) - size + 2)) as i from doc, (select distinct size from gram) where len(w) >= size),
-hit as (select r, i, at.size, item from at join gram on gram.size = at.size and gram = array_to_string(w[i:i + at.size - 1], ' ')),
+spot as (select r, w, size, unnest(range(1, len(w) - size + 2)) as i from doc, (select distinct size from gram) where len(w) >= size),
+hit as (select r, i, spot.size, item from spot join gram on gram.size = spot.size and gram = array_to_string(w[i:i + spot.size - 1], ' ')),
 word as (select r, count(distinct p) as n from (select r, unnest(range(i, i + size)) as p from hit) group by r),
 named as (select r, count(distinct item) as n, sha256(string_agg(distinct item, ',' order by item)) as ids from hit group by r)
 select doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(word.n, 0) as bigint) as n_hit, cast(coalesce(named.n, 0) as bigint) as n_items,
