@@ -15,6 +15,7 @@ blocks side by side, then over the blocks; a document's first word is a matrix t
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,7 +30,7 @@ from .words import LETTERS, Piece, scan
 FIT_ROWS = (3000, 1000)  # labelled documents that training takes at most: plain, toxic
 FIT_BYTES = 1 << 16  # a longer document is scored but not trained on
 SLOTS = 1 << 18
-LEAST_DOCS, LEAST_ODDS = 4, 1.0  # toxic documents with a feature, and its log odds less two standard errors, that make it a mark
+LEAST_DOCS, LEAST_ODDS = 5, 1.3  # toxic documents with a feature, and its log odds less two standard errors, that make it a mark
 STEPS, RATE, RIDGE = 30, 0.5, 1e-4
 CHUNK_WORDS = 1 << 17  # words that training holds messages of at once
 
@@ -209,29 +210,40 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int]) -> tuple[pa.Array, np.ndarray]:
-    """Texts and toxic flags of at most `fit_rows` labelled documents (plain, toxic), chosen by a hash of the id."""
+def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int]) -> DataFrame:
+    """(text, toxic) of at most `fit_rows` labelled documents (plain, toxic), chosen by a hash of the id; one partition."""
     usable = labels.where(labels["toxic"].isin(0, 1) & (fold(labels["doc_id"]) != 0)).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     usable = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit(2))
     chosen = [usable.where(F.col("toxic") == kind).orderBy(order, "doc_id").limit(fit_rows[kind]) for kind in (0, 1)]
     texts = docs.where(docs["text"].isNotNull() & (F.octet_length(docs["text"]) <= FIT_BYTES)).select("doc_id", "text")
     found = texts.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").orderBy(order, "doc_id", "text").limit(sum(fit_rows))
-    table = found.select("text", "toxic").toArrow()
-    return table.column("text").combine_chunks(), table.column("toxic").to_numpy().astype(bool)
+    return found.select("text", "toxic")
+
+
+def train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The task that trains: a pickled chain from all its rows, or nothing if they lack one of the classes."""
+    slots, sizes, flags = [np.zeros((0, FEATURES), np.int32)], [], []
+    for batch in batches:
+        flags.append(batch.column("toxic").to_numpy().astype(bool))
+        for _, _, bounds, found, _, _ in scan(batch.column("text"), LETTERS, features):
+            slots.append(found)
+            sizes.append(np.diff(bounds))
+    toxic = np.concatenate(flags) if flags else np.zeros(0, dtype=bool)
+    if toxic.any() and not toxic.all():
+        words, bounds = np.concatenate(slots), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+        slots.clear()
+        chain = train(words, bounds, label_tokens(words, bounds, toxic), toxic)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(chain)], pa.binary())], names=["chain"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: tuple[int, int] = FIT_ROWS) -> Chain | None:
-    """A trained chain, or None if the training labels don't have both classes."""
-    texts, toxic = training_rows(docs, labels, fit_rows)
-    if not toxic.any() or toxic.all():
-        return None
-    slots, sizes = [], []
-    for _, _, bounds, found, _, _ in scan(texts, LETTERS, features):
-        slots.append(found)
-        sizes.append(np.diff(bounds))
-    slots, bounds = np.concatenate(slots), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
-    return train(slots, bounds, label_tokens(slots, bounds, toxic), toxic)
+    """A trained chain, or None if the training labels don't have both classes.
+
+    Training runs in a task over the bounded sample, not in the driver; the driver gets the weights.
+    """
+    found = training_rows(docs, labels, fit_rows).mapInArrow(train_rows, "chain binary").collect()
+    return pickle.loads(found[0]["chain"]) if found else None
 
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("marginal", pa.float64())]))
