@@ -31,7 +31,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty
@@ -43,7 +43,7 @@ LIST_COST = 16
 SAMPLE = 16  # one document in so many is looked at for frequent shingles
 FREQUENT, MOST_FREQUENT = 4, 1 << 18  # documents of the sample that make a shingle frequent; the most that are kept
 CHUNK = 1024
-SLOTS = 1 << 23
+MOST_SLOTS = 1 << 23
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -335,18 +335,16 @@ def _sets(width: int):
     return run
 
 
-def _slot(column: Column) -> Column:
-    return F.pmod(F.xxhash64(column), F.lit(SLOTS))
-
-
 def _asked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of `docs` whose doc_id may be among `ids`: a filter of SLOTS bits (1 MB) that only saves work."""
-    pieces = ids.select(_slot(F.col("doc_id")).alias("slot")).groupBy(F.shiftright("slot", 15).alias("piece")).agg(
+    """Rows of `docs` whose doc_id may be among `ids`: a filter of eight bits an id, at most MOST_SLOTS, that only saves work."""
+    slots = min(MOST_SLOTS, 32768 * max(1, -(-8 * ids.count() // 32768)))
+    slot_of = lambda column: F.pmod(F.xxhash64(column), F.lit(slots))
+    pieces = ids.select(slot_of(F.col("doc_id")).alias("slot")).groupBy(F.shiftright("slot", 15).alias("piece")).agg(
         F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")
     )
     filled = {r["piece"]: bytes(r["bits"]) for r in pieces.collect()}
-    bits = b"".join(filled.get(i, bytes(4096)) for i in range(SLOTS >> 15))
-    slot = _slot(docs["doc_id"])
+    bits = b"".join(filled.get(i, bytes(4096)) for i in range(slots >> 15))
+    slot = slot_of(docs["doc_id"])
     byte = F.conv(F.hex(F.substring(F.lit(bits), (F.shiftright(slot, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return docs.where(F.getbit(byte, (slot % 8).cast("int")) == 1)
 
