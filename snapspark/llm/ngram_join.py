@@ -13,8 +13,9 @@ first, and everything below works on one representative for each class.
 * The boundary is the largest size up to which enumerating subsets costs no more keys than a set's lists would, where
   a list entry stands for `LIST_COST` keys of scanning and checking.
 
-Members of a list are first paired with its smallest set, one from its middle, and the next larger one; parity bitmaps,
-which can't rule out a pair that links, and then the whole sets decide on these pairs. Most groups of near copies become
+Members of a list are first paired with its smallest set, one from its middle, and the next smaller one, unless the
+places of the shared shingle leave too few others; parity bitmaps, which can't rule out a pair that links, and then the
+whole sets decide on these pairs. Most groups of near copies become
 one component this way, with work in proportion to their size. Lists of up to three sets are done with that. Of longer
 ones that still hold several components, the pairs of different components are compared, in blocks of `CHUNK` members,
 by bitmaps and then by whole sets. No partner is left out.
@@ -108,10 +109,10 @@ def subset_keys(elements: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
 
 def keys_of(elements: np.ndarray, threshold: tuple[int, int], frequent: np.ndarray) -> np.ndarray:
     light, keys = boundary(threshold), []
+    if len(elements) >= least_common(light + 1, threshold):
+        keys.append(list_keys(elements, threshold, frequent))  # first, so that a list key's place is the shingle's
     if len(elements) <= light:
         keys.append(subset_keys(elements, threshold))
-    if len(elements) >= least_common(light + 1, threshold):
-        keys.append(list_keys(elements, threshold, frequent))
     return np.concatenate(keys) if keys else elements[:0]
 
 
@@ -174,47 +175,67 @@ def frequent_shingles(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _enough_left(threshold: tuple[int, int], n, at, m, to):
+    """Whether two sets of `n` and `m` shingles can link if the first one they share is at places `at` and `to` of the order."""
+    num, den = threshold
+    return (den + num) * (np.minimum(n - at, m - to)) >= num * (n + m)
+
+
 def read_lists(threshold: tuple[int, int]):
-    """A task that scans rows in order of (key, n, row): lists with several sets, with each one's place and the smallest."""
+    """A task that scans rows in order of (key, n, row): lists with several sets, with each one's place and partners.
+
+    Partners are the list's smallest set, one from its middle and the next smaller one, or the row itself where the two can't
+    link by what the list tells. Two sets are judged in the list of the first shingle that they share.
+    """
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, start, center, center_n, last = None, 0, 0, 0, 0  # the list in which the last batch ended
+        names = ("row", "n", "at")
+        key, start = None, 0  # the list in which the last batch ended, and how many of its members have passed
+        center = last = (0, 0, 0)  # its smallest and its last member
         waiting = None  # its first member, if it was the last row: whether it has company is not known yet
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, sizes, rows = (batch.column(c).to_numpy() for c in ("key", "n", "row"))
+            keys, *own = (batch.column(c).to_numpy().astype(np.int64) for c in ("key", *names))
             if waiting is not None:
-                keys, sizes, rows = (np.concatenate([[x], y]) for x, y in zip(waiting, (keys, sizes, rows)))
+                keys, *own = (np.concatenate([[x], y]) for x, y in zip(waiting, (keys, *own)))
                 key = None
             begins = np.concatenate([[True], keys[1:] != keys[:-1]])
-            going_on = key is not None and keys[0] == key
+            going_on = bool(key is not None and keys[0] == key)
             heads = np.flatnonzero(begins)
+            ends = np.concatenate([heads[1:], [len(keys)]])
             number = np.cumsum(begins) - 1
             places = np.arange(len(keys)) - heads[number]
-            centers, center_sizes = rows[heads], sizes[heads]
+            places[number == 0] += start if going_on else 0
+            centers = [x[heads] for x in own]
+            before = [np.concatenate([[y if going_on else x[0]], x[:-1]]) for x, y in zip(own, last)]
+            for x, y, z in zip(centers, before, own):
+                y[heads[int(going_on) :]] = z[heads[int(going_on) :]]
             if going_on:
-                places[number == 0] += start
-                centers, center_sizes = centers.copy(), center_sizes.copy()
-                centers[0], center_sizes[0] = center, center_n
-            ends = np.concatenate([heads[1:], [len(keys)]])
-            lone = (ends - heads == 1) & ~(going_on & (np.arange(len(heads)) == 0))
-            waiting = (keys[-1], sizes[-1], rows[-1]) if lone[-1] else None
-            before = np.concatenate([[last if going_on else rows[0]], rows[:-1]])
-            before[heads[int(going_on):]] = rows[heads[int(going_on):]]
-            middle = rows[(heads + (ends - heads) // 2)[number]]  # of the part at hand
-            key, start, center, center_n, last = keys[-1], int(places[-1]) + 1, centers[-1], center_sizes[-1], rows[-1]
+                for x, y in zip(centers, center):
+                    x[0] = y
+            middle = heads + (ends - heads) // 2  # of the part at hand
+            lone = ends - heads == 1
+            lone[0] &= not going_on
+            waiting = (keys[-1], *(x[-1] for x in own)) if lone[-1] else None
+            key, start = keys[-1], int(places[-1]) + 1
+            center, last = tuple(x[-1] for x in centers), tuple(x[-1] for x in own)
             keep = ~lone[number]
+            if not keep.any():
+                continue
             common = keys & 63
-            smallest, own = center_sizes[number], sizes
-            # A subset's size must suffice for both sizes; of lists, only sizes that could link matter for the first links.
-            fits = np.where(common > 0, den * common >= num * (smallest + own - common), den * smallest >= num * own)
-            if keep.any():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x[keep]) for x in (keys, rows, own, places.astype(np.int64), centers[number], middle, before, fits)],
-                    names=["key", "row", "n", "place", "center", "middle", "before", "fits"],
-                )
+            scanned = common == 0
+            row, n, at = own
+            partners = []
+            for kind, (other, m, to) in enumerate(([x[number] for x in centers], [x[middle][number] for x in own], before)):
+                able = scanned & (den * np.minimum(n, m) >= num * np.maximum(n, m)) & _enough_left(threshold, n, at, m, to)
+                if not kind:  # a subset's size must suffice for both sets
+                    able |= ~scanned & (den * common >= num * (n + m - common))
+                partners.append(np.where(able, other, row))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x[keep]) for x in (keys, *own, places, *partners)], names=["key", *names, "place", "center", "middle", "before"]
+            )
 
     return run
 
@@ -249,11 +270,12 @@ def _chunk_pairs(threshold: tuple[int, int]):
         i, j = group[0]["i"], group[0]["j"]
         left = [r for r in group if r["chunk"] == i]
         right = [r for r in group if r["chunk"] == j]
-        sizes, comps, ids = (np.array([r[c] for r in right]) for c in ("n", "comp", "row"))
+        sizes, comps, ids, places = (np.array([r[c] for r in right]) for c in ("n", "comp", "row", "at"))
         maps = [np.frombuffer(r["bitmap"], dtype=np.uint64) for r in right]
         for r in left:
             own = np.frombuffer(r["bitmap"], dtype=np.uint64)
             able = (comps != r["comp"]) & (den * np.minimum(sizes, r["n"]) >= num * np.maximum(sizes, r["n"]))
+            able &= _enough_left(threshold, r["n"], r["at"], sizes, places)
             if i == j:
                 able &= ids > r["row"]
             for at in np.flatnonzero(able):
@@ -371,7 +393,6 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = TH
     `node` is the first row with the same set, `component` the smallest node that links reach. Documents without words
     have n = 0 and are alone.
     """
-    num, den = threshold
     ids = [c for c in ("doc_id", "row") if c in docs.columns]
     texts = docs.select(*ids, text_or_empty(docs).alias("text"))
     frequent = docs.sparkSession.sparkContext.broadcast(frequent_shingles(texts, width))
@@ -384,30 +405,29 @@ def classes(docs: DataFrame, width: int = WIDTH, threshold: tuple[int, int] = TH
     first = filled.groupBy("n", "d1", "d2").agg(F.min("row").alias("node"))
     members = stored(filled.select("row", "doc_id", "n", "d1", "d2").join(first, ["n", "d1", "d2"]), "members")
     copies = members.where("row <> node").select("row")
-    postings = filled.select("row", "n", "keys").join(copies, "row", "left_anti").select(F.explode("keys").alias("key"), "row", F.col("n").cast("int").alias("n"))
+    postings = filled.select("row", "n", "keys").join(copies, "row", "left_anti").select(F.posexplode("keys").alias("at", "key"), "row", F.col("n").cast("int").alias("n"))
     ordered = postings.repartition("key").sortWithinPartitions("key", "n", "row")
-    lists = stored(ordered.mapInArrow(read_lists(threshold), "key long, row long, n int, place long, center long, middle long, before long, fits boolean"), "lists")
+    lists = stored(ordered.mapInArrow(read_lists(threshold), "key long, row long, n long, at long, place long, center long, middle long, before long"), "lists")
 
     scanned = F.col("key").bitwiseAND(F.lit(63)) == 0
-    paired = F.when(scanned, F.array("center", "middle", "before")).otherwise(F.array("center"))
-    star = lists.where(scanned | F.col("fits")).select("row", F.explode(F.array_distinct(paired)).alias("to")).where("row <> to")
+    paired = F.array_distinct(F.array("center", "middle", "before"))
+    star = lists.select("row", F.explode(paired).alias("to")).where("row <> to")
     star = star.select(F.least("row", "to").alias("a"), F.greatest("row", "to").alias("b")).dropDuplicates()
     bitmap = lambda a, n, x: signed.select(F.col("row").alias(a), F.col("n").alias(n), F.col("bitmap").alias(x))
-    alike = den * F.least("nx", "ny") >= num * F.greatest("nx", "ny")
-    tried = star.join(bitmap("a", "nx", "x"), "a").join(bitmap("b", "ny", "y"), "b").where(alike)
+    tried = star.join(bitmap("a", "nx", "x"), "a").join(bitmap("b", "ny", "y"), "b")
     tried = stored(tried.mapInArrow(_possible(threshold), "a long, b long"), "star")
     near = stored(components(_verified(tried, _fetched(docs, members, tried, width), threshold)), "components")
 
     # Longer lists that still hold several components.
     long = lists.where(scanned & (F.col("place") >= 3)).select("key").dropDuplicates()
-    members_of = lists.where(scanned).select("key", "row", "n", "place").join(long, "key", "left_semi")
+    members_of = lists.where(scanned).select("key", "row", "n", "at", "place").join(long, "key", "left_semi")
     known = members_of.join(near.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", F.coalesce("component", "row"))
-    known = stored(known.select("key", "row", "n", "place", "comp"), "known")
+    known = stored(known.select("key", "row", "n", "at", "place", "comp"), "known")
     mixed = known.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max("place").alias("last")).where("low <> high")
     chunk = F.floor(F.col("place") / CHUNK)
     spread = known.join(mixed.select("key", F.floor(F.col("last") / CHUNK).alias("last")), "key").withColumn("chunk", chunk)
     spread = spread.join(signed.select("row", "bitmap"), "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
-    spread = spread.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "row", "n", "comp", "bitmap")
+    spread = spread.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "row", "n", "at", "comp", "bitmap")
     dealt = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "chunk")
     pairs = dealt.mapInArrow(_chunk_pairs(threshold), "a long, b long").dropDuplicates()
     pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
