@@ -180,6 +180,12 @@ def test_packing_equals_the_sequential_rule(spark, cap, max_rows):
     assert got[("bad", 0)] == 0 and got[("bad", 1)] is None and C.oversized(df, "g", F.col("c"), cap).count() == 1
 
 
+def test_shard_plan_reports_oversized_rows(spark):
+    df = frame(spark, "g string, i int, c bigint", ("a", 0, 60), ("a", 1, 500), ("a", 2, 60), ("a", 3, 30), ("b", 0, 101), ("c", 0, None))
+    got = {tuple(r) for r in C.shard_plan(df, "g", ["i"], F.col("c"), 10, 100, 1000).select("g", "i", "statement", "bytes", "rows", "shard").collect()}
+    assert got == {("a", None, 0, 60, 1, 0), ("a", None, 1, 90, 2, 0), ("a", 1, None, 500, 1, None), ("b", 0, None, 101, 1, None), ("c", 0, None, None, 1, None)}
+
+
 SIGNATURES = [
     (b"\xff\xd8\xff\xe0", None, "image/jpeg"), (b"\x89PNG\r\n\x1a\n", None, "image/png"), (b"GIF89a..", None, "image/gif"), (b"RIFF....WEBP", None, "image/webp"),
     (b"RIFF....WAVE", None, "audio/wav"), (b"OggS....", None, "audio/ogg"), (b"fLaC....", None, "audio/flac"), (b"ID3.....", None, "audio/mpeg"), (b"\xff\xfb\x90\x00", None, "audio/mpeg"),
