@@ -4,12 +4,14 @@ A cascade answers "is this key listed?" exactly for every key of a known univers
 listed keys; level 2 one of the universe's keys that level 1 takes by mistake; level 3 one of the listed keys that level
 2 takes by mistake, and so on until no mistake is left. The first level that rejects a key decides: an odd level says
 not listed, an even one listed. Each level is a binary literal in the projection over the pages, so that no page is
-joined or shuffled. A level's size is known from the count of its keys before it is built; lists above `MOST_KEYS` are
-joined instead (`listed_by_join`).
+joined or shuffled. A level's size comes from the count of its keys and of those it is asked for by mistake, so that the
+next level has about half as many keys as it; a list with a level above `MOST_KEYS` all the same is joined instead
+(`listed_by_join` for hosts, `ruled_by_join` for rules).
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 from operator import and_, or_
@@ -22,6 +24,7 @@ from .common import stored
 HASHES = 4
 BITS_PER_KEY = 8
 MOST_KEYS = 1_000_000  # at 8 bits: 1 MB for a level
+MOST_BITS = 64 * MOST_KEYS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: (verdict, host, path)
@@ -67,6 +70,10 @@ def _slots(key: Column, level: int, bits: int) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(1000 * level + i)), F.lit(bits)) for i in range(HASHES)]
 
 
+class Oversized(ValueError):
+    """A level would have more than MOST_KEYS keys."""
+
+
 class Cascade:
     """Levels of bits as binary literals."""
 
@@ -92,25 +99,37 @@ class Cascade:
 
 
 def _bits(keys: DataFrame, level: int, bits: int) -> bytes:
-    """The filter of one level: pieces of 32,768 bits, at most MOST_KEYS * BITS_PER_KEY bits in all."""
+    """The filter of one level: pieces of 32,768 bits, at most MOST_BITS in all."""
     slots = keys.select(F.explode(F.array(*_slots(F.col("key"), level, bits))).alias("slot"))
     pieces = slots.groupBy(F.shiftright("slot", 15).alias("piece")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits")).collect()
     filled = {r["piece"]: bytes(r["bits"]) for r in pieces}
     return b"".join(filled.get(i, bytes(4096)) for i in range(-(-bits // 32768)))[: bits // 8]
 
 
+def level_bits(n: int, others: int, bits_per_key: int) -> int:
+    """Bits of a level of `n` keys by which about n / 2 of `others` pass; at least `bits_per_key` for a key, at most MOST_BITS."""
+    rate = (n / (2 * others)) ** (1 / HASHES) if others else 1.0
+    per_key = max(bits_per_key, -HASHES / math.log1p(-rate)) if rate < 1 else bits_per_key
+    return 64 * max(1, math.ceil(min(n * per_key, MOST_BITS) / 64))
+
+
 def build(listed: DataFrame, universe: DataFrame, bits_per_key: int = BITS_PER_KEY) -> Cascade:
-    """A cascade over distinct `key` columns; `universe` holds every key that will be asked for, listed ones or not."""
+    """A cascade over distinct `key` columns; `universe` holds every key that will be asked for, listed ones or not.
+
+    Raises Oversized if a level has more than MOST_KEYS keys: the list is to be joined.
+    """
     inside, outside = stored(listed.select("key").dropDuplicates(), "listed"), None
     levels: list[bytes] = []
+    others = universe.count()
     while n := inside.count():
         if n > MOST_KEYS:
-            raise ValueError(f"a level of {n} keys is above {MOST_KEYS}: join the list instead")
+            raise Oversized(f"a level of {n} keys is above {MOST_KEYS}: join the list instead")
         level = len(levels) + 1
-        levels.append(_bits(inside, level, 64 * max(1, -(-n * bits_per_key // 64))))
+        levels.append(_bits(inside, level, level_bits(n, others, bits_per_key)))
         if outside is None:
             outside = universe.select("key").dropDuplicates().join(F.broadcast(inside), "key", "left_anti")
         inside, outside = stored(outside.where(Cascade(levels).passes(F.col("key"), level)), "mistakes"), inside
+        others = n
     return Cascade(levels)
 
 
@@ -128,11 +147,19 @@ def term_hosts(hosts: DataFrame, terms: Sequence[str]) -> DataFrame:
 
 
 def listed_by_join(pages: DataFrame, listed: DataFrame, name: str) -> DataFrame:
-    """The way for lists above MOST_KEYS: `name` tells by an ordinary join on `host` whether it is listed."""
+    """The way for lists with a level above MOST_KEYS: `name` tells by an ordinary join on `host` whether it is listed."""
     marked = listed.select(F.col("key").alias("host"), F.lit(True).alias("found")).dropDuplicates()
     return pages.join(marked, "host", "left").withColumn(name, F.coalesce("found", F.lit(False))).drop("found")
 
 
+def ruled_by_join(pages: DataFrame, keys: Column, table: DataFrame) -> DataFrame:
+    """The way for rules with a level above MOST_KEYS: `best` is the longest rule of `table` among a page's `keys`, or null."""
+    numbered = stored(pages.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    fits = numbered.select("row", F.explode(keys).alias("key")).join(table.dropDuplicates(), "key")
+    best = fits.groupBy("row").agg(F.max(F.struct(F.length("key").alias("n"), "key", "verdict")).alias("best"))
+    return numbered.join(best, "row", "left").drop("row")
+
+
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, terms: Sequence[str] = TERMS, blocked: DataFrame | None = None) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, listed.
 
@@ -148,19 +175,21 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, terms
     asked = stored(universe_keys(keys, places), "asked-keys")
     table = rule_table(spark, rules)
     verdicts = sorted({v for v, _, _ in rules})
-    lists = {v: build(table.where(F.col("verdict") == v), asked) for v in verdicts}
     hosts = stored(places.select(F.col("host").alias("key")).dropDuplicates(), "hosts")
     spam = stored((term_hosts(hosts, terms) if blocked is None else blocked).select("key").dropDuplicates(), "blocked")
-    if spam.count() <= MOST_KEYS:
+    try:
         places = places.withColumn("listed", build(spam, hosts).lists(F.col("host")))
-    else:
+    except Oversized:
         places = listed_by_join(places, spam, "listed")
+    try:
+        lists = {v: build(table.where(F.col("verdict") == v), asked) for v in verdicts}
+    except Oversized:
+        judged = ruled_by_join(places, keys, table)
+    else:
 
-    def fits(verdict: str) -> Column:
-        return F.transform(F.filter(keys, lists[verdict].lists), lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(verdict).alias("verdict")))
+        def fits(verdict: str) -> Column:
+            return F.transform(F.filter(keys, lists[verdict].lists), lambda k: F.struct(F.length(k).alias("n"), k.alias("key"), F.lit(verdict).alias("verdict")))
 
-    fitting = F.flatten(F.array(*map(fits, verdicts)))
-    best = F.array_max(fitting)
-    judged = places.withColumn("best", best)
+        judged = places.withColumn("best", F.array_max(F.flatten(F.array(*map(fits, verdicts)))))
     verdict = F.coalesce("best.verdict", F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
     return judged.select("page_id", "host", "path", F.col("best.key").alias("rule"), verdict.alias("verdict"), "listed")

@@ -56,3 +56,20 @@ def test_a_given_list_and_the_join_agree(spark, monkeypatch):
     monkeypatch.setattr(U, "RULES", U.RULES)
     assert sorted(map(tuple, U.judge(pages, U.RULES[:2], blocked=blocked).collect())) == one
     assert calls and with_rules == 1_000_000
+
+
+def test_mistakes_of_a_large_universe_leave_small_levels(spark, monkeypatch):
+    universe = spark.range(20_000).selectExpr("concat('k', id) as key")
+    listed = universe.where("key in ('k1', 'k22', 'k333')")
+    monkeypatch.setattr(U, "MOST_KEYS", 10)
+    cascade = U.build(listed, universe)
+    assert sorted(r["key"] for r in universe.where(cascade.lists(universe["key"])).collect()) == ["k1", "k22", "k333"]
+
+
+def test_oversized_levels_are_joined(spark, monkeypatch):
+    rows = [(i, u) for i, u in enumerate(URLS)] + [(3, "http://a.org/"), (3, "http://a.org/"), (None, "http://a.org/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    monkeypatch.setattr(U, "MOST_KEYS", 0)
+    got = [(r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in U.judge(pages).collect()]
+    assert sorted(got, key=str) == sorted([(i, *brute(u, U.TERMS)) for i, u in rows], key=str)
+    assert U.judge(pages.limit(0)).count() == 0
