@@ -1,17 +1,22 @@
 """Language-model scores by class-based bigrams, with classes from exchange clustering.
 
-The items that are clustered are the `WORDS` most frequent training words, and `ENDINGS` groups of all other words by a hash
-of their last three bytes, so that every word has a class without a table of all words. An item's class is exchanged for
-the one that raises the likelihood of the class bigrams most, over and over, until a pass moves nothing.
-
-    P(word | before) = P(class | class before) * P(item | class) * P(word | item)
-
-with class transitions smoothed towards class frequencies, and P(word | item) = 1 for a frequent word and add-half
-estimates over the words of an ending. Texts begin behind a start item and end with an end token.
-
-Counts are kept for every training word, in a table of the shared folder. The `KNOWN` most frequent ones (4 MB) are
-broadcast; the other words of a document meet their counts in a join, once for each distinct word of the document.
-Words are 64-bit hashes. What the driver holds is bounded by the numbers of items and known words.
+Every training word has a class of its own choosing, in a table (word, n, class) of the shared folder. It starts from a
+clustering of items: the `WORDS` most frequent words, and `ENDINGS` groups of all other words by a hash of their last three
+bytes; an item's class is exchanged for the one that raises the likelihood of the class bigrams most, over and over, until
+a pass moves nothing. Then come rounds over words (`refine`): the classes before and behind each word are counted, and each
+word takes the class that makes its own places likeliest under the class bigrams of the round. A round that lowers the
+likelihood of the class bigrams is given up; rounds end with it, when no word moves, or when one gains less than
+`LEAST_GAIN` of what the rounds before it gained.
+
+    P(word | before) = P(class | class before) * P(word | class)
+
+with class transitions smoothed towards class frequencies and add-half estimates of words. Ending groups only give classes
+to words that training lacks: each class has one unseen word for each of its endings. Texts begin behind a start item and
+end with an end token.
+
+Counts and classes of the `KNOWN` most frequent words (4 MB) are broadcast; other words meet theirs in joins, once for each
+distinct word, or pair with such a word, of a document. Words are 64-bit hashes. What the driver holds is bounded by the
+numbers of items, classes and known words.
 """
 
 from __future__ import annotations
@@ -30,6 +35,7 @@ from .words import SPACES, Piece, scan
 WORDS, ENDINGS, CLASSES = 512, 512, 64
 KNOWN = 1 << 18
 PASSES = 12
+ROUNDS, LEAST_GAIN = 12, 0.1
 WEIGHT = 20.0  # of class frequencies in smoothed transitions
 START, END = WORDS + ENDINGS, WORDS + ENDINGS + 1
 ITEMS = WORDS + ENDINGS + 2
@@ -69,19 +75,19 @@ def _items(hashes: np.ndarray, endings: np.ndarray, frequent: np.ndarray) -> np.
     return items
 
 
-def _bigrams(items: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _bigrams(items: np.ndarray, bounds: np.ndarray, start: int = START, end: int = END) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Items before and after, and row numbers, of all bigrams from each row's start to its end."""
     rows = len(bounds) - 1
     sizes = np.diff(bounds) + 1
     ends = np.cumsum(sizes)
     after = np.empty(len(items) + rows, dtype=np.int64)
-    after[ends - 1] = END
+    after[ends - 1] = end
     words = np.ones(len(after), dtype=bool)
     words[ends - 1] = False
     after[words] = items
     before = np.empty_like(after)
     before[1:] = after[:-1]
-    before[ends - sizes] = START
+    before[ends - sizes] = start
     return before, after, np.repeat(np.arange(rows), sizes)
 
 
@@ -208,31 +214,232 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
     return Model(frequent, hashes[order], times[order], of, transition, emission, int(n[:, END].sum()), int(tokens), int(distinct)), counts
 
 
+@dataclass
+class Classes:
+    """Classes of all training words: those of the known ones at hand, all of them in `table` (word, n, class)."""
+
+    table: DataFrame
+    known: np.ndarray  # sorted hashes
+    of: np.ndarray
+    pairs: np.ndarray  # counts of class bigrams
+
+
+def first_classes(model):
+    """(word, n, class) of counted words, by the classes of their items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent, of = model.value
+        for batch in batches:
+            word, ending = batch.column("word").to_numpy(), batch.column("ending").to_numpy()
+            own = np.where(ending < 0, of[END], of[_items(word.view(np.uint64), np.maximum(ending, 0), frequent)])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(own.astype(np.int32))], names=["word", "n", "class"])
+
+    return run
+
+
+def _find(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Places of hashes in the sorted `known`, -1 where they are not in it."""
+    if not len(known):
+        return np.full(len(hashes), -1, dtype=np.int64)
+    place = np.searchsorted(known, hashes)
+    place[place == len(known)] = 0
+    return np.where(known[place] == hashes, place, -1)
+
+
+class _Tokens:
+    """Bigrams of whole rows with the places and classes of known words; -1 for others."""
+
+    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, known: np.ndarray, of: np.ndarray):
+        n = len(hashes)
+        place = _find(hashes, known)
+        own = np.full(n, -1, dtype=np.int64)
+        own[place >= 0] = of[place[place >= 0]]
+        self.before, self.after, self.row = _bigrams(np.arange(n), bounds, n + 1, n)
+        self.hash = np.concatenate([hashes, [END_HASH, np.uint64(0)]]).view(np.int64)
+        self.place = np.concatenate([place, [len(known), -2]])
+        self.own = np.concatenate([own, [CLASSES - 1, CLASSES - 2]])
+
+
+HELD_CODES = 1 << 20
+
+
+def neighbours(classes):
+    """(word, side, other, class, n): classes behind (side 0) and before (side 1) words; `other` is a neighbour whose class is not at hand."""
+
+    def counted(codes: np.ndarray, times: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
+        words = np.concatenate([known, [END_HASH]]).view(np.int64)
+        n = len(codes)
+        columns = [pa.array(words[codes // (2 * CLASSES)]), pa.array((codes // CLASSES % 2).astype(np.int32)), pa.nulls(n, pa.int64()), pa.array((codes % CLASSES).astype(np.int32)), pa.array(times)]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "side", "other", "class", "n"])
+
+    def merged(held: list) -> tuple[np.ndarray, np.ndarray]:
+        codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        return codes, np.bincount(at, weights=np.concatenate([t for _, t in held]), minlength=len(codes)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, of = classes.value
+        held, size = [], 0
+        for batch in batches:
+            for _, _, bounds, hashes, _ in scan(batch.column("text"), SPACES, word_measures):
+                t = _Tokens(hashes, bounds, known, of)
+                codes = []
+                for side, (own, other) in enumerate(((t.before, t.after), (t.after, t.before))):
+                    place, kind = t.place[own], t.own[other]
+                    at_hand = (place >= 0) & (kind >= 0)
+                    codes.append((2 * place[at_hand] + side) * CLASSES + kind[at_hand])
+                    rest = np.flatnonzero(~at_hand & (place != -2))
+                    if len(rest):
+                        kind, other = kind[rest], t.hash[other[rest]]
+                        columns = [pa.array(t.hash[own[rest]]), pa.array(np.full(len(rest), side, np.int32)), pa.array(other, mask=kind >= 0), pa.array(kind.astype(np.int32), mask=kind < 0), pa.array(np.ones(len(rest), np.int64))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["word", "side", "other", "class", "n"])
+                held.append(np.unique(np.concatenate(codes), return_counts=True))
+                size += len(held[-1][0])
+                if size > 4 * HELD_CODES:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > HELD_CODES:
+                        yield counted(*held[0], known)
+                        held, size = [], 0
+        if held:
+            yield counted(*merged(held), known)
+
+    return run
+
+
+def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, cell (side, class) and count of the neighbours in a batch."""
+    lists = batch.column("cells")
+    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+    flat = lists.flatten()
+    return rows, flat.field("cell").to_numpy(), flat.field("n").to_numpy()
+
+
+def class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(CLASSES * CLASSES)
+    for batch in batches:
+        row, cell, n = _cells(batch)
+        before = cell >= CLASSES
+        code = (cell[before] - CLASSES).astype(np.int64) * CLASSES + batch.column("class").to_numpy()[row[before]]
+        seen += np.bincount(code, weights=n[before], minlength=CLASSES * CLASSES)
+    code = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(seen[code].astype(np.int64))], names=["code", "n"])
+
+
+def smoothed(pairs: np.ndarray) -> np.ndarray:
+    share = (pairs.sum(axis=0) + 1) / (pairs.sum() + CLASSES)
+    return (pairs + WEIGHT * share) / (pairs.sum(axis=1, keepdims=True) + WEIGHT)
+
+
+def likelihood(pairs: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, less what is the same for all classes of the words."""
+    return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=0)).sum() - _xlogx(pairs.sum(axis=1)).sum())
+
+
+def choose(pairs):
+    """(word, n, class, moved) with each word's best class under the class bigrams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forth = np.log(smoothed(pairs.value))
+        each = np.log(pairs.value.sum(axis=0) + 1)
+        for batch in batches:
+            row, cell, n = _cells(batch)
+            own, size = batch.column("class").to_numpy(), batch.num_rows
+            near = np.bincount(row * 2 * CLASSES + cell, weights=n, minlength=size * 2 * CLASSES).reshape(size, 2 * CLASSES)
+            gain = near[:, :CLASSES] @ forth.T + near[:, CLASSES:] @ forth - batch.column("n").to_numpy()[:, None] * each
+            best = gain[:, : CLASSES - 2].argmax(axis=1)
+            at = np.arange(size)
+            best = np.where((own >= CLASSES - 2) | (gain[at, best] <= gain[at, own] + 1e-9), own, best)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("word"), batch.column("n"), pa.array(best.astype(np.int32)), pa.array((best != own).astype(np.int32))], names=["word", "n", "class", "moved"]
+            )
+
+    return run
+
+
+def refine(docs: DataFrame, model: Model, counts: DataFrame, rounds: int = ROUNDS) -> Classes:
+    """A class for every counted word, from the classes of the model's items."""
+    context = docs.sparkSession.sparkContext
+    table = stored(counts.mapInArrow(first_classes(context.broadcast((model.frequent, model.of))), "word long, n long, class int"), "classes")
+    found, gained = None, 0.0
+    for at in range(rounds + 1):
+        top = table.where(F.col("word") != int(END_HASH)).orderBy(F.desc("n"), "word").limit(KNOWN).select("word", "class").toArrow()
+        hashes = top.column("word").to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        known, of = hashes[order], top.column("class").to_numpy()[order].astype(np.int64)
+        near = stored(docs.mapInArrow(neighbours(context.broadcast((known, of))), "word long, side int, other long, class int, n long"), "neighbours")
+        others = table.select(F.col("word").alias("other"), "class")
+        met = near.where("other is not null").drop("class").join(others, "other").groupBy("word", "side", "class").agg(F.sum("n").alias("n"))
+        dealt = near.where("other is null").select("word", "side", "class", "n").unionByName(met).repartition("word")
+        cells = dealt.groupBy("word", "side", "class").agg(F.sum("n").alias("n")).select("word", F.struct((F.col("side") * CLASSES + F.col("class")).alias("cell"), "n").alias("cell"))
+        places = stored(cells.groupBy("word").agg(F.collect_list("cell").alias("cells")).join(table, "word"), "places")
+        summed = places.select("class", "cells").mapInArrow(class_pairs, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+        pairs = np.zeros(CLASSES * CLASSES)
+        pairs[summed.column("code").to_numpy()] = summed.column("n").to_numpy()
+        pairs = pairs.reshape(CLASSES, CLASSES)
+        gain = likelihood(pairs) - likelihood(found.pairs) if found else 0.0
+        if found and gain <= 0:
+            break
+        found = Classes(table, known, of, pairs)
+        if at == rounds or (gained and gain < LEAST_GAIN * gained):
+            break
+        gained += gain
+        chosen = stored(places.mapInArrow(choose(context.broadcast(pairs)), "word long, n long, class int, moved int"), "classes")
+        if not chosen.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0]:
+            break
+        table = chosen.drop("moved")
+    return found
+
+
+def steps_between(classes: Classes, model: Model) -> np.ndarray:
+    """log10 of a class behind a class, less the denominator of the words of the class behind."""
+    whole = np.bincount(model.of[WORDS : WORDS + ENDINGS], minlength=CLASSES) * 0.5  # a word that training lacks for each ending
+    for row in classes.table.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
+        whole[row["class"]] += row["n"] + 0.5 * row["words"]
+    whole[CLASSES - 1] = max(whole[CLASSES - 1], 0.5)
+    return np.log10(smoothed(classes.pairs)) - np.log10(np.maximum(whole, 0.5))
+
+
 def score_batches(model):
-    """A task that scores rows but for their words that are not `known`, which it lists with their numbers."""
+    """A task that scores rows but for their words that are not `known`, which it lists with their numbers, and bigrams with such words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
+        m, of, steps = model.value
+        of_endings = m.of[WORDS : WORDS + ENDINGS]
         for batch in batches:
             done: list[list] = [[] for _ in range(4)]
             words, times, sizes = [], [], []
+            open_sizes, opened = [], [[] for _ in range(5)]
             for _, _, bounds, hashes, endings in scan(batch.column("text"), SPACES, word_measures):
                 rows = len(bounds) - 1
                 row = np.repeat(np.arange(rows), np.diff(bounds))
-                items = _items(hashes, endings, m.frequent)
-                before, after, at = _bigrams(items, bounds)
-                own = np.bincount(at, weights=m.transition[m.of[before], m.of[after]] + m.emission[after], minlength=rows)
-                known, count = np.zeros(len(hashes), dtype=bool), np.zeros(len(hashes))
-                if len(m.known):
-                    place = np.searchsorted(m.known, hashes)
-                    place[place == len(m.known)] = 0
-                    known = m.known[place] == hashes
-                    count[known] = m.counts[place[known]]
+                t = _Tokens(hashes, bounds, m.known, of)
+                place = t.place[:-2]
+                known, count = place >= 0, np.zeros(len(hashes))
+                count[known] = m.counts[place[known]]
+                first, second = t.own[t.before], t.own[t.after]
+                closed = (first >= 0) & (second >= 0)
+                own = np.bincount(t.row[closed], weights=steps[first[closed], second[closed]], minlength=rows)
+                # Bigrams with a word without a class at hand, once per row; the class is for words that training lacks.
+                left = np.flatnonzero(~closed)
+                unseen = np.concatenate([of_endings[endings], t.own[-2:]])
+                key_a, key_b = t.hash[t.before[left]], t.hash[t.after[left]]
+                order = np.lexsort((key_b, key_a, t.row[left]))
+                kept_a, kept_b, at = key_a[order], key_b[order], t.row[left][order]
+                new = np.ones(len(order), dtype=bool)
+                new[1:] = (kept_a[1:] != kept_a[:-1]) | (kept_b[1:] != kept_b[:-1]) | (at[1:] != at[:-1])
+                heads = np.flatnonzero(new)
+                one = left[order][heads]
+                for kept, found in zip(opened, (
+                    kept_a[heads], np.where(first[one] >= 0, first[one], -1 - unseen[t.before[one]]),
+                    kept_b[heads], np.where(second[one] >= 0, second[one], -1 - unseen[t.after[one]]),
+                    np.diff(np.concatenate([heads, [len(order)]])),
+                )):
+                    kept.append(found)
+                open_sizes.append(np.bincount(at[heads], minlength=rows))
                 logs = np.where(known, np.log10(count + 0.5), 0.0)
                 base = np.bincount(row, weights=logs, minlength=rows) + np.log10(m.end_count + 0.5)
-                rare = np.bincount(row, weights=np.where(items >= WORDS, logs, 0.0), minlength=rows)
                 n_known = np.bincount(row, weights=known, minlength=rows).astype(np.int64) + (m.end_count > 0)
-                for kept, found in zip(done, (np.diff(bounds) + 1, n_known, base, own + rare)):
+                for kept, found in zip(done, (np.diff(bounds) + 1, n_known, base, own)):
                     kept.append(found)
                 # Words without a count at hand, once per row.
                 other = np.flatnonzero(~known)
@@ -251,16 +458,34 @@ def score_batches(model):
                 pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x or [np.zeros(0)]).astype(kind)))
                 for x, kind in ((words, np.int64), (times, np.int32))
             ]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(open_sizes or [np.zeros(0, np.int64)]))]).astype(np.int32))
+            lists += [
+                pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x or [np.zeros(0)]).astype(kind)))
+                for x, kind in zip(opened, (np.int64, np.int32, np.int64, np.int32, np.int32))
+            ]
             numbers = [pa.array(np.concatenate(x or [np.zeros(0)]), kind) for x, kind in zip(done, (pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), *numbers, *lists],
-                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "own", "words", "times"],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "base", "own", "words", "times", "a", "of_a", "b", "of_b", "pair_times"],
             )
 
     return run
 
 
-SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, words array<long>, times array<int>"
+SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, own double, words array<long>, times array<int>, a array<long>, of_a array<int>, b array<long>, of_b array<int>, pair_times array<int>"
+
+
+def open_steps(scored: DataFrame, classes: DataFrame, steps: np.ndarray) -> DataFrame:
+    """(row, own): what the listed bigrams add. `of_a` and `of_b` are classes, or -1 less the class in case that training lacks the word."""
+    pairs = scored.select("row", F.explode(F.arrays_zip("a", "of_a", "b", "of_b", "pair_times")).alias("p")).select("row", "p.*")
+    for word, of in (("a", "of_a"), ("b", "of_b")):
+        # Words with a class get a key of their own, so that frequent ones don't meet in one task.
+        keyed = pairs.withColumn("key", F.when(F.col(of) < 0, F.col(word)).otherwise(F.xxhash64("row", "a", "b")))
+        found = keyed.join(classes.select(F.col("word").alias("key"), F.col("class").alias("found")), "key", "left")
+        pairs = found.withColumn(of, F.when(F.col(of) >= 0, F.col(of)).otherwise(F.coalesce("found", -1 - F.col(of)))).drop("key", "found")
+    cells = [(i, j, float(x)) for i, line in enumerate(steps) for j, x in enumerate(line)]
+    table = scored.sparkSession.createDataFrame(cells, "of_a int, of_b int, step double")
+    return pairs.join(F.broadcast(table), ["of_a", "of_b"]).groupBy("row").agg(F.sum(F.col("pair_times") * F.col("step")).alias("open"))
 
 
 def score(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
@@ -272,8 +497,11 @@ def score(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
     empty table gives no rows.
     """
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), (fold(docs["doc_id"]) == held_out_fold).alias("held_out"), text_or_empty(docs).alias("text"))
-    model, counts = train(rows.where("not held_out").select("text"))
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    learnt = rows.where("not held_out").select("text")
+    model, counts = train(learnt)
+    classes = refine(learnt, model, counts)
+    steps = steps_between(classes, model)
+    held = docs.sparkSession.sparkContext.broadcast((model, classes.of, steps))
     scored = stored(rows.mapInArrow(score_batches(held), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
     words = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
     met = words.join(counts.select("word", "n"), "word", "left")
@@ -281,10 +509,11 @@ def score(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("met")
     )
     rest_of = F.coalesce("rest", F.lit(0.0))
+    opened = open_steps(scored, classes.table, steps)
     whole = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
-    return scored.drop("words", "times").join(rest, "row", "left").select(
+    return scored.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "own").join(rest, "row", "left").join(opened, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + rest_of - F.col("n_tokens") * whole).alias("base_score"),
-        (F.col("own") + rest_of).alias("score"),
+        (F.col("own") + F.coalesce("open", F.lit(0.0)) + F.col("base") + rest_of).alias("score"),
     )

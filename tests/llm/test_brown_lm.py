@@ -92,3 +92,37 @@ def test_empty(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 5 == 1)
     only = B.score(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert only["train_tokens"] == 0 and only["base_score"] == 0 and math.isfinite(only["score"])
+
+
+@pytest.mark.parametrize("known", [B.KNOWN, 520])
+def test_each_word_has_a_class_of_its_own(spark, monkeypatch, known):
+    # Words of two kinds stand where the frequent `u` and `v` do; all end alike, and none is among the most frequent ones.
+    random = np.random.default_rng(5)
+    common = " ".join(f"c{i} c{i}" for i in range(600)) + " "
+    kinds = (("p r", "u", "x"), ("q q", "v", "y"))
+    texts = [" ".join(f"{a} {b if i % 4 < 2 else f'{c}{random.integers(40)}zzz'}" for i in range(80) for a, b, c in [kinds[i % 2]]) for _ in range(60)]
+    docs = spark.createDataFrame([(common * 20,)] + [(t,) for t in texts], "text string")
+    monkeypatch.setattr(B, "KNOWN", known)
+    model, counts = B.train(docs)
+    assert len(model.frequent) == B.WORDS
+    classes = B.refine(docs, model, counts)
+    assert classes.table.count() == counts.count()
+    start = counts.mapInArrow(B.first_classes(spark.sparkContext.broadcast((model.frequent, model.of))), "word long, n long, class int")
+    ours = counts.where("n < 40 and ending >= 0").select("word")
+    assert start.join(ours, "word").select("class").distinct().count() == 1
+    assert classes.table.join(ours, "word").select("class").distinct().count() > 1
+    assert B.likelihood(classes.pairs) > B.likelihood(B.refine(docs, model, counts, rounds=0).pairs)
+    # Class bigrams against the texts.
+    of = {r["word"]: r["class"] for r in classes.table.collect()}
+    pairs = np.zeros((B.CLASSES, B.CLASSES))
+    for r in docs.collect():
+        hashes = next(B.scan(B.pa.array([r["text"]]), B.SPACES, B.word_measures))[3].view(np.int64).tolist()
+        line = [B.CLASSES - 2, *(of[h] for h in hashes), B.CLASSES - 1]
+        np.add.at(pairs, (line[:-1], line[1:]), 1)
+    assert (pairs == classes.pairs).all()
+    # Words of each class, with the unseen one of each ending, share all of its mass.
+    steps = B.steps_between(classes, model)
+    mass = np.bincount(model.of[B.WORDS : B.START], minlength=B.CLASSES) * 0.5
+    for r in classes.table.collect():
+        mass[r["class"]] += r["n"] + 0.5
+    assert np.allclose((10**steps * mass)[:, mass > 0], B.smoothed(classes.pairs)[:, mass > 0])
