@@ -260,48 +260,55 @@ class _Tokens:
         self.own = np.concatenate([own, [CLASSES - 1, CLASSES - 2]])
 
 
-HELD_CODES = 1 << 20
+HELD_CELLS = 1 << 22
+CELL = np.dtype([("cell", "u1"), ("n", ">u4")])  # side * CLASSES + class, and a count
 
 
-def neighbours(classes):
-    """(word, side, other, class, n): classes behind (side 0) and before (side 1) words; `other` is a neighbour whose class is not at hand."""
+def _packed(words: np.ndarray, cells: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """One row (word, other, side, cells) for each run of equal words."""
+    heads = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
+    packed = np.empty(len(words), dtype=CELL)
+    packed["cell"], packed["n"] = cells, n
+    offsets = (np.concatenate([heads, [len(words)]]) * CELL.itemsize).astype(np.int32)
+    lists = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
+    columns = [pa.array(words[heads]), pa.nulls(len(heads), pa.int64()), pa.nulls(len(heads), pa.int32()), lists]
+    return pa.RecordBatch.from_arrays(columns, names=["word", "other", "side", "cells"])
+
 
-    def counted(codes: np.ndarray, times: np.ndarray, known: np.ndarray) -> pa.RecordBatch:
-        words = np.concatenate([known, [END_HASH]]).view(np.int64)
-        n = len(codes)
-        columns = [pa.array(words[codes // (2 * CLASSES)]), pa.array((codes // CLASSES % 2).astype(np.int32)), pa.nulls(n, pa.int64()), pa.array((codes % CLASSES).astype(np.int32)), pa.array(times)]
-        return pa.RecordBatch.from_arrays(columns, names=["word", "side", "other", "class", "n"])
+def neighbours(classes):
+    """(word, other, side, cells): counted classes behind (side 0) and before (side 1) words, packed; or `other`, a neighbour whose class is not at hand."""
 
-    def merged(held: list) -> tuple[np.ndarray, np.ndarray]:
-        codes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-        return codes, np.bincount(at, weights=np.concatenate([t for _, t in held]), minlength=len(codes)).astype(np.int64)
+    def flushed(codes: list, words: list, cells: list, known: np.ndarray) -> Iterator[pa.RecordBatch]:
+        code, times = np.unique(np.concatenate(codes), return_counts=True)
+        yield _packed(np.concatenate([known, [END_HASH]]).view(np.int64)[code // (2 * CLASSES)], code % (2 * CLASSES), times)
+        word, cell = np.concatenate(words), np.concatenate(cells)
+        order = np.lexsort((cell, word))
+        yield _packed(word[order], cell[order], np.ones(len(order), dtype=np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, of = classes.value
-        held, size = [], 0
+        codes, words, cells, size = [], [], [], 0
         for batch in batches:
             for _, _, bounds, hashes, _ in scan(batch.column("text"), SPACES, word_measures):
                 t = _Tokens(hashes, bounds, known, of)
-                codes = []
                 for side, (own, other) in enumerate(((t.before, t.after), (t.after, t.before))):
                     place, kind = t.place[own], t.own[other]
-                    at_hand = (place >= 0) & (kind >= 0)
-                    codes.append((2 * place[at_hand] + side) * CLASSES + kind[at_hand])
+                    at_hand = kind >= 0
+                    dense = at_hand & (place >= 0)
+                    codes.append(((2 * place[dense] + side) * CLASSES + kind[dense]).astype(np.int32))
+                    loose = at_hand & (place == -1)
+                    words.append(t.hash[own[loose]])
+                    cells.append((side * CLASSES + kind[loose]).astype(np.uint8))
+                    size += int(at_hand.sum())
                     rest = np.flatnonzero(~at_hand & (place != -2))
                     if len(rest):
-                        kind, other = kind[rest], t.hash[other[rest]]
-                        columns = [pa.array(t.hash[own[rest]]), pa.array(np.full(len(rest), side, np.int32)), pa.array(other, mask=kind >= 0), pa.array(kind.astype(np.int32), mask=kind < 0), pa.array(np.ones(len(rest), np.int64))]
-                        yield pa.RecordBatch.from_arrays(columns, names=["word", "side", "other", "class", "n"])
-                held.append(np.unique(np.concatenate(codes), return_counts=True))
-                size += len(held[-1][0])
-                if size > 4 * HELD_CODES:
-                    held = [merged(held)]
-                    size = len(held[0][0])
-                    if size > HELD_CODES:
-                        yield counted(*held[0], known)
-                        held, size = [], 0
-        if held:
-            yield counted(*merged(held), known)
+                        columns = [pa.array(t.hash[own[rest]]), pa.array(t.hash[other[rest]]), pa.array(np.full(len(rest), side, np.int32)), pa.nulls(len(rest), pa.binary())]
+                        yield pa.RecordBatch.from_arrays(columns, names=["word", "other", "side", "cells"])
+                if size > HELD_CELLS:
+                    yield from flushed(codes, words, cells, known)
+                    codes, words, cells, size = [], [], [], 0
+        if size:
+            yield from flushed(codes, words, cells, known)
 
     return run
 
@@ -309,9 +316,11 @@ def neighbours(classes):
 def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, cell (side, class) and count of the neighbours in a batch."""
     lists = batch.column("cells")
-    rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
-    flat = lists.flatten()
-    return rows, flat.field("cell").to_numpy(), flat.field("n").to_numpy()
+    parts = lists.flatten().to_pylist()
+    each = np.array([len(x) for x in parts], dtype=np.int64) // CELL.itemsize
+    packed = np.frombuffer(b"".join(parts), dtype=CELL)
+    rows = np.repeat(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), each)
+    return rows, packed["cell"].astype(np.int64), packed["n"].astype(np.int64)
 
 
 def class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,12 +375,13 @@ def refine(docs: DataFrame, model: Model, counts: DataFrame, rounds: int = ROUND
         hashes = top.column("word").to_numpy().astype(np.int64).view(np.uint64)
         order = np.argsort(hashes)
         known, of = hashes[order], top.column("class").to_numpy()[order].astype(np.int64)
-        near = stored(docs.mapInArrow(neighbours(context.broadcast((known, of))), "word long, side int, other long, class int, n long"), "neighbours")
+        near = stored(docs.mapInArrow(neighbours(context.broadcast((known, of))), "word long, other long, side int, cells binary"), "neighbours")
         others = table.select(F.col("word").alias("other"), "class")
-        met = near.where("other is not null").drop("class").join(others, "other").groupBy("word", "side", "class").agg(F.sum("n").alias("n"))
-        dealt = near.where("other is null").select("word", "side", "class", "n").unionByName(met).repartition("word")
-        cells = dealt.groupBy("word", "side", "class").agg(F.sum("n").alias("n")).select("word", F.struct((F.col("side") * CLASSES + F.col("class")).alias("cell"), "n").alias("cell"))
-        places = stored(cells.groupBy("word").agg(F.collect_list("cell").alias("cells")).join(table, "word"), "places")
+        met = near.where("other is not null").join(others, "other").groupBy("word", (F.col("side") * CLASSES + F.col("class")).alias("cell")).count()
+        packed = F.unhex(F.concat(F.lpad(F.hex("cell"), 2, "0"), F.lpad(F.hex("count"), 8, "0")))
+        cells = near.where("other is null").select("word", "cells").unionByName(met.select("word", packed.alias("cells")))
+        # A word has few packed rows: one from each run of HELD_CELLS, and one for each cell.
+        places = stored(cells.groupBy("word").agg(F.collect_list("cells").alias("cells")).join(table, "word"), "places")
         summed = places.select("class", "cells").mapInArrow(class_pairs, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
         pairs = np.zeros(CLASSES * CLASSES)
         pairs[summed.column("code").to_numpy()] = summed.column("n").to_numpy()
