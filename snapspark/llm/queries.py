@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import brown_lm, chat_windows, decontamination, exact_dedup, mixing, ngram_join, quality, token_counts, toxicity, url_filter
+from . import (
+    brown_lm, chat_windows, decontamination, exact_dedup, filter_audit, mixing, ngram_join, prefix_trie, quality, token_counts, token_files,
+    toxicity, url_filter,
+)
 from .common import fold, read
 
 
@@ -66,16 +69,32 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(read(spark, sf_dir, "conversations"))
+    return prefix_trie.summary(prefix_trie.build(*prefix_trie.rebuilt(turns)))
+
+
+def op13_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write(read(spark, sf_dir, "documents"))
+    return token_files.read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_join, op2_toxicity, op3_quality, op4_decontamination, op5_brown_lm,
         op6_token_counts, op7_chat_windows, op8_url_filter, op9_exact_dedup, op10_mixing,
+        op11_filter_audit, op12_prefix_trie, op13_token_files,
     )
 }
 
 _LOWER = f"translate(coalesce(text, ''), '{decontamination.UPPER}', '{decontamination.LOWER}')"
 _RULES = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+_SPACED = r"[^\x20\x09-\x0D]+"
 _TERMS = " or ".join(f"contains(host, '{t}')" for t in url_filter.TERMS)
 
 ORACLES: dict[str, str] = {
@@ -103,4 +122,42 @@ from listed l left join (select distinct * from fit) f on l.page_id = f.page_id
     "op9_exact_dedup": """
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, sha256(coalesce(text, '')) as text_sha256
 from documents window g as (partition by coalesce(text, ''))""",
+    "op11_filter_audit": rf"""
+with doc as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '{_SPACED}') as w from documents),
+label as (select doc_id, max(cast(quality = 1 as int)) as good, max(cast(toxic = 1 as int)) as toxic from labels where doc_id is not null group by doc_id),
+fail as (select part, len(w) < {filter_audit.LEAST_WORDS} as a, 100 * len(list_distinct(w)) < {filter_audit.LEAST_DISTINCT} * len(w) as b,
+                100 * len(regexp_extract_all(t, '[A-Z]')) > {filter_audit.MOST_CAPITALS} * length(t) as c, regexp_matches(t, '{filter_audit.MARKS}') as d,
+                coalesce(doc_id > min(doc_id) over (partition by t), false) as e, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic
+         from doc left join label using (doc_id)),
+cell as (select part, concat(if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(e, 'E', '')) as failed,
+                count(*) as n, sum(good) as good, sum(toxic) as toxic from fail group by all),
+letter as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+sequence as (select concat(a.x, b.x, c.x, d.x, e.x) as filter_order
+             from letter a join letter b on b.x <> a.x join letter c on c.x not in (a.x, b.x) join letter d on d.x not in (a.x, b.x, c.x)
+             join letter e on e.x not in (a.x, b.x, c.x, d.x)),
+place as (select filter_order, step, filter_order[step] as own, filter_order[1:step - 1] as earlier from sequence, (select unnest(range(1, 6)) as step)),
+spot as (select part, filter_order, step, own, n, good, toxic, failed, contains(failed, own) as fails,
+              failed <> '' and translate(failed, earlier, '') <> failed as gone from place, cell),
+metric as (select part, filter_order, cast(step as int) as step, own,
+                  cast(sum(if(not fails and not gone, n, 0)) as bigint) as kept, cast(sum(if(fails and not gone, n, 0)) as bigint) as removed,
+                  cast(sum(if(fails and gone, n, 0)) as bigint) as redundant, cast(sum(if(failed = own, n, 0)) as bigint) as unique_fails,
+                  cast(sum(if(fails and not gone, good, 0)) as bigint) as good_lost, cast(sum(if(fails and not gone, toxic, 0)) as bigint) as toxic_lost
+           from spot group by part, filter_order, step, own)
+select * exclude (own), cast(sum(removed) over (partition by part, own) as bigint) as shapley from metric""",
+    "op12_prefix_trie": rf"""
+with own as (select conv_id as c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) order by turn nulls first) as turns
+             from conversations where conv_id is not null group by conv_id),
+head as (select c, turns, xor(list_reduce(list_concat([4294967295], list_transform(string_split(cast(c as varchar), ''), lambda x: cast(ascii(x) as bigint))),
+                lambda h, b: list_reduce([xor(h, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) % 4 as h from own),
+conv as (select a.c, list_concat(coalesce(b.turns, [])[1:a.h], a.turns[a.h + 1:]) as seq from head a left join own b on b.c = a.c - a.c % 20),
+step as (select c, seq, unnest(range(0, len(seq) + 1)) as d from conv),
+node as (select seq[1:d] as path, d, min(c) as conv_id, count(*) as n, list(c order by c) filter (where len(seq) = d) as ended from step group by 1, 2),
+child as (select path[1:d - 1] as path, count(*) as n from node where d > 0 group by 1),
+known as (select node.*, coalesce(child.n, 0) as n_children, if(d = 0, 0, (node.n - 1) * len(regexp_extract_all(path[d].t, '{_SPACED}'))) as saved
+          from node left join child using (path)),
+up as (select path[1:k] as path, saved, n_children from (select *, unnest(range(0, d + 1)) as k from known)),
+below as (select path, count(*) filter (where n_children = 0) as n_leaves, sum(saved) as saved from up group by path)
+select k.conv_id, k.d as depth, p.conv_id as parent_conv_id, k.n as n_convs, k.n_children, n_leaves, cast(below.saved as bigint) as saved_tokens,
+       sha256(coalesce(array_to_string(k.ended, ','), '')) as ends_sha256
+from known k join below on below.path = k.path left join node p on p.d = k.d - 1 and p.path = k.path[1:k.d - 1]""",
 }

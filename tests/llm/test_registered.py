@@ -16,6 +16,7 @@ COLUMNS = {
     "op6_token_counts": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
     "op7_chat_windows": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
     "op10_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op13_token_files": ["doc_id", "start", "n_tokens", "ids_crc32"],
 }
 
 
