@@ -37,8 +37,8 @@ from .common import stored, text_or_empty
 TOKENIZER = "word_bpe_49k.json"
 END = 2
 TEXT_BYTES = 4 << 20  # bytes of text that are encoded together
-ENCODE_BYTES = 1 << 18
-HELD_IDS = 4 << 20  # ids remembered for words met lately
+ENCODE_PIECES = 4096
+HELD_PIECES = 1 << 19  # pieces whose ids are remembered
 SAMPLES = 2000
 SLICE_IDS = 2048
 DICTIONARY_BYTES = 64 << 10
@@ -53,6 +53,13 @@ SEGMENTS = (
 )
 
 
+#: Words of signs whose lower case and normal form are known to be one to one, and the pieces into which the tokenizer cuts
+#: them once they are lower case. The endings behind an apostrophe are the tokenizer's.
+PLAIN = "^[!-~À-ÖØ-öø-ÿ¡¿«»\u2010-\u2027]*$"
+PIECES = "('s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\x09-\\x0D a-zß-öø-ÿ0-9]+)"
+SPECIAL = "<|"
+
+
 class Dictionary(NamedTuple):
     hash: str
     data: bytes
@@ -91,54 +98,71 @@ def split_long(text: str, limit: int = TEXT_BYTES) -> Iterator[str]:
 
 
 class Encoder:
-    """Ids of texts, word by word.
+    """Ids of texts, piece by piece.
 
     The tokenizer drops white space and never joins what stands on both sides of it, so the ids of a text are those of its
-    words between ASCII white space, one after the other. Words are numbered, the ids of word k are
-    `ids[starts[k]:starts[k] + sizes[k]]`, and a batch of texts is put together by numpy.
+    words between ASCII white space, one after the other. Words of common signs are cut further, into the tokenizer's own
+    pieces, of which there are far fewer. Pieces are numbered, the ids of piece k are `ids[starts[k]:starts[k] + sizes[k]]`,
+    and words and texts are put together by numpy.
     """
 
     def __init__(self, path: str):
-        self.encode = tokenizer(path).encode_batch_fast
+        self.encode = tokenizer(path).encode
         self.forget()
 
     def forget(self) -> None:
         self.numbers: dict[str, int] = {}
         self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in words if w not in self.numbers]
-        ids, sizes, batch, held = [self.ids], [], [], 0
-        for i, word in enumerate(new):
-            batch.append(word)
-            held += len(word)
-            if held >= ENCODE_BYTES or i == len(new) - 1:
-                for found in self.encode(batch, add_special_tokens=False):
-                    ids.append(np.array(found.ids, np.uint32))
-                    sizes.append(len(found.ids))
-                batch, held = [], 0
-        if new:
-            self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
-            added = np.array(sizes, np.int64)
-            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(added) - added])
-            self.sizes = np.concatenate([self.sizes, added])
-            self.ids = np.concatenate(ids)
+    def learn(self, pieces: list[str]) -> None:
+        new = [p for p in pieces if p not in self.numbers]
+        if not new:
+            return
+        ids, sizes = [self.ids], []
+        for i in range(0, len(new), ENCODE_PIECES):
+            batch = new[i : i + ENCODE_PIECES]
+            found = self.encode(batch, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(found.ids, np.uint32))
+            sizes.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(batch)))
+        self.numbers.update(zip(new, range(len(self.numbers), len(self.numbers) + len(new))))
+        added = np.concatenate(sizes)
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(added) - added])
+        self.sizes = np.concatenate([self.sizes, added])
+        self.ids = np.concatenate(ids)
 
     def of(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.ids) > HELD_IDS:
+        if len(self.numbers) > HELD_PIECES:
             self.forget()
         words = pc.ascii_split_whitespace(texts)
         coded = words.flatten().dictionary_encode()
-        known = coded.dictionary.to_pylist()
+        distinct = coded.dictionary
+        plain = pc.and_(pc.match_substring_regex(distinct, PLAIN), pc.invert(pc.match_substring(distinct, SPECIAL)))
+        cut = pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(distinct), PIECES, "\\1 "), distinct)
+        pieces = pc.ascii_split_whitespace(cut)
+        met = pieces.flatten().dictionary_encode()
+        known = met.dictionary.to_pylist()
         self.learn(known)
-        number = np.array([self.numbers[w] for w in known], np.int64)[coded.indices.to_numpy()] if known else np.zeros(0, np.int64)
-        sizes = self.sizes[number]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        ids = self.ids[np.repeat(self.starts[number] - ends[:-1], sizes) + np.arange(ends[-1])]
-        bounds = ends[words.offsets.to_numpy() - words.offsets[0].as_py()]
+        number = np.array([self.numbers[p] for p in known], np.int64)
+        ids, ends = _gathered(self.ids, self.starts, self.sizes, number[met.indices.to_numpy()])
+        # Ids of the distinct words, then of all words.
+        bounds = ends[_offsets(pieces)]
+        ids, ends = _gathered(ids, bounds[:-1], np.diff(bounds), coded.indices.to_numpy())
+        bounds = ends[_offsets(words)]
         return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
+def _offsets(lists: pa.ListArray) -> np.ndarray:
+    found = lists.offsets.to_numpy()
+    return found - found[0]
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of numbered runs, one after the other, and where each of them ends, from 0."""
+    own = sizes[number]
+    ends = np.concatenate([[0], np.cumsum(own)])
+    return ids[np.repeat(starts[number] - ends[:-1], own) + np.arange(ends[-1])], ends
+
+
 _encoders: dict[str, Encoder] = {}
 
 

@@ -14,9 +14,9 @@ SCHEMA = "doc_id long, text string, ids string, part string"
 def some_texts():
     rnd = random.Random(4)
     parts = ["a", "The", " ", "  ", "\n", "\t", "\r", "\x0b", "\x1c", "é", "é", "́", "ñandú", "don't", "'s", "'", "123", "!?", "<|endoftext|>", "<|", " ", "　",
-             "日本", "🙂", "ΣΑΣ", "İ", "각", "가", "x.\ny", "ſ", "Å"]
+             "日本", "🙂", "'T", "'ll", "ll", "«", "¿", "…", "’", "ÀÉ", "ß", "ÿ", "µ", "ª", "×", "²", "<", "|>", "12", "ABC", "(", ")", "ΣΑΣ", "İ", "각", "가", "x.\ny", "ſ", "Å"]
     texts = [None, "", " ", "word " * 400_000, "x" * 20_000, "日本語の文" * 3000, "tail\n" * 10 + " "]
-    return texts + ["".join(rnd.choices(parts, k=rnd.randrange(40))) for _ in range(300)]
+    return texts + ["".join(rnd.choices(parts, k=rnd.randrange(40))) for _ in range(600)]
 
 
 def want(rows):
@@ -82,12 +82,12 @@ def test_pieces_of_a_long_text():
     assert [i for p in pieces for i in encode.of(pa.array([p]))[0].tolist()] == whole
 
 
-def test_remembered_ids_are_bounded(monkeypatch):
-    monkeypatch.setattr(T, "HELD_IDS", 20)
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(T, "HELD_PIECES", 20)
     encode = T.Encoder(T.default_path())
     for i in range(30):
         encode.of(pa.array([f"w{i}a w{i}b"]))
-        assert len(encode.ids) <= 20 + 20
+        assert len(encode.numbers) <= 20 + 20
 
 
 def test_trained_dictionary_helps_short_documents():
