@@ -30,6 +30,13 @@ def fold(col: Column) -> Column:
     return F.translate(F.lower(col), source, target)
 
 
+def fold_text(text: str) -> str:
+    """As `fold`, of one search term."""
+    source, target = _fold_table()
+    kept = len(target)
+    return text.lower().translate(str.maketrans(source[:kept], target, source[kept:]))
+
+
 def tokens(col: Column) -> Column:
     """Distinct folded tokens of a text."""
     return F.array_distinct(F.transform(F.regexp_extract_all(col, F.lit(TOKEN), F.lit(0)), fold))
