@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import urls as U
+
 # Fixed values ---------------------------------------------------------------------------------
 MEDIA_EXTENSIONS = {
     "image/jpeg": "jpg",
@@ -179,52 +181,37 @@ def holding_artwork_url(base: str, key: Column, catalog: str, holdings: str, col
     return media_url(base, key, valid)
 
 
-#: Scheme, authority and the rest of a web URL; characters a host name can't have.
-_WEB_URL = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*):[/\\]{2}([^/\\?#]*)"
-_HOST = r"^([^\x00-\x20\x7F#/:<>?@\[\\\]^|%]+|\[[0-9A-Fa-f:.]+\])(:[0-9]{0,5})?$"
-
-
-def _scheme(col: Column) -> Column:
-    return F.lower(F.regexp_extract(col, _WEB_URL, 1))
-
-
-def _authority(col: Column) -> Column:
-    """Everything between the slashes and the path; empty when there is none."""
-    return F.regexp_extract(col, _WEB_URL, 2)
-
-
-def _host(col: Column) -> Column:
-    return F.lower(F.regexp_extract(_authority(col), _HOST, 1))
-
-
 def safe_url(col: Column, https_only: bool = False) -> Column:
-    """The URL when it is short, http(s), with a host and free of credentials, else NULL; the text is not normalised.
-
-    Only scheme and authority decide: blanks, bars, percent signs and any script are fine behind the host, and underscores
-    and letters of any script inside it, as web browsers take them.
-    """
+    """The URL in normal form (see `urls`) when it is short, http(s), with a host and free of credentials, else NULL."""
     schemes = ("https",) if https_only else ("http", "https")
-    ok = (F.length(col) <= MAX_URL_LENGTH) & _scheme(col).isin(*schemes) & (_host(col) != "")
-    return F.when(ok, col)
+    # Lengths are in UTF-16 units, as the archive counts them.
+    units = F.length(col) + F.regexp_count(col, F.lit("[^\\x{0}-\\x{FFFF}]"))
+    given = F.when(units <= MAX_URL_LENGTH, col)
+
+    def whole(parts: Column) -> Column:
+        return F.when(parts["scheme"].isin(*schemes) & ~parts["credentials"], U.written(parts))
+
+    at_once = U.plain(given) & given.rlike(f"^(?:{'|'.join(schemes)}):")
+    return F.when(at_once, given).otherwise(U.let(U.parse(given), whole))
 
 
 def with_image_url(df: DataFrame, column: str, hosts: MediaHosts) -> DataFrame:
-    """Add `url` (what to fetch) and `code` (OK, REWRITTEN, or why it is refused); a known dead host is rewritten."""
-    source = F.col(column)
-    parsed = (
-        df.withColumn("_scheme", _scheme(source)).withColumn("_host", _host(source)).withColumn("_port", F.regexp_extract(_authority(source), ":[0-9]+$", 0))
-    )
-    plain = (F.col("_scheme") == "https") & (F.col("_host") != "") & (F.col("_port") == "")
-    code = (
-        F.when(~F.coalesce(plain, F.lit(False)), "INVALID_SOURCE_URL")
-        .when(F.col("_host") == hosts.dead_images, "REWRITTEN")
-        .when(~F.col("_host").isin(*hosts.trusted_images), "SOURCE_HOST_NOT_ALLOWED")
-        .otherwise("OK")
-    )
-    bare = F.regexp_replace(source, "#.*$", "")
-    moved = F.regexp_replace(bare, "^(?i)https://[^/?]+", f"https://{hosts.recovered_images}")
-    url = F.when(F.col("code") == "REWRITTEN", moved).when(F.col("code") == "OK", bare)
-    return parsed.withColumn("code", code).withColumn("url", url).drop("_scheme", "_host", "_port")
+    """Add `url` (what to fetch, in normal form and without a fragment) and `code` (OK, REWRITTEN, or why it is refused); a
+    known dead host is rewritten."""
+
+    def judged(parts: Column) -> Column:
+        fine = F.coalesce((parts["scheme"] == "https") & ~parts["credentials"] & parts["port"].isNull(), F.lit(False))
+        code = (
+            F.when(~fine, "INVALID_SOURCE_URL")
+            .when(parts["host"] == hosts.dead_images, "REWRITTEN")
+            .when(~parts["host"].isin(*hosts.trusted_images), "SOURCE_HOST_NOT_ALLOWED")
+            .otherwise("OK")
+        )
+        moved = U.written(parts, F.lit(hosts.recovered_images), fragment=False)
+        url = U.let(code, lambda c: F.when(c == "REWRITTEN", moved).when(c == "OK", U.written(parts, fragment=False)))
+        return F.struct(code.alias("code"), url.alias("url"))
+
+    return df.withColumn("_judged", U.let(U.parse(F.col(column)), judged)).select("*", "_judged.code", "_judged.url").drop("_judged")
 
 
 def gateway_label(url: Column, media_key: Column, hosts: MediaHosts) -> Column:

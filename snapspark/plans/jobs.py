@@ -52,6 +52,31 @@ def _(a):
     return J.union_all(*parts)
 
 
+# Every page's URL written in one of nine odd ways, and what each of them is in normal form.
+ODD_URLS = [
+    ("upper(s) || '://' || upper(h) || p || t", "url"),
+    ("s || '://' || h || case s when 'https' then ':443' else ':080' end || p || t", "url"),
+    ("s || '://' || h || '/x/.././%2e' || p || t", "url"),
+    ("chr(9) || ' ' || url || chr(10) || ' '", "url"),
+    ("s || '://' || h || p || ' é\"' || t", "s || '://' || h || p || '%20%C3%A9%22' || t"),
+    ("s || ':' || replace('//' || h || p, '/', chr(92)) || t", "url"),
+    ("s || '://user:pw@' || h || p || t", "null"),
+    ("s || '://Bücher.' || h || p || t", "s || '://xn--bcher-kva.' || h || p || t"),
+    ("s || '://' || h || ':8443' || p || '?q=''x y''#é'", "s || '://' || h || ':8443' || p || '?q=%27x%20y%27#%C3%A9'"),
+]
+_PARTED = "regexp_extract(url, '^(https?)://([^/]+)(/[^?#]*)(.*)$', {})"
+_WAYS = "case page_id % 9 " + " ".join(f"when {i} then {{{i}}}" for i in range(9)) + " end"
+
+
+@query("n2_normal_urls", f"""
+  select page_id, {_WAYS.format(*[want for _, want in ODD_URLS])} as url from (
+    select page_id, url, {_PARTED.format(1)} as s, {_PARTED.format(2)} as h, {_PARTED.format(3)} as p, {_PARTED.format(4)} as t from pages) x""")
+def _(a):
+    parted = a.pages.select("page_id", "url", *[F.regexp_extract("url", "^(https?)://([^/]+)(/[^?#]*)(.*)$", i).alias(c) for i, c in enumerate("shpt", 1)])
+    odd = parted.withColumn("odd", F.expr(_WAYS.format(*[way for way, _ in ODD_URLS]).replace("'?q=''x y''#é'", "concat('?q=', chr(39), 'x y', chr(39), '#é')")))
+    return odd.select("page_id", R.safe_url(F.col("odd")).alias("url"))
+
+
 @query("n2_image_url_refusals", """
   select collection_id, role, case when source_url = 'not a url' or source_url like 'http:%' then 'INVALID_SOURCE_URL' when source_url like 'https://dead.example.org/%' then 'REWRITTEN'
       when source_url like 'https://images.example.org/%' then 'OK' else 'SOURCE_HOST_NOT_ALLOWED' end as code,
