@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..functions import ordering as O
 from ..functions import rules as R
 from ..operators import audit as D
+from ..operators import digests as H
 from ..operators import relations as J
 from .aggregates import export_manifest
 from .joins import drop_id_arrays
@@ -186,46 +188,112 @@ def _(a):
     return D.compare_rows(a.snapshot_a, a.snapshot_b, ["doc_id"])
 
 
-SHARDS = """select 'tokens-' || substr(owner_address_norm, 42, 1) as shard_path, 'tokens' as table_name, count(*) as row_count,
-  (count(*) + 499) // 500 as statement_count, sum(token_id)::varchar as payload_sha256 from $tokens group by 1"""
-LOADED = """select shard_path, table_name, case when shard_path = 'tokens-b' then row_count + 1 else row_count end as row_count, statement_count,
-  case when shard_path = 'tokens-c' then 'other' else payload_sha256 end as payload_sha256 from $shards where shard_path <> 'tokens-a'
-  union all select 'tokens-zz', 'tokens', 0, 0, ''"""
+@query("d12_located_rows", """
+  select coalesce(p.doc_id, s.doc_id) as doc_id, case when p.doc_id is null then 'added' when s.doc_id is null then 'removed' else 'changed' end as change,
+    case when p.doc_id is not null and s.doc_id is not null then 'digest' else '' end as changed_columns
+  from $snapshot_a p full join $snapshot_b s on s.doc_id = p.doc_id where p.doc_id is null or s.doc_id is null or p.digest <> s.digest""")
+def _(a):
+    return H.compare_located(a.snapshot_a, a.snapshot_b, "doc_id", width=64)
+
+
+# Captures of the documents in an order: as it is, with two rows swapped, with one row changed, with one row lost.
+SEQ = "select *, row_number() over (order by doc_id) - 1 as place from $snapshot_a"
+CAPTURES = {
+    "ordered": SEQ,
+    "swapped": "select * replace (case place when 3 then 150 when 150 then 3 else place end as place) from $ordered",
+    "changed": "select * replace (case place when 77 then 'other' else digest end as digest) from $ordered",
+    "cut": "select * replace (place - 1 as place) from $ordered where place > 0",
+}
+_DIFFERS = "select '{0}' as capture, coalesce(p.place, s.place) // 64 as block from $ordered p full join ${0} s on s.place = p.place where (p.digest, p.doc_id) is distinct from (s.digest, s.doc_id)"
+
+
+def captures(a):
+    placed = O.positions(a.snapshot_a.withColumn("_all", F.lit(0)), "_all", ["doc_id"], "place").drop("_all")
+    place = F.col("place")
+    return {
+        "ordered": placed,
+        "swapped": placed.withColumn("place", F.when(place == 3, 150).when(place == 150, 3).otherwise(place)),
+        "changed": placed.withColumn("digest", F.when(place == 77, "other").otherwise(F.col("digest"))),
+        "cut": placed.where(place > 0).withColumn("place", place - 1),
+    }
+
+
+@query("d10_ordered_digest", """
+  select capture, f.block, n.n as primary_rows, n.n - case when capture = 'cut' and f.block = (select max(block) from $blocks) then 1 else 0 end as secondary_rows
+  from $found f join $blocks n on n.block = f.block""", CAPTURES | {
+    "found": " union ".join(_DIFFERS.format(name) for name in ("swapped", "changed", "cut")),
+    "blocks": "select block, count(*) as n from (select place // 64 as block from $ordered) x group by 1"})
+def _(a):
+    frames = captures(a)
+    columns = [c for c in frames["ordered"].columns if c != "place"]
+    trees = {name: H.tree(df, "place", columns, width=64) for name, df in frames.items()}
+    return J.union_all(*[H.differing(trees["ordered"], trees[name]).withColumn("capture", F.lit(name)) for name in ("swapped", "changed", "cut")])
+
+
+SHARDS = """select 'tokens-' || substr(owner_address_norm, 42, 1) as shard_path, 'tokens' as table_name, count(*) as row_count, (count(*) + 499) // 500 as statement_count from $tokens group by 1"""
+LOADED = """select shard_path, case when shard_path = 'tokens-f' then 'drops' else table_name end as table_name, case when shard_path = 'tokens-b' then row_count + 1 else row_count end as row_count,
+  case when shard_path = 'tokens-e' then 0 else statement_count end as statement_count from $shards where shard_path <> 'tokens-a'
+  union all select 'tokens-zz', 'tokens', 0, 0"""
 SHARD_SQL = {"shards": SHARDS, "loaded": LOADED}
+JOURNAL = ["source_database_sha256", "payload_sha256", "table_name", "row_count", "statement_count"]
+PAYLOAD = ["token_id", "source_uid", "drop_id", "owner_address_norm"]
 
 
-def expected_shards(a):
+def placed_tokens(a):
+    """Tokens with their shard and their place in it."""
     path = F.concat(F.lit("tokens-"), F.substring("owner_address_norm", 42, 1))
-    return a.tokens.groupBy(path.alias("shard_path")).agg(
-        F.lit("tokens").alias("table_name"), F.count("*").alias("row_count"), F.ceil(F.count("*") / 500).alias("statement_count"),
-        F.sum("token_id").cast("string").alias("payload_sha256"))
+    return O.positions(a.tokens.select(path.alias("shard_path"), *PAYLOAD), "shard_path", ["token_id", "source_uid"], "place")
+
+
+def shard_journal(placed, source):
+    """One journal row for each shard of the rows as they lie; `source` has the digest of the whole source."""
+    shards = H.roots(H.tree(placed, "place", PAYLOAD, ["shard_path"]), ["shard_path"])
+    return shards.select(
+        "shard_path", F.lit("tokens").alias("table_name"), F.col("rows").alias("row_count"), F.ceil(F.col("rows") / 500).alias("statement_count"),
+        F.col("digest").alias("payload_sha256"), source.alias("source_database_sha256"))
+
+
+def source_digest(a):
+    return D.multiset_digest(a.tokens, PAYLOAD).select("digest").scalar()
 
 
-def loaded_shards(a):
-    """A journal with one shard lost, one wrong count, one wrong digest and one shard nobody planned."""
+def loaded_journal(a, placed):
+    """A journal with one shard lost and one that nobody planned, and of six others: one of another source, one with a changed
+    row, one with two rows swapped, and one wrong table, row count and statement count each."""
     c = F.col
-    rows = expected_shards(a).where(c("shard_path") != "tokens-a").withColumn(
-        "row_count", c("row_count") + F.when(c("shard_path") == "tokens-b", 1).otherwise(0)).withColumn(
-        "payload_sha256", F.when(c("shard_path") == "tokens-c", "other").otherwise(c("payload_sha256")))
-    extra = a.spark.range(1).select(F.lit("tokens-zz").alias("shard_path"), F.lit("tokens").alias("table_name"), F.lit(0).cast("bigint").alias("row_count"),
-                                    F.lit(0).cast("bigint").alias("statement_count"), F.lit("").alias("payload_sha256"))
+    at = lambda digit: c("shard_path") == f"tokens-{digit}"
+    swapped = F.when(c("place") == 0, 1).when(c("place") == 1, 0).otherwise(c("place"))
+    found = placed.where(~at("a")).withColumn("drop_id", F.when(at("c") & (c("place") == 0), -1).otherwise(c("drop_id"))).withColumn(
+        "place", F.when(at("d"), swapped).otherwise(c("place")))
+    rows = shard_journal(found, source_digest(a))
+    rows = rows.withColumn("row_count", c("row_count") + F.when(at("b"), 1).otherwise(0)).withColumn(
+        "statement_count", F.when(at("e"), 0).otherwise(c("statement_count"))).withColumn("table_name", F.when(at("f"), "drops").otherwise(c("table_name"))).withColumn(
+        "source_database_sha256", F.when(at("1"), "other").otherwise(c("source_database_sha256")))
+    nothing = F.lit(0).cast("bigint")
+    extra = a.spark.range(1).select(
+        F.lit("tokens-zz").alias("shard_path"), F.lit("tokens").alias("table_name"), nothing.alias("row_count"), nothing.alias("statement_count"),
+        F.lit("").alias("payload_sha256"), F.lit("").alias("source_database_sha256"))
     return rows.unionByName(extra)
 
 
 @query("d14_journal", """
-  select case when l.shard_path is null then 'shard_missing' when e.shard_path is null then 'shard_unknown' else 'shard_differs' end as rule, 'import_shards' as entity,
-    coalesce(e.shard_path, l.shard_path) as key, case when l.shard_path is null or e.shard_path is null then '' when e.row_count <> l.row_count then 'row_count' else 'payload_sha256' end as detail
-  from $shards e full join $loaded l on l.shard_path = e.shard_path
-  where l.shard_path is null or e.shard_path is null or e.row_count <> l.row_count or e.payload_sha256 <> l.payload_sha256""", SHARD_SQL)
+  select * from (
+    select case when l.shard_path is null then 'shard_missing' when e.shard_path is null then 'shard_unknown' else 'shard_differs' end as rule, 'import_shards' as entity,
+      coalesce(e.shard_path, l.shard_path) as key, case when l.shard_path is null or e.shard_path is null then '' else concat_ws(',',
+        case when e.shard_path = 'tokens-1' then 'source_database_sha256' end, case when e.shard_path = 'tokens-c' or e.shard_path = 'tokens-d' and e.row_count > 1 then 'payload_sha256' end,
+        case when e.table_name <> l.table_name then 'table_name' end, case when e.row_count <> l.row_count then 'row_count' end,
+        case when e.statement_count <> l.statement_count then 'statement_count' end) end as detail
+    from $shards e full join $loaded l on l.shard_path = e.shard_path) x where rule <> 'shard_differs' or detail <> ''""", SHARD_SQL)
 def _(a):
-    return D.journal(expected_shards(a), loaded_shards(a), "shard_path", ["table_name", "row_count", "statement_count", "payload_sha256"])
+    placed = placed_tokens(a)
+    return D.journal(shard_journal(placed, source_digest(a)), loaded_journal(a, placed), "shard_path", JOURNAL)
 
 
 @query("d15_journal_totals", """
   select 'tokens' as table_name, (select sum(row_count)::bigint from $loaded) as journal_rows, (select count(*) from $tokens) as table_rows,
     case when (select sum(row_count) from $loaded) = (select count(*) from $tokens) then 1 else 0 end as ok""", SHARD_SQL)
 def _(a):
-    return D.journal_totals(loaded_shards(a), {"tokens": a.tokens})
+    return D.journal_totals(loaded_journal(a, placed_tokens(a)).withColumn("table_name", F.lit("tokens")), {"tokens": a.tokens})
 
 
 @query("d16_release_arithmetic", """

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -166,18 +167,57 @@ def greedy(sizes, cap, max_rows):
     return out
 
 
-@pytest.mark.parametrize("cap,max_rows", [(100, 0), (370, 0), (1000, 7)])
-def test_packing_equals_the_sequential_rule(spark, cap, max_rows):
+@pytest.mark.parametrize("cap,max_rows,parts,fan", [(100, 0, 8, 32), (370, 0, 40, 3), (1000, 7, 40, 2), (3000, 0, 60, 2), (10_000, 900, 25, 4)])
+def test_packing_equals_the_sequential_rule(spark, cap, max_rows, parts, fan):
     rnd = random.Random(cap)
-    groups = {"hot": [rnd.choice([1, 5, 30, 99, 100]) for _ in range(4000)], "even": [100] * 9, "tiny": [1, 1, 1]}
+    groups = {"hot": [rnd.choice([0, 1, 5, 30, 99, 100]) for _ in range(4000)], "even": [100] * 9, "tiny": [1, 1, 1], "none": [0, 0, 0]}
     for i in range(60):
         groups[f"g{i}"] = [rnd.randint(1, 100) for _ in range(rnd.randint(1, 80))]
-    data = [(g, i, s) for g, sizes in groups.items() for i, s in enumerate(sizes)] + [("bad", 0, 5), ("bad", 1, 5000)]
-    df = frame(spark, "g string, i int, c bigint", *data).repartition(8)
-    got = {(r.g, r.i): r.chunk for r in C.pack(df, "g", ["i"], F.col("c"), cap, max_rows).collect()}
-    want = {(g, i): c for g, sizes in groups.items() for i, c in enumerate(greedy(sizes, cap, max_rows))}
-    assert {k: v for k, v in got.items() if k[0] != "bad"} == want
-    assert got[("bad", 0)] == 0 and got[("bad", 1)] is None and C.oversized(df, "g", F.col("c"), cap).count() == 1
+    data = [(g, i, s, f"x{i}") for g, sizes in groups.items() for i, s in enumerate(sizes)] + [("bad", 0, 5, ""), ("bad", 1, 50_000, ""), (None, 0, 3, None), (None, 1, 4, None)]
+    df = frame(spark, "g string, i int, c bigint, text string", *data).repartition(8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        packed = C.pack(df, "g", ["i"], F.col("c"), cap, max_rows, fan=fan)
+        assert packed.columns == ["g", "i", "c", "text", "chunk"]
+        got = {(r.g, r.i): (r.c, r.text, r.chunk) for r in packed.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    want = {(g, i): (groups[g][i], f"x{i}", c) for g, sizes in groups.items() for i, c in enumerate(greedy(sizes, cap, max_rows))}
+    assert {k: v for k, v in got.items() if k[0] not in ("bad", None)} == want
+    assert got[("bad", 0)][2] == 0 and got[("bad", 1)][2] is None and C.oversized(df, "g", F.col("c"), cap).count() == 1
+    assert got[(None, 0)] == (3, None, 0) and got[(None, 1)] == (4, None, 0)
+
+
+@pytest.mark.parametrize("cap,max_rows", [(50, 0), (400, 0), (400, 6), (100_000, 5), (100_000, 0)])
+def test_maps_of_parts_compose_to_the_map_of_the_whole(cap, max_rows):
+    rnd, rule = random.Random(cap + max_rows), C.Rule(cap, max_rows)
+    for _ in range(30):
+        parts = [np.array([rnd.choice([0, 1, 7, 50]) for _ in range(rnd.randint(1, 25))]) for _ in range(rnd.randint(2, 6))]
+        whole, composed = C.Map(), None
+        for part in parts:
+            whole.add(rule, part)
+            one = C.Map()
+            for piece in np.array_split(part, 3):
+                if len(piece):
+                    one.add(rule, piece)
+            composed = one if composed is None else C.Map.load(composed.dump()).then(rule, one)
+        for state in [C.FRESH, *((rnd.randint(0, cap), rnd.randint(1, max_rows or 30), rnd.randint(0, 9)) for _ in range(20))]:
+            assert whole.follow(rule, state) == composed.follow(rule, state)
+            _, end = C._packed(rule, np.concatenate(parts), np.array([0]), [state])
+            assert whole.follow(rule, state) == end
+
+
+def test_packing_of_an_empty_table(spark):
+    assert C.pack(frame(spark, "g string, i int, c bigint"), "g", ["i"], F.col("c"), 10).count() == 0
+
+
+def test_statement_heads_commas_and_journals_count(spark):
+    df = frame(spark, "g string, i int, c bigint", *[("a", i, 30) for i in range(6)], ("b", 0, 85), ("b", 1, 91))
+    around = C.Frame(head=10, comma=5, shard_head=40, journal=60)
+    got = {tuple(r) for r in C.shard_plan(df, "g", ["i"], F.col("c"), 10, 100, 300, around).select("g", "i", "statement", "bytes", "rows", "shard").collect()}
+    # Two rows, a comma and a head take 75 bytes, three would take 110; two statements fill the 200 bytes left of a shard.
+    assert got == {("a", None, 0, 75, 2, 0), ("a", None, 1, 75, 2, 0), ("a", None, 2, 75, 2, 1), ("b", None, 0, 95, 1, 0), ("b", 1, None, 101, 1, None)}
 
 
 def test_shard_plan_reports_oversized_rows(spark):
