@@ -3,10 +3,10 @@
 Every training word has a class of its own choosing, in a table (word, n, class) of the shared folder. It starts from a
 clustering of items: the `WORDS` most frequent words, and `ENDINGS` groups of all other words by a hash of their last three
 bytes; an item's class is exchanged for the one that raises the likelihood of the class bigrams most, over and over, until
-a pass moves nothing. Then come rounds over words (`refine`): the classes before and behind each word are counted, and each
-word takes the class that makes its own places likeliest under the class bigrams of the round. A round that lowers the
-likelihood of the class bigrams is given up; rounds end with it, when no word moves, or when one gains less than
-`LEAST_GAIN` of what the rounds before it gained.
+a pass moves nothing. Then come rounds over words (`refine`): tasks count the classes before and behind each word, these
+cells are summed up as they stream by in the order of words, and each word takes the class that makes its own places
+likeliest under the class bigrams of the round. A round that lowers the likelihood of the class bigrams is given up; rounds
+end with it, when no word moves, or when one gains less than `LEAST_GAIN` of what the rounds before it gained.
 
     P(word | before) = P(class | class before) * P(word | class)
 
@@ -14,9 +14,11 @@ with class transitions smoothed towards class frequencies and add-half estimates
 to words that training lacks: each class has one unseen word for each of its endings. Texts begin behind a start item and
 end with an end token.
 
-Counts and classes of the `KNOWN` most frequent words (4 MB) are broadcast; other words meet theirs in joins, once for each
-distinct word, or pair with such a word, of a document. Words are 64-bit hashes. What the driver holds is bounded by the
-numbers of items, classes and known words.
+Counts and classes of the words that occur most, up to `KNOWN` of them (34 MB), are broadcast; the others meet theirs in
+joins, once for each distinct word, or pair with such a word, of a document. In the first round all words have their class
+by their item, so nothing is joined. Bigrams themselves are never written: tasks sum them up to cells or pairs of classes.
+Words are 64-bit hashes; cells are gathered by the upper 57 bits, and words that share these choose alike. What the driver
+holds is bounded by the numbers of items, classes and known words.
 """
 
 from __future__ import annotations
@@ -33,9 +35,11 @@ from .common import fold, stored, text_or_empty
 from .words import SPACES, Piece, scan
 
 WORDS, ENDINGS, CLASSES = 512, 512, 64
-KNOWN = 1 << 18
+KNOWN = 1 << 21
 PASSES = 12
-ROUNDS, LEAST_GAIN = 12, 0.1
+ROUNDS, LEAST_GAIN = 1, 0.1
+HELD_WORDS = 1 << 19  # counted words a task holds before it passes them on
+HELD_CELLS = 5 << 20  # neighbours a task holds before it passes them on
 WEIGHT = 20.0  # of class frequencies in smoothed transitions
 START, END = WORDS + ENDINGS, WORDS + ENDINGS + 1
 ITEMS = WORDS + ENDINGS + 2
@@ -48,20 +52,36 @@ def word_measures(piece: Piece) -> tuple[np.ndarray, np.ndarray]:
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, ending, n) of each batch; every row ends with the end token."""
+    """(word, ending, n), summed up over many texts of a task; every row ends with the end token."""
+    held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        hashes, endings = [np.full(batch.num_rows, END_HASH)], [np.full(batch.num_rows, -1, dtype=np.int32)]
+        held.append((np.array([END_HASH]), np.array([-1], dtype=np.int32), np.array([batch.num_rows])))
         for _, _, _, found, ending in scan(batch.column("text"), SPACES, word_measures):
             values, first, times = np.unique(found, return_index=True, return_counts=True)
-            yield _counted(values, ending[first], times)
-        values, times = np.unique(hashes[0], return_counts=True)
-        yield _counted(values, endings[0][: len(values)], times)
+            held.append((values, ending[first], times))
+            size += len(values)
+            if size > 4 * HELD_WORDS:
+                held = [_summed(held)]
+                size = len(held[0][0])
+                if size > HELD_WORDS:
+                    yield _counted(*held[0])
+                    held, size = [], 0
+    if held:
+        yield _counted(*_summed(held))
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    values, endings, times = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(values)
+    values = values[order]
+    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return values[heads], endings[order][heads], np.add.reduceat(times[order], heads)
 
 
 def _counted(values: np.ndarray, endings: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(endings), pa.array(times)], names=["word", "ending", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(values.astype(np.int64)), pa.array(endings), pa.array(times.astype(np.int64))], names=["word", "ending", "n"])
 
 
 def _items(hashes: np.ndarray, endings: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -165,9 +185,8 @@ def exchange(n: np.ndarray, classes: int = CLASSES, passes: int = PASSES) -> np.
 @dataclass
 class Model:
     frequent: np.ndarray  # sorted hashes of the frequent words
-    known: np.ndarray  # sorted hashes of the words whose counts are at hand
-    counts: np.ndarray
-    of: np.ndarray
+    of: np.ndarray  # classes of items
+    pairs: np.ndarray  # counts of class bigrams by them
     transition: np.ndarray  # log10
     emission: np.ndarray  # log10 of item given class; for endings also less the denominator of their words
     end_count: int
@@ -195,10 +214,8 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         docs.mapInArrow(count_words, "word long, ending int, n long").groupBy("word").agg(F.max("ending").alias("ending"), F.sum("n").alias("n")), "counts"
     )
     tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    end = np.int64(END_HASH)
-    top = counts.where(F.col("word") != int(end)).orderBy(F.desc("n"), "word").limit(KNOWN).select("word", "n").toArrow()
-    hashes, times = top.column("word").to_numpy().astype(np.int64).view(np.uint64), top.column("n").to_numpy()
-    frequent = np.sort(hashes[:WORDS])
+    top = counts.where(F.col("word") != int(np.int64(END_HASH))).orderBy(F.desc("n"), "word").limit(WORDS).select("word").toArrow()
+    frequent = np.sort(top.column("word").to_numpy().astype(np.int64).view(np.uint64))
     held = context.broadcast(frequent)
     cells = docs.mapInArrow(count_bigrams(held), "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
     n = np.zeros(ITEMS * ITEMS)
@@ -210,18 +227,53 @@ def train(docs: DataFrame) -> tuple[Model, DataFrame]:
         words[row["ending"]], tokens_of[row["ending"]] = row["words"], row["tokens"]
     of = exchange(n)
     transition, emission = estimate(n, of, words, tokens_of)
-    order = np.argsort(hashes)
-    return Model(frequent, hashes[order], times[order], of, transition, emission, int(n[:, END].sum()), int(tokens), int(distinct)), counts
+    into = np.zeros((ITEMS, CLASSES))
+    into[np.arange(ITEMS), of] = 1
+    return Model(frequent, of, into.T @ n @ into, transition, emission, int(n[:, END].sum()), int(tokens), int(distinct)), counts
+
+
+class Index:
+    """Places of hashes in a sorted array, by buckets of their leading bits; -1 for hashes that are not in it."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        self.bits = max(1, int(len(known)).bit_length())
+        heads = np.arange((1 << self.bits) + 1, dtype=np.float64) * 2.0 ** (64 - self.bits)
+        edges = np.zeros(len(heads), dtype=np.int64)
+        edges[:-1] = np.searchsorted(known, heads[:-1].astype(np.uint64))
+        edges[-1] = len(known)
+        self.edges = edges.astype(np.int32)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        if not len(self.known):
+            return out
+        bucket = (hashes >> np.uint64(64 - self.bits)).astype(np.int64)
+        at, end = self.edges[bucket].astype(np.int64), self.edges[bucket + 1]
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            here = at[open_]
+            same = self.known[here] == hashes[open_]
+            out[open_[same]] = here[same]
+            open_, here = open_[~same], here[~same] + 1
+            at[open_] = here
+            open_ = open_[here < end[open_]]
+        return out
 
 
 @dataclass
 class Classes:
-    """Classes of all training words: those of the known ones at hand, all of them in `table` (word, n, class)."""
+    """Classes of all training words: those of the known ones at hand, all of them in `table` (word, n, class).
+
+    Words of fewer than `cut` occurrences are not at hand.
+    """
 
     table: DataFrame
-    known: np.ndarray  # sorted hashes
+    cut: int
+    index: Index
+    counts: np.ndarray
     of: np.ndarray
-    pairs: np.ndarray  # counts of class bigrams
+    pairs: np.ndarray | None = None  # counts of class bigrams
 
 
 def first_classes(model):
@@ -237,101 +289,98 @@ def first_classes(model):
     return run
 
 
-def _find(hashes: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Places of hashes in the sorted `known`, -1 where they are not in it."""
-    if not len(known):
-        return np.full(len(hashes), -1, dtype=np.int64)
-    place = np.searchsorted(known, hashes)
-    place[place == len(known)] = 0
-    return np.where(known[place] == hashes, place, -1)
+def at_hand(table: DataFrame, most: int) -> Classes:
+    """The classes of a table with those of the most frequent words, at most `most` of them, in memory."""
+    words = table.where(F.col("word") != int(np.int64(END_HASH)))
+    # Counts up to 1,024 as they are, above by sixteenths of a doubling: some 2,000 steps at most.
+    step = F.when(F.col("n") <= 1024, F.col("n")).otherwise(864 + F.floor(F.log2("n") * 16)).cast("long")
+    taken, cut = 0, None
+    for row in words.groupBy(step.alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect():
+        taken += row["words"]
+        if taken > most:
+            break
+        cut = row["least"]
+    found = words.where(F.col("n") >= cut).toArrow() if cut is not None else words.limit(0).toArrow()
+    hashes = found.column("word").to_numpy().astype(np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    counts, of = (found.column(c).to_numpy()[order] for c in ("n", "class"))
+    return Classes(table, cut if cut is not None else 1 << 62, Index(hashes[order]), counts.astype(np.int64), of.astype(np.int8))
 
 
 class _Tokens:
-    """Bigrams of whole rows with the places and classes of known words; -1 for others."""
+    """Bigrams of whole rows with the places of known words and classes; -1 for others.
 
-    def __init__(self, hashes: np.ndarray, bounds: np.ndarray, known: np.ndarray, of: np.ndarray):
+    Classes are those of known words, or without an index those of the items.
+    """
+
+    def __init__(self, hashes: np.ndarray, endings: np.ndarray, bounds: np.ndarray, classes: tuple):
         n = len(hashes)
-        place = _find(hashes, known)
-        own = np.full(n, -1, dtype=np.int64)
-        own[place >= 0] = of[place[place >= 0]]
+        index, of, frequent, of_items = classes
+        if index is None:
+            place = np.full(n, -1, dtype=np.int64)
+            own = of_items[_items(hashes, endings, frequent)]
+        else:
+            place = index.find(hashes)
+            own = np.where(place >= 0, of[place] if len(of) else -1, -1).astype(np.int64)
         self.before, self.after, self.row = _bigrams(np.arange(n), bounds, n + 1, n)
         self.hash = np.concatenate([hashes, [END_HASH, np.uint64(0)]]).view(np.int64)
-        self.place = np.concatenate([place, [len(known), -2]])
+        self.place = place
         self.own = np.concatenate([own, [CLASSES - 1, CLASSES - 2]])
 
 
-HELD_CELLS = 1 << 22
-CELL = np.dtype([("cell", "u1"), ("n", ">u4")])  # side * CLASSES + class, and a count
+CELL_BITS = 7  # side * CLASSES + class
+CELL = np.dtype([("cell", "u1"), ("n", ">u4")])
 
 
-def _packed(words: np.ndarray, cells: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """One row (word, other, side, cells) for each run of equal words."""
-    heads = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])) if len(words) else np.zeros(0, np.int64)
-    packed = np.empty(len(words), dtype=CELL)
-    packed["cell"], packed["n"] = cells, n
+def _packed(keys: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+    """One row (key, cells) for each run of equal words; `keys` have the cell in their last bits."""
+    words = keys >> np.uint64(CELL_BITS)
+    heads = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+    packed = np.empty(len(keys), dtype=CELL)
+    packed["cell"], packed["n"] = keys & np.uint64((1 << CELL_BITS) - 1), times
     offsets = (np.concatenate([heads, [len(words)]]) * CELL.itemsize).astype(np.int32)
-    lists = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
-    columns = [pa.array(words[heads]), pa.nulls(len(heads), pa.int64()), pa.nulls(len(heads), pa.int32()), lists]
-    return pa.RecordBatch.from_arrays(columns, names=["word", "other", "side", "cells"])
+    cells = pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(packed.tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(words[heads].astype(np.int64)), cells], names=["key", "cells"])
 
 
 def neighbours(classes):
-    """(word, other, side, cells): counted classes behind (side 0) and before (side 1) words, packed; or `other`, a neighbour whose class is not at hand."""
-
-    def flushed(codes: list, words: list, cells: list, known: np.ndarray) -> Iterator[pa.RecordBatch]:
-        code, times = np.unique(np.concatenate(codes), return_counts=True)
-        yield _packed(np.concatenate([known, [END_HASH]]).view(np.int64)[code // (2 * CLASSES)], code % (2 * CLASSES), times)
-        word, cell = np.concatenate(words), np.concatenate(cells)
-        order = np.lexsort((cell, word))
-        yield _packed(word[order], cell[order], np.ones(len(order), dtype=np.int64))
+    """(key, cells): classes behind (side 0) and before (side 1) words, counted; for neighbours whose class is at hand."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, of = classes.value
-        codes, words, cells, size = [], [], [], 0
+        own_classes = classes.value
+        low = np.uint64((1 << CELL_BITS) - 1)
+        held, size = [], 0
         for batch in batches:
-            for _, _, bounds, hashes, _ in scan(batch.column("text"), SPACES, word_measures):
-                t = _Tokens(hashes, bounds, known, of)
+            for _, _, bounds, hashes, endings in scan(batch.column("text"), SPACES, word_measures):
+                t = _Tokens(hashes, endings, bounds, own_classes)
                 for side, (own, other) in enumerate(((t.before, t.after), (t.after, t.before))):
-                    place, kind = t.place[own], t.own[other]
-                    at_hand = kind >= 0
-                    dense = at_hand & (place >= 0)
-                    codes.append(((2 * place[dense] + side) * CLASSES + kind[dense]).astype(np.int32))
-                    loose = at_hand & (place == -1)
-                    words.append(t.hash[own[loose]])
-                    cells.append((side * CLASSES + kind[loose]).astype(np.uint8))
-                    size += int(at_hand.sum())
-                    rest = np.flatnonzero(~at_hand & (place != -2))
-                    if len(rest):
-                        columns = [pa.array(t.hash[own[rest]]), pa.array(t.hash[other[rest]]), pa.array(np.full(len(rest), side, np.int32)), pa.nulls(len(rest), pa.binary())]
-                        yield pa.RecordBatch.from_arrays(columns, names=["word", "other", "side", "cells"])
+                    kind = t.own[other]
+                    met = (own < len(hashes)) & (kind >= 0)  # the start and the end choose no class
+                    held.append((t.hash[own[met]].view(np.uint64) & ~low) | (side * CLASSES + kind[met]).astype(np.uint64))
+                    size += len(held[-1])
                 if size > HELD_CELLS:
-                    yield from flushed(codes, words, cells, known)
-                    codes, words, cells, size = [], [], [], 0
+                    yield _packed(*np.unique(np.concatenate(held), return_counts=True))
+                    held, size = [], 0
         if size:
-            yield from flushed(codes, words, cells, known)
+            yield _packed(*np.unique(np.concatenate(held), return_counts=True))
 
     return run
 
 
-def _cells(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, cell (side, class) and count of the neighbours in a batch."""
-    lists = batch.column("cells")
-    parts = lists.flatten().to_pylist()
-    each = np.array([len(x) for x in parts], dtype=np.int64) // CELL.itemsize
-    packed = np.frombuffer(b"".join(parts), dtype=CELL)
-    rows = np.repeat(np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), each)
-    return rows, packed["cell"].astype(np.int64), packed["n"].astype(np.int64)
+def unmet(classes):
+    """(word, other, side): places whose neighbour `other` has no class at hand."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_classes = classes.value
+        for batch in batches:
+            for _, _, bounds, hashes, endings in scan(batch.column("text"), SPACES, word_measures):
+                t = _Tokens(hashes, endings, bounds, own_classes)
+                for side, (own, other) in enumerate(((t.before, t.after), (t.after, t.before))):
+                    rest = np.flatnonzero((own < len(hashes)) & (t.own[other] < 0))
+                    columns = [pa.array(t.hash[own[rest]]), pa.array(t.hash[other[rest]]), pa.array(np.full(len(rest), side, np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["word", "other", "side"])
 
-def class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen = np.zeros(CLASSES * CLASSES)
-    for batch in batches:
-        row, cell, n = _cells(batch)
-        before = cell >= CLASSES
-        code = (cell[before] - CLASSES).astype(np.int64) * CLASSES + batch.column("class").to_numpy()[row[before]]
-        seen += np.bincount(code, weights=n[before], minlength=CLASSES * CLASSES)
-    code = np.flatnonzero(seen)
-    yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array(seen[code].astype(np.int64))], names=["code", "n"])
+    return run
 
 
 def smoothed(pairs: np.ndarray) -> np.ndarray:
@@ -344,60 +393,143 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=0)).sum() - _xlogx(pairs.sum(axis=1)).sum())
 
 
+def best_classes(near: np.ndarray, n: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Each word's best class under the class bigrams, from the counts of classes behind and before it."""
+    forth, each = np.log(smoothed(pairs)), np.log(pairs.sum(axis=0) + 1)
+    gain = near[:, :CLASSES] @ forth.T + near[:, CLASSES:] @ forth - n[:, None] * each
+    best, at = gain[:, : CLASSES - 2].argmax(axis=1), np.arange(len(n))
+    return np.where((own >= CLASSES - 2) | (gain[at, best] <= gain[at, own] + 1e-9), own, best)
+
+
 def choose(pairs):
-    """(word, n, class, moved) with each word's best class under the class bigrams."""
+    """(word, n, class, moved) with each word's best class; rows (key, word, n, class) and (key, cells) come in the order of keys.
+
+    The cells of one word are summed up as they come; one vector goes over from a batch to the next.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forth = np.log(smoothed(pairs.value))
-        each = np.log(pairs.value.sum(axis=0) + 1)
+        held_key, held_near, held_words = None, np.zeros((1, 2 * CLASSES)), []
+
+        def chosen(near: np.ndarray, word: np.ndarray, n: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            best = best_classes(near, n, own, pairs.value)
+            columns = [pa.array(word), pa.array(n), pa.array(best.astype(np.int32)), pa.array((best != own).astype(np.int32))]
+            return pa.RecordBatch.from_arrays(columns, names=["word", "n", "class", "moved"])
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held_words:
+                word, n, own = (np.concatenate(x) for x in zip(*held_words))
+                yield chosen(np.repeat(held_near, len(word), axis=0), word, n, own)
+
         for batch in batches:
-            row, cell, n = _cells(batch)
-            own, size = batch.column("class").to_numpy(), batch.num_rows
-            near = np.bincount(row * 2 * CLASSES + cell, weights=n, minlength=size * 2 * CLASSES).reshape(size, 2 * CLASSES)
-            gain = near[:, :CLASSES] @ forth.T + near[:, CLASSES:] @ forth - batch.column("n").to_numpy()[:, None] * each
-            best = gain[:, : CLASSES - 2].argmax(axis=1)
-            at = np.arange(size)
-            best = np.where((own >= CLASSES - 2) | (gain[at, best] <= gain[at, own] + 1e-9), own, best)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), batch.column("n"), pa.array(best.astype(np.int32)), pa.array((best != own).astype(np.int32))], names=["word", "n", "class", "moved"]
-            )
+            if not batch.num_rows:
+                continue
+            keys, group = np.unique(batch.column("key").to_numpy(), return_inverse=True)
+            cells = batch.column("cells")
+            parts = cells.drop_null().to_pylist()
+            owner = group[~np.asarray(cells.is_null())]
+            packed = np.frombuffer(b"".join(parts), dtype=CELL)
+            code = np.repeat(owner, [len(x) // CELL.itemsize for x in parts]) * 2 * CLASSES + packed["cell"]
+            near = np.bincount(code, weights=packed["n"], minlength=len(keys) * 2 * CLASSES).astype(float).reshape(len(keys), 2 * CLASSES)
+            named = np.flatnonzero(np.asarray(batch.column("word").is_valid()))
+            some = batch.take(pa.array(named))
+            word, n, own = (some.column(c).to_numpy().astype(np.int64) for c in ("word", "n", "class"))
+            of = group[named]
+            if keys[0] == held_key:
+                near[0] += held_near[0]
+                last = held_words
+            else:
+                yield from done()
+                last = []
+            kept = of == len(keys) - 1
+            if len(keys) > 1:
+                if last:
+                    w, c, o = (np.concatenate(x) for x in zip(*last))
+                    word, n, own = np.concatenate([w, word]), np.concatenate([c, n]), np.concatenate([o, own])
+                    of, kept = np.concatenate([np.zeros(len(w), np.int64), of]), np.concatenate([np.zeros(len(w), bool), kept])
+                last = []
+                yield chosen(near[of[~kept]], word[~kept], n[~kept], own[~kept])
+            held_key, held_near = keys[-1], near[-1:].copy()
+            held_words = [*last, (word[kept], n[kept], own[kept])] if kept.any() else last
+        yield from done()
+
+    return run
+
+
+def count_pairs(classes):
+    """(a, of_a, b, of_b, n): counted bigrams of classes at hand, without words; and those with a word without one, one by one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_classes = classes.value
+        seen = np.zeros(CLASSES * CLASSES, dtype=np.int64)
+        names = ["a", "of_a", "b", "of_b", "n"]
+        for batch in batches:
+            for _, _, bounds, hashes, endings in scan(batch.column("text"), SPACES, word_measures):
+                t = _Tokens(hashes, endings, bounds, own_classes)
+                first, second = t.own[t.before], t.own[t.after]
+                closed = (first >= 0) & (second >= 0)
+                seen += np.bincount(first[closed] * CLASSES + second[closed], minlength=CLASSES * CLASSES)
+                rest = np.flatnonzero(~closed)
+                if len(rest):
+                    columns = [t.hash[t.before[rest]], first[rest].astype(np.int32), t.hash[t.after[rest]], second[rest].astype(np.int32), np.ones(len(rest), np.int64)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+        code = np.flatnonzero(seen)
+        none = pa.nulls(len(code), pa.int64())
+        columns = [none, pa.array((code // CLASSES).astype(np.int32)), none, pa.array((code % CLASSES).astype(np.int32)), pa.array(seen[code])]
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
-def refine(docs: DataFrame, model: Model, counts: DataFrame, rounds: int = ROUNDS) -> Classes:
+def class_pairs(docs: DataFrame, classes: Classes, held) -> np.ndarray:
+    """Counts of class bigrams in the documents."""
+    found = stored(docs.mapInArrow(count_pairs(held), "a long, of_a int, b long, of_b int, n long"), "class-pairs")
+    tail = classes.table.where(F.col("n") < classes.cut)
+    for word, of in (("a", "of_a"), ("b", "of_b")):
+        keyed = found.withColumn("key", F.when(F.col(of) < 0, F.col(word)))
+        met = keyed.where("key is not null").join(tail.select(F.col("word").alias("key"), F.col("class").alias("found")), "key")
+        found = keyed.where("key is null").drop("key").unionByName(met.withColumn(of, F.col("found")).drop("key", "found"))
+    pairs = np.zeros((CLASSES, CLASSES))
+    for row in found.groupBy("of_a", "of_b").agg(F.sum("n").alias("n")).collect():
+        pairs[row["of_a"], row["of_b"]] = row["n"]
+    return pairs
+
+
+def refine(docs: DataFrame, model: Model, counts: DataFrame, rounds: int = ROUNDS, known: int | None = None) -> Classes:
     """A class for every counted word, from the classes of the model's items."""
-    context = docs.sparkSession.sparkContext
-    table = stored(counts.mapInArrow(first_classes(context.broadcast((model.frequent, model.of))), "word long, n long, class int"), "classes")
-    found, gained = None, 0.0
-    for at in range(rounds + 1):
-        top = table.where(F.col("word") != int(END_HASH)).orderBy(F.desc("n"), "word").limit(KNOWN).select("word", "class").toArrow()
-        hashes = top.column("word").to_numpy().astype(np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        known, of = hashes[order], top.column("class").to_numpy()[order].astype(np.int64)
-        near = stored(docs.mapInArrow(neighbours(context.broadcast((known, of))), "word long, other long, side int, cells binary"), "neighbours")
-        others = table.select(F.col("word").alias("other"), "class")
-        met = near.where("other is not null").join(others, "other").groupBy("word", (F.col("side") * CLASSES + F.col("class")).alias("cell")).count()
-        packed = F.unhex(F.concat(F.lpad(F.hex("cell"), 2, "0"), F.lpad(F.hex("count"), 8, "0")))
-        cells = near.where("other is null").select("word", "cells").unionByName(met.select("word", packed.alias("cells")))
-        # A word has few packed rows: one from each run of HELD_CELLS, and one for each cell.
-        places = stored(cells.groupBy("word").agg(F.collect_list("cells").alias("cells")).join(table, "word"), "places")
-        summed = places.select("class", "cells").mapInArrow(class_pairs, "code int, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-        pairs = np.zeros(CLASSES * CLASSES)
-        pairs[summed.column("code").to_numpy()] = summed.column("n").to_numpy()
-        pairs = pairs.reshape(CLASSES, CLASSES)
-        gain = likelihood(pairs) - likelihood(found.pairs) if found else 0.0
-        if found and gain <= 0:
+    context, known = docs.sparkSession.sparkContext, known or KNOWN
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = counts.mapInArrow(first_classes(context.broadcast((model.frequent, model.of))), "word long, n long, class int")
+    held = context.broadcast((None, None, model.frequent, model.of))
+    found, gained = Classes(table, 0, Index(np.zeros(0, np.uint64)), np.zeros(0, np.int64), np.zeros(0, np.int8), model.pairs), 0.0
+    key = F.expr(f"shiftrightunsigned(word, {CELL_BITS})")
+    for at in range(rounds):
+        cells = docs.mapInArrow(neighbours(held), "key long, cells binary")
+        if at:
+            others = found.table.where(F.col("n") < found.cut).select(F.col("word").alias("other"), "class")
+            met = docs.mapInArrow(unmet(held), "word long, other long, side int").join(others, "other")
+            met = met.groupBy("word", (F.col("side") * CLASSES + F.col("class")).alias("cell")).count()
+            packed = F.unhex(F.concat(F.lpad(F.hex("cell"), 2, "0"), F.lpad(F.hex("count"), 8, "0")))
+            cells = cells.unionByName(met.select(key.alias("key"), packed.alias("cells")))
+        rows = found.table.select(key.alias("key"), "word", "n", "class").unionByName(cells, allowMissingColumns=True)
+        dealt = rows.repartition(parts, "key").sortWithinPartitions("key")
+        chosen = stored(dealt.mapInArrow(choose(context.broadcast(found.pairs)), "word long, n long, class int, moved int"), "classes")
+        if not chosen.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0]:
             break
-        found = Classes(table, known, of, pairs)
-        if at == rounds or (gained and gain < LEAST_GAIN * gained):
+        new = at_hand(chosen.drop("moved"), known)
+        held = context.broadcast((new.index, new.of, model.frequent, model.of))
+        new.pairs = class_pairs(docs, new, held)
+        gain = likelihood(new.pairs) - likelihood(found.pairs)
+        if gain <= 0:
             break
-        gained += gain
-        chosen = stored(places.mapInArrow(choose(context.broadcast(pairs)), "word long, n long, class int, moved int"), "classes")
-        if not chosen.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0]:
+        found = new
+        if gained and gain < LEAST_GAIN * gained:
             break
-        table = chosen.drop("moved")
-    return found
+        gained += gain
+    if len(found.index.known):
+        return found
+    first = at_hand(stored(table, "classes"), known)
+    first.pairs = model.pairs
+    return first
 
 
 def steps_between(classes: Classes, model: Model) -> np.ndarray:
@@ -413,8 +545,9 @@ def score_batches(model):
     """A task that scores rows but for their words that are not `known`, which it lists with their numbers, and bigrams with such words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, of, steps = model.value
+        m, index, of, counts, steps = model.value
         of_endings = m.of[WORDS : WORDS + ENDINGS]
+        classes = (index, of, m.frequent, m.of)
         for batch in batches:
             done: list[list] = [[] for _ in range(4)]
             words, times, sizes = [], [], []
@@ -422,10 +555,10 @@ def score_batches(model):
             for _, _, bounds, hashes, endings in scan(batch.column("text"), SPACES, word_measures):
                 rows = len(bounds) - 1
                 row = np.repeat(np.arange(rows), np.diff(bounds))
-                t = _Tokens(hashes, bounds, m.known, of)
-                place = t.place[:-2]
+                t = _Tokens(hashes, endings, bounds, classes)
+                place = t.place
                 known, count = place >= 0, np.zeros(len(hashes))
-                count[known] = m.counts[place[known]]
+                count[known] = counts[place[known]]
                 first, second = t.own[t.before], t.own[t.after]
                 closed = (first >= 0) & (second >= 0)
                 own = np.bincount(t.row[closed], weights=steps[first[closed], second[closed]], minlength=rows)
@@ -489,7 +622,7 @@ def open_steps(scored: DataFrame, classes: DataFrame, steps: np.ndarray) -> Data
     """(row, own): what the listed bigrams add. `of_a` and `of_b` are classes, or -1 less the class in case that training lacks the word."""
     pairs = scored.select("row", F.explode(F.arrays_zip("a", "of_a", "b", "of_b", "pair_times")).alias("p")).select("row", "p.*")
     for word, of in (("a", "of_a"), ("b", "of_b")):
-        # Words with a class get a key of their own, so that frequent ones don't meet in one task.
+        # Words with a class get a key of their own, so that they don't meet in one task.
         keyed = pairs.withColumn("key", F.when(F.col(of) < 0, F.col(word)).otherwise(F.xxhash64("row", "a", "b")))
         found = keyed.join(classes.select(F.col("word").alias("key"), F.col("class").alias("found")), "key", "left")
         pairs = found.withColumn(of, F.when(F.col(of) >= 0, F.col(of)).otherwise(F.coalesce("found", -1 - F.col(of)))).drop("key", "found")
@@ -511,15 +644,16 @@ def score(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
     model, counts = train(learnt)
     classes = refine(learnt, model, counts)
     steps = steps_between(classes, model)
-    held = docs.sparkSession.sparkContext.broadcast((model, classes.of, steps))
+    held = docs.sparkSession.sparkContext.broadcast((model, classes.index, classes.of, classes.counts, steps))
+    tail = classes.table.where((F.col("n") < classes.cut) & (F.col("word") != int(np.int64(END_HASH))))  # all others are at hand
     scored = stored(rows.mapInArrow(score_batches(held), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
     words = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    met = words.join(counts.select("word", "n"), "word", "left")
+    met = words.join(tail.select("word", "n"), "word", "left")
     rest = met.groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("met")
     )
     rest_of = F.coalesce("rest", F.lit(0.0))
-    opened = open_steps(scored, classes.table, steps)
+    opened = open_steps(scored, tail, steps)
     whole = float(np.log10(model.tokens + 0.5 * (model.distinct + 1)))
     return scored.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "own").join(rest, "row", "left").join(opened, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"),

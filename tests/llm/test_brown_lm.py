@@ -94,8 +94,8 @@ def test_empty(spark):
     assert only["train_tokens"] == 0 and only["base_score"] == 0 and math.isfinite(only["score"])
 
 
-@pytest.mark.parametrize("known", [B.KNOWN, 520])
-def test_each_word_has_a_class_of_its_own(spark, monkeypatch, known):
+@pytest.mark.parametrize("known, rounds", [(B.KNOWN, 1), (520, 1), (520, 4)])
+def test_each_word_has_a_class_of_its_own(spark, monkeypatch, known, rounds):
     # Words of two kinds stand where the frequent `u` and `v` do; all end alike, and none is among the most frequent ones.
     random = np.random.default_rng(5)
     common = " ".join(f"c{i} c{i}" for i in range(600)) + " "
@@ -105,7 +105,7 @@ def test_each_word_has_a_class_of_its_own(spark, monkeypatch, known):
     monkeypatch.setattr(B, "KNOWN", known)
     model, counts = B.train(docs)
     assert len(model.frequent) == B.WORDS
-    classes = B.refine(docs, model, counts)
+    classes = B.refine(docs, model, counts, rounds)
     assert classes.table.count() == counts.count()
     start = counts.mapInArrow(B.first_classes(spark.sparkContext.broadcast((model.frequent, model.of))), "word long, n long, class int")
     ours = counts.where("n < 40 and ending >= 0").select("word")
@@ -126,3 +126,72 @@ def test_each_word_has_a_class_of_its_own(spark, monkeypatch, known):
     for r in classes.table.collect():
         mass[r["class"]] += r["n"] + 0.5
     assert np.allclose((10**steps * mass)[:, mass > 0], B.smoothed(classes.pairs)[:, mass > 0])
+
+
+@pytest.mark.parametrize("known", [B.KNOWN, 520])
+def test_scores_follow_from_classes_and_counts(spark, corpus, monkeypatch, known):
+    monkeypatch.setattr(B, "KNOWN", known)
+    table, rows = corpus
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    learnt = spark.createDataFrame([(t or "",) for i, t in rows if not held(i)], "text string")
+    model, counts = B.train(learnt)
+    classes = B.refine(learnt, model, counts)
+    found = {r["word"]: (r["class"], r["n"]) for r in classes.table.collect()}
+    mass = np.zeros(B.CLASSES)
+    for own, n in found.values():
+        mass[own] += n + 0.5
+    for own in model.of[B.WORDS : B.START]:
+        mass[own] += 0.5
+    step = np.log10(B.smoothed(classes.pairs)) - np.log10(np.maximum(mass, 0.5))
+    want = []
+    for i, t in rows:
+        _, _, _, hashes, endings = next(B.scan(B.pa.array([t or ""]), B.SPACES, B.word_measures))
+        line, logs = [B.CLASSES - 2], math.log10(model.end_count + 0.5)
+        for h, e in zip(hashes.view(np.int64).tolist(), endings.tolist()):
+            own, n = found.get(h, (int(model.of[B.WORDS + e]), 0))
+            line.append(own)
+            logs += math.log10(n + 0.5)
+        line.append(B.CLASSES - 1)
+        want.append((i, len(hashes) + 1, logs + float(step[line[:-1], line[1:]].sum())))
+    got = [(r["doc_id"], r["n_tokens"], r["score"]) for r in B.score(table).collect()]
+    key = lambda r: (str(r[0]), r[1], r[2])
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g[:2] == w[:2] and math.isclose(g[2], w[2], rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_cells_of_a_word_are_summed_over_batches():
+    # One word over three batches, another inside the second; by the first, 1 stands behind class 5, 9 before class 7.
+    pairs = np.ones((B.CLASSES, B.CLASSES))
+    packed = lambda *cells: np.array(list(cells), dtype=B.CELL).tobytes()
+    schema = B.pa.schema([("key", B.pa.int64()), ("word", B.pa.int64()), ("n", B.pa.int64()), ("class", B.pa.int32()), ("cells", B.pa.binary())])
+    rows = [(3, 33, 9, 4, None), (3, None, None, None, packed((7, 4))), (5, None, None, None, packed((B.CLASSES + 5, 1))), (5, 55, 9, 4, None),
+            (5, 56, 2, 4, None), (5, None, None, None, packed((7, 9), (B.CLASSES + 5, 2))), (9, 99, 1, B.CLASSES - 1, None)]
+    seen = []
+
+    def spy(near, n, own, p):
+        seen.extend(zip(n.tolist(), near[:, 7].tolist(), near[:, B.CLASSES + 5].tolist()))
+        return own
+
+    original, B.best_classes = B.best_classes, spy
+    try:
+        for cuts in ([2, 4], [1, 3, 5, 6], [], range(1, 7)):
+            seen.clear()
+            bounds = [0, *cuts, len(rows)]
+            batches = [B.pa.RecordBatch.from_arrays([B.pa.array([r[k] for r in rows[a:b]], f.type) for k, f in enumerate(schema)], schema=schema) for a, b in zip(bounds, bounds[1:])]
+            out = list(B.choose(type("Held", (), {"value": pairs}))(iter(batches)))
+            words = [w for b in out for w in b.column("word").to_pylist()]
+            assert sorted(words) == [33, 55, 56, 99]
+            assert sorted(seen) == [(1, 0.0, 0.0), (2, 9.0, 3.0), (9, 4.0, 0.0), (9, 9.0, 3.0)]
+    finally:
+        B.best_classes = original
+
+
+def test_index_finds_all_and_nothing_else():
+    random = np.random.default_rng(3)
+    known = np.unique(random.integers(0, 2**64, 5000, dtype=np.uint64))
+    known = np.unique(np.concatenate([known, known[:50] + np.uint64(1), np.array([0, 2**64 - 1], dtype=np.uint64)]))
+    asked = np.concatenate([known, random.integers(0, 2**64, 5000, dtype=np.uint64)])
+    place = B.Index(known).find(asked)
+    assert (place[: len(known)] == np.arange(len(known))).all()
+    assert all((p >= 0) == (a in set(known.tolist())) for a, p in zip(asked[len(known) :].tolist(), place[len(known) :].tolist()))
+    assert (B.Index(known[:0]).find(asked) == -1).all()
