@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -73,7 +74,7 @@ def first_per_key(df: DataFrame, key: str | list[str], order: list[str], columns
 def running_sums(
     df: DataFrame,
     group: str,
-    order: list[str],
+    order: list[str | Column],
     sums: dict[str, Column],
     parts: int | None = None,
 ) -> DataFrame:
@@ -117,20 +118,37 @@ def with_previous(df: DataFrame, group: str, seq: str, columns: list[str], block
     return dealt.where("_own").drop("_block", "_own")
 
 
-def list_parts(rows: DataFrame, key: str, order: Order, columns: list[str], name: str, size: int = LIST_PART) -> DataFrame:
-    """(key, part, list): the ordered structs of a key in numbered parts of at most `size`, so a key of any size is whole."""
-    rank = F.row_number().over(W.partitionBy(key).orderBy(*sort_columns(order)))
-    placed = rows.select(key, *dict.fromkeys([*[c for c, _ in order], *columns])).withColumn("_rank", rank)
-    dealt = placed.withColumn("part", F.floor((F.col("_rank") - 1) / size))
-    return dealt.groupBy(key, "part").agg(F.array_sort(F.collect_list(F.struct("_rank", *columns))).alias(name))
+class Listed(NamedTuple):
+    """Rows that become an ordered list of a document: structs of `columns` in `order`, as a column `name`."""
 
+    rows: DataFrame
+    order: Order
+    columns: Sequence[str]
+    name: str
 
-def with_lists(docs: DataFrame, key: str, lists: list[DataFrame]) -> DataFrame:
-    """Documents with their lists: part 0 has the columns of the document, further parts only its key and more of the lists."""
-    if "part" not in docs.columns:
-        docs = docs.withColumn("part", F.lit(0).cast("bigint"))
-    have = docs.select(key, "part")
-    more = reduce(DataFrame.unionByName, [one.where("part > 0").select(key, "part") for one in lists]).distinct()
-    more = more.join(have.select(key), key, "left_semi").join(have, [key, "part"], "left_anti")
-    spine = docs.unionByName(more, allowMissingColumns=True)
-    return reduce(lambda left, right: left.join(right, [key, "part"], "left"), lists, spine)
+
+def with_lists(docs: DataFrame, key: str, lists: Sequence[Listed], size: int = LIST_PART) -> DataFrame:
+    """Documents with their lists in numbered parts of at most `size` values, so that a key of any size is whole.
+
+    Part 0 has the columns of the document, further parts only its key and more of the lists; a list that a part does not
+    have is NULL or empty. The rows of all lists are stacked and numbered once, over ranges of (key, list, order), so that a
+    long list is spread over many tasks; then one group by (key, part) builds all lists of a part.
+    """
+    stacked = []
+    for i, one in enumerate(lists):
+        order = [F.col(c).alias(f"_o{i}_{j}") for j, (c, _) in enumerate(one.order)]
+        owner = F.struct(F.col(key).alias("key"), F.lit(i).alias("list"))
+        stacked.append(one.rows.where(F.col(key).isNotNull()).select(owner.alias("_owner"), *order, F.struct(*one.columns).alias(f"_s{i}")))
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
+    ways = [F.col(f"_o{i}_{j}").desc() if way == "desc" else F.col(f"_o{i}_{j}") for i, one in enumerate(lists) for j, (_, way) in enumerate(one.order)]
+    placed = positions(rows, "_owner", ways, "_n").withColumn("part", F.expr(f"_n div {size}"))
+
+    def values(i: int, name: str) -> Column:
+        mine = F.collect_list(F.when(F.col("_owner.list") == i, F.struct("_n", f"_s{i}")))
+        return F.transform(F.array_sort(mine), lambda x: x[f"_s{i}"]).alias(name)
+
+    parts = placed.groupBy(F.col("_owner.key").alias(key), "part").agg(*[values(i, one.name) for i, one in enumerate(lists)])
+    parts = written(parts, "list-parts")
+    first = docs.withColumn("part", F.lit(0).cast("bigint")).join(parts, [key, "part"], "left")
+    more = parts.where("part > 0").join(docs.select(key), key, "left_semi")
+    return first.unionByName(more, allowMissingColumns=True)

@@ -37,17 +37,24 @@ def check_constraints(rows: DataFrame, entity: str, key: str, checks: dict[str,
     return violation(bad, F.col("_rule"), entity, F.col(key))
 
 
-def foreign_key(child: DataFrame, column: str, parent: DataFrame, target: str, name: str) -> DataFrame:
-    """(name, checked, missing, empty) for one reference; equal values are counted together before the join."""
-    values = child.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("_n"))
-    known = parent.select(F.col(target).alias("_v")).distinct().withColumn("_k", F.lit(1))
-    joined = values.join(known, "_v", "left")
+def foreign_keys(children: dict[str, tuple[DataFrame, str]], parent: DataFrame, target: str) -> DataFrame:
+    """(name, checked, missing, empty) for all references to one parent, from one exchange of values.
+
+    The references and the parent's own values are stacked and counted together by value, so the parent is dealt once and
+    equal values of a child are counted before they are dealt. References of NULL are counted apart, in the tasks.
+    """
+    kind = parent.schema[target].dataType
+    names = list(children)
+    of = {name: child.select(F.col(column).cast(kind).alias("_v"), F.lit(i).alias("_i")) for i, (name, (child, column)) in enumerate(children.items())}
+    stacked = union_all(parent.select(F.col(target).alias("_v"), F.lit(-1).alias("_i")), *of.values())
+    # One row for each reference and value; NULL has its row for each reference as well.
+    counts = stacked.groupBy("_v").agg(F.max(F.col("_i") == -1).alias("_k"), *[F.count_if(F.col("_i") == i).alias(f"_n{i}") for i in range(len(names))])
     empty = F.col("_v").isNull()
-    return joined.agg(
-        F.coalesce(F.sum(F.when(~empty, F.col("_n"))), F.lit(0)).alias("checked"),
-        F.coalesce(F.sum(F.when(~empty & F.col("_k").isNull(), F.col("_n"))), F.lit(0)).alias("missing"),
-        F.coalesce(F.sum(F.when(empty, F.col("_n"))), F.lit(0)).alias("empty"),
-    ).select(F.lit(name).alias("name"), "checked", "missing", "empty")
+    total = lambda i, where: F.coalesce(F.sum(F.when(where, F.col(f"_n{i}"))), F.lit(0))
+    totals = counts.agg(*[
+        F.struct(F.lit(name).alias("name"), total(i, ~empty).alias("checked"), total(i, ~empty & ~F.col("_k")).alias("missing"), total(i, empty).alias("empty")).alias(f"_t{i}")
+        for i, name in enumerate(names)])
+    return totals.select(F.inline(F.array(*[F.col(f"_t{i}") for i in range(len(names))])))
 
 
 def section_collections(items: DataFrame, links: DataFrame, sections: DataFrame) -> DataFrame:

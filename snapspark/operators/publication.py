@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ordering as O
 from ..functions import rules as R
 from .aggregates import chain_key, preservation_state
-from .relations import union_all, union_distinct
+from .relations import spread_join, union_all, union_distinct
 
 
 def drop_scope(moment_drops: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -105,39 +105,43 @@ def collection_profiles(details, urls, media, sections, artists, organizations)
     key = "collection_id"
     safe = urls.withColumn("url", R.safe_url(F.col("url")))
     lists = [
-        O.list_parts(safe, key, (("url_id", "asc"),), ["url_id", "url"], "urls"),
-        O.list_parts(media, key, (("role_rank", "asc"), ("role", "asc")), ["role", "object_key"], "media"),
-        O.list_parts(sections, key, (("position", "asc"), ("section_id", "asc")), ["section_id", "name"], "sections"),
-        O.list_parts(artists, key, (("artist_id", "asc"),), ["artist_id", "name"], "artists"),
-        O.list_parts(organizations, key, (("organization_id", "asc"),), ["organization_id"], "organizations"),
+        O.Listed(safe, (("url_id", "asc"),), ["url_id", "url"], "urls"),
+        O.Listed(media, (("role_rank", "asc"), ("role", "asc")), ["role", "object_key"], "media"),
+        O.Listed(sections, (("position", "asc"), ("section_id", "asc")), ["section_id", "name"], "sections"),
+        O.Listed(artists, (("artist_id", "asc"),), ["artist_id", "name"], "artists"),
+        O.Listed(organizations, (("organization_id", "asc"),), ["organization_id"], "organizations"),
     ]
     return O.with_lists(details, key, lists)
 
 
-def moment_summaries(public, counts, previews, moment_drops, pairs) -> DataFrame:
-    """Summary documents of public moments, in parts."""
+def _summary(public, counts, previews, moment_drops, pairs) -> tuple[DataFrame, list[O.Listed]]:
     key = "moment_id"
-    drops = O.list_parts(moment_drops, key, (("drop_id", "asc"),), ["drop_id"], "drops")
-    collections = O.list_parts(pairs, key, (("collection_id", "asc"),), ["collection_id"], "collections")
     preview = previews.select(key, F.col("media_key").alias("preview_key"))
     rows = public.join(counts, key, "left").na.fill(0, ["source_media_count", "media_count"])
-    rows = rows.withColumn("media_state", preservation_state(F.col("source_media_count"), F.col("media_count")))
-    return O.with_lists(rows.join(preview, key, "left"), key, [drops, collections])
+    rows = rows.withColumn("media_state", preservation_state(F.col("source_media_count"), F.col("media_count"))).join(preview, key, "left")
+    drops = O.Listed(moment_drops, (("drop_id", "asc"),), ["drop_id"], "drops")
+    return rows, [drops, O.Listed(pairs, (("collection_id", "asc"),), ["collection_id"], "collections")]
 
 
-def moment_details(summaries, public_media, links, tags, capsule_rows) -> DataFrame:
+def moment_summaries(public, counts, previews, moment_drops, pairs) -> DataFrame:
+    """Summary documents of public moments, in parts."""
+    rows, lists = _summary(public, counts, previews, moment_drops, pairs)
+    return O.with_lists(rows, "moment_id", lists)
+
+
+def moment_details(public, counts, previews, moment_drops, pairs, public_media, links, tags, capsule_rows) -> DataFrame:
     """Detail documents: summaries plus media, links, tags and capsules in order, in parts."""
-    key = "moment_id"
+    rows, lists = _summary(public, counts, previews, moment_drops, pairs)
     media = public_media.where("moment_id is not null").withColumn("kind", R.media_kind(F.col("archive_content_type")))
     media_columns = ["media_key", "kind", "mime_type", "object_key", "byte_length", "duration_ms", "width", "height", "position"]
     safe_links = links.withColumn("url", R.safe_url(F.col("url"), https_only=True))
     sides = [
-        O.list_parts(media, key, (("position", "asc"), ("created_at", "asc"), ("media_key", "asc")), media_columns, "media"),
-        O.list_parts(safe_links, key, (("link_id", "asc"),), ["link_id", "url", "title"], "links"),
-        O.list_parts(tags, key, (("tag_id", "asc"),), ["tag_id", "address", "ens"], "tags"),
-        O.list_parts(capsule_rows, key, (("capsule_id", "asc"),), ["capsule_id", "external_id", "title", "url"], "capsules"),
+        O.Listed(media, (("position", "asc"), ("created_at", "asc"), ("media_key", "asc")), media_columns, "media"),
+        O.Listed(safe_links, (("link_id", "asc"),), ["link_id", "url", "title"], "links"),
+        O.Listed(tags, (("tag_id", "asc"),), ["tag_id", "address", "ens"], "tags"),
+        O.Listed(capsule_rows, (("capsule_id", "asc"),), ["capsule_id", "external_id", "title", "url"], "capsules"),
     ]
-    return O.with_lists(summaries, key, sides)
+    return O.with_lists(rows, "moment_id", [*lists, *sides])
 
 
 def drop_statistics(ids: DataFrame, cards: DataFrame, chains: DataFrame) -> DataFrame:
@@ -179,7 +183,7 @@ def personal_references(tokens, authored, tagged, moment_drops, owned_drops) ->
 def personal_collections(tokens, items, collections, authored, tagged, pairs) -> DataFrame:
     """(owner, collection) pairs a person needs: memberships of held drops, owned, and through moments."""
     held = tokens.select(F.col("owner_address_norm").alias("owner"), "drop_id").distinct()
-    member = held.join(items.select("drop_id", "collection_id").distinct(), "drop_id").select("owner", "collection_id")
+    member = spread_join(held, items.select("drop_id", "collection_id").distinct(), "drop_id").select("owner", "collection_id")
     owned = collections.where("owner_address_norm is not null").select(F.col("owner_address_norm").alias("owner"), "collection_id")
     moments = union_distinct(
         authored.select(F.col("author_address_norm").alias("owner"), "moment_id"),

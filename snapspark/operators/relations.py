@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordering as O
 from ..functions import rules as R
+from ..session import written
 
 LAYER_COLUMNS = ["drop_id", "fancy_id", "title", "start_date", "end_date", "city", "country", "year",
                  "event_url", "image_url", "has_artwork", "token_count", "is_private", "is_hidden"]
@@ -239,3 +240,30 @@ def coverage_partition(referenced: DataFrame, available: DataFrame, unavailable:
 
 def union_all(*frames: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+HEAVY_KEYS = 10_000  # keys that are spread at most; their rows are broadcast
+HEAVY_PAIRS = 1_000_000  # pairs that one task makes of a key
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, pairs: int = HEAVY_PAIRS) -> DataFrame:
+    """An inner join of which the pairs of one key are made by many tasks.
+
+    Rows are counted by key on both sides first. A key with more than `pairs` pairs is heavy and cut into as many slices as it
+    needs: rows of its larger side go to one slice each, those of the smaller side to all of them. The light keys are joined
+    as they lie, so that a side that is stored by the key is not dealt again.
+    """
+    counts = [side.groupBy(on).agg(F.count("*").alias(f"_n{i}")) for i, side in enumerate((left, right))]
+    sizes = counts[0].join(counts[1], on).withColumn("_pairs", F.col("_n0").cast("double") * F.col("_n1"))
+    heavy = sizes.where(F.col("_pairs") > pairs).orderBy(F.desc("_pairs"), on).limit(HEAVY_KEYS)
+    slices = F.least(F.ceil(F.col("_pairs") / pairs), F.greatest("_n0", "_n1")).cast("int")
+    heavy = F.broadcast(written(heavy.select(on, slices.alias("_slices"), (F.col("_n0") >= F.col("_n1")).alias("_left_larger")), "heavy-keys"))
+    light = left.join(heavy, on, "left_anti").join(right.join(heavy, on, "left_anti"), on)
+
+    def dealt(side: DataFrame, spreads: Column) -> DataFrame:
+        own = F.pmod(F.xxhash64(*side.columns), F.col("_slices")).cast("int")
+        slice_of = F.when(spreads, F.array(own)).otherwise(F.sequence(F.lit(0), F.col("_slices") - 1))
+        return side.join(heavy, on).withColumn("_slice", F.explode(slice_of)).drop("_slices", "_left_larger")
+
+    sides = dealt(left, F.col("_left_larger")), dealt(right, ~F.col("_left_larger"))
+    return light.unionByName(sides[0].join(sides[1], [on, "_slice"]).drop("_slice"))

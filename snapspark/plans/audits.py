@@ -76,7 +76,10 @@ FOREIGN_KEYS = [  # child, column, parent, target
     f"""select '{c}.{col}' as name, count({col}) as checked, count(*) filter (where {col} is not null and {col} not in (select {tgt} from ${p})) as missing,
       count(*) filter (where {col} is null) as empty from ${c}""" for c, col, p, tgt in FOREIGN_KEYS))
 def _(a):
-    return J.union_all(*[D.foreign_key(getattr(a, c), col, getattr(a, p), tgt, f"{c}.{col}") for c, col, p, tgt in FOREIGN_KEYS])
+    parents: dict = {}
+    for child, column, parent, target in FOREIGN_KEYS:
+        parents.setdefault((parent, target), {})[f"{child}.{column}"] = (getattr(a, child), column)
+    return J.union_all(*[D.foreign_keys(children, getattr(a, parent), target) for (parent, target), children in parents.items()])
 
 
 @query("d04_section_collections", """

@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from ..domain import CATALOG_SNAPSHOT, HOLDINGS_SNAPSHOT, MEDIA_BASE
 from ..functions import rules as R
 from ..operators import audit as D
+from ..operators import browse as B
 from ..operators import exports as X
 from ..operators import quality as Q
 from ..operators import relations as J
 from ..session import scratch_path
+from ..sources import clustered as K
 from ..sources import layout as S
 from .joins import layers
 from .quality import SQL as QUALITY
@@ -137,8 +139,8 @@ def _(a):
     path = scratch_path(a.spark, "export-csv")
     rows = export_rows(a)
     lines = rows.withColumn("line", X.csv_line(list(X.CSV_COLUMNS))).select("queried_address", "token_id", "source_uid", "line")
-    S.write_csv(lines, CSV_HEADER, path, "queried_address", ["token_id", "source_uid"], int(a.spark.conf.get("spark.sql.shuffle.partitions")))
-    return S.read_csv_lines(a.spark, path, CSV_HEADER)
+    S.write_csv(lines, CSV_HEADER, path, "queried_address", ["token_id", "source_uid"])
+    return S.read_csv_lines(a.spark, path).select("line")
 
 
 @query("s12_json_sink", f"select * from ({EXPORT}) x")
@@ -161,7 +163,40 @@ def _(a):
 def _(a):
     path = scratch_path(a.spark, "collectors")
     S.write_collector_layout(a.tokens, path)
-    return a.spark.read.schema("drop_id bigint, token_id bigint, source_uid string, owner_address_norm string").parquet(path)
+    return K.read_all(a.spark, path)
+
+
+@query("k03_asked_owner_pages", """
+  select owner_address_norm, token_id, source_uid, drop_id, n as page_rank, case when total > 24 then 1 else 0 end as has_next from (
+    select *, row_number() over (partition by owner_address_norm order by token_id desc, source_uid desc) as n,
+      count(*) over (partition by owner_address_norm) as total from $tokens) x
+  where n <= 24 and owner_address_norm in (select owner_address_norm from $collections)""")
+def _(a):
+    path = scratch_path(a.spark, "owners")
+    S.write_owner_layout(a.tokens, path)
+    return B.owner_holdings(K.read_keys(a.spark, path, "owner_address_norm", a.collections.select("owner_address_norm")), per_key=24)
+
+
+@query("k04_asked_drop_pages", """
+  select drop_id, owner_address_norm, token_id, source_uid, minted_on, network, transfer_count, n as page_rank,
+    case when total > 48 then 1 else 0 end as has_next from (
+    select *, row_number() over (partition by drop_id order by token_id desc, source_uid desc, owner_address_norm desc) as n,
+      count(*) over (partition by drop_id) as total from $tokens) x
+  where n <= 48 and drop_id in (select drop_id from $suggested_drops where curation_status = 'approved')""")
+def _(a):
+    path = scratch_path(a.spark, "collectors")
+    S.write_collector_layout(a.tokens, path)
+    asked = a.suggested_drops.where("curation_status = 'approved'").select("drop_id")
+    return B.drop_collectors(K.read_keys(a.spark, path, "drop_id", asked), a.tokens, per_key=48)
+
+
+@query("s14_range_read", """
+  select owner_address_norm, token_id, source_uid from $tokens where owner_address_norm >= '0x' || lpad('20', 40, '0') and owner_address_norm < '0x' || lpad('50', 40, '0')""")
+def _(a):
+    path = scratch_path(a.spark, "owners")
+    S.write_owner_layout(a.tokens, path)
+    bounds = ["0x" + digits.rjust(40, "0") for digits in ("20", "50")]
+    return K.read_between(a.spark, path, "owner_address_norm", *bounds).select("owner_address_norm", "token_id", "source_uid")
 
 
 @query("s14_address_prefixes", """

@@ -142,14 +142,18 @@ def _(a):
         text("organizations", "organization_id").alias("organization_ids"), "featured_on")
 
 
-def summaries(a):
+def _summarised(a):
     public = public_moments(a)
-    return P.moment_summaries(public, media_counts(a), preview_media(a.moment_media), a.moment_drops, pairs(a))
+    return public, media_counts(a), preview_media(a.moment_media), a.moment_drops, pairs(a)
+
+
+def summaries(a):
+    return P.moment_summaries(*_summarised(a))
 
 
 def moment_documents(a):
     capsules = P.capsule_relations(a.capsule_moments, public_capsules(a))
-    return P.moment_details(summaries(a), public_media(a.moment_media), a.moment_links, a.moment_user_tags, capsules)
+    return P.moment_details(*_summarised(a), public_media(a.moment_media), a.moment_links, a.moment_user_tags, capsules)
 
 
 @query("b05_moment_summaries", """

@@ -82,16 +82,17 @@ def _(a):
     later = rows.withColumn("seq", F.lit(2))
     first = rows.withColumn("seq", F.lit(1)).withColumn("reason_code", F.lit("appeal"))
     again = later.unionByName(rows.withColumn("active", F.lit(0)).withColumn("seq", F.lit(0))).unionByName(first)
-    path, schema = _files(again, "suppressions", "seq")
+    path, schema = _files(again, "suppressions", "moment_id")
     out, checkpoint = scratch_path(a.spark, "accepted"), scratch_path(a.spark, "accepted-checkpoint")
-    accepted = L.first_suppressions(_stream(a.spark, path, schema), True, "moment_id", ["seq", "reason_code"], ["reason_code", "seq"])
-    L.write_updates(accepted, out, checkpoint)
-    return L.current(a.spark, out, "moment_id").select("moment_id", "reason_code", "seq")
+    first = L.first_of("moment_id", ["seq", "reason_code"], ["reason_code", "seq"])
+    L.fold_batches(L.accepted_suppressions(_stream(a.spark, path, schema), True), first, out, checkpoint, every=2)
+    return L.folded(a.spark, out, first).select("moment_id", "reason_code", "seq")
 
 
 @query("t05_latest_states", "select media_key, seq, status, sha256 from $capture_log qualify row_number() over (partition by media_key order by seq desc) = 1")
 def _(a):
-    path, schema = _files(a.capture_log, "capture", "seq")
+    path, schema = _files(a.capture_log, "capture", "media_key")
     out, checkpoint = scratch_path(a.spark, "states"), scratch_path(a.spark, "states-checkpoint")
-    L.write_updates(L.latest_states(_stream(a.spark, path, schema), "media_key", "seq", ["status", "sha256"]), out, checkpoint)
-    return L.current(a.spark, out, "media_key")
+    last = L.last_of("media_key", "seq", ["status", "sha256"])
+    L.fold_batches(_stream(a.spark, path, schema), last, out, checkpoint, every=2)
+    return L.folded(a.spark, out, last)

@@ -49,3 +49,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """`df` as a table of the session in the shared folder, dealt into buckets of `keys` once: later joins and groups on
+    these keys need no exchange of it. The table has a name of its own and is for one run."""
+    spark, buckets = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    writer.option("path", scratch_path(spark, name)).saveAsTable(table)
+    return spark.table(table)

@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ordering import positions
 from ..operators.audit import multiset_digest, violation
+from ..operators.browse import COLLECTOR_ORDER, HOLDING_ORDER
+from ..operators.chunking import pack
 from ..schemas import SCHEMAS
+from ..session import written
+from .clustered import write_clustered
 
 SECTION_ROWS = 5_000  # fixed value: most rows of one owner in one exported file
 
@@ -22,12 +27,6 @@ def scan(spark: SparkSession, path: str, columns: list[str], where: Column | str
     return rows if order is None else rows.orderBy(*order)
 
 
-def jdbc_shards(spark: SparkSession, url: str, table: str, column: str, bounds: list[tuple[int, int]], properties: dict[str, str]) -> DataFrame:
-    """A database table read in id ranges (low exclusive, high inclusive), one task per range."""
-    predicates = [f"{column} > {low} AND {column} <= {high}" for low, high in bounds]
-    return spark.read.jdbc(url, table, predicates=predicates, properties=properties)
-
-
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of NDJSON files with a verdict: ok, blank_line, bad_json or not_object."""
     lines = spark.read.text(path).withColumnRenamed("value", "line")
@@ -96,34 +95,41 @@ def write_rejects(rejects: DataFrame, path: str) -> None:
     rejects.write.json(path)
 
 
-def write_csv(lines: DataFrame, header: str, path: str, owner: str, order: list[str], files: int) -> None:
-    """Quoted CSV files with a byte order mark, a header in each file and CRLF line ends.
+def write_csv(lines: DataFrame, header: str, path: str, owner: str, order: list[str], most: int = SECTION_ROWS) -> None:
+    """Quoted CSV files with a byte order mark, a header in each file and CRLF line ends; a file has at most `most` rows.
 
-    `lines` has the owner, the order columns (sorted descending) and the finished `line`. Owners are dealt to
-    `files` files by hash; an owner with more than 5,000 rows is first dealt to as many sections, so that one large
-    owner fills many files.
+    `lines` has the owner, the order columns (sorted descending) and the finished `line`. An owner's rows are cut into
+    sections of `most` by their place in its order, and whole sections are packed into files in the order of owners, so
+    that files one after the other keep the order of all rows.
     """
-    sizes = lines.groupBy(owner).agg(F.ceil(F.count("*") / SECTION_ROWS).alias("_sections"))
-    section = F.pmod(F.xxhash64(*order), F.col("_sections"))
-    dealt = lines.join(sizes, owner).withColumn("file", F.pmod(F.xxhash64(owner, section), F.lit(files))).withColumn("_row", F.lit(1)).drop("_sections")
-    heads = lines.sparkSession.range(files).select(F.col("id").alias("file"), F.lit("﻿" + header).alias("line"), F.lit(0).alias("_row"))
+    newest = [F.col(c).desc() for c in order]
+    placed = positions(lines, owner, newest, "_place").withColumn("_section", F.expr(f"_place div {most}"))
+    sections = placed.groupBy(owner, "_section").agg(F.count("*").alias("_rows")).withColumn("_all", F.lit(0))
+    files = written(pack(sections, "_all", [owner, "_section"], F.col("_rows"), most, name="file").drop("_all", "_rows"), "csv-files")
+    dealt = placed.join(files, [owner, "_section"]).withColumn("_row", F.lit(1))
+    heads = files.select("file").distinct().select("file", F.lit("\ufeff" + header).alias("line"), F.lit(0).alias("_row"))
     stacked = dealt.unionByName(heads, allowMissingColumns=True)
-    keys = ["file", "_row", owner, *[F.col(c).desc() for c in order]]
     # One task writes one file value, so every file starts with its header.
-    stacked.repartition(files, "file").sortWithinPartitions(*keys).select("file", "line").write.option("lineSep", "\r\n").partitionBy("file").text(path)
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = stacked.repartition(parts, "file").sortWithinPartitions("file", "_row", owner, "_place")
+    ordered.select("file", "line").write.option("lineSep", "\r\n").partitionBy("file").text(path)
 
 
-def read_csv_lines(spark: SparkSession, path: str, header: str) -> DataFrame:
-    lines = spark.read.option("lineSep", "\r\n").text(path).select(F.col("value").alias("line"))
-    # The text reader itself drops a byte order mark at the start of a file.
-    return lines.where(~F.col("line").isin("﻿" + header, header))
+def read_csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, file): the data lines as they are written; what the reader leaves out is the first line of each file."""
+    reader = spark.read.schema("line string, file int").option("header", True).option("lineSep", "\r\n")
+    return reader.option("sep", "\u0001").option("quote", "").option("escape", "").option("maxCharsPerColumn", -1).csv(path)
 
 
 def write_collector_layout(tokens: DataFrame, path: str) -> None:
-    """The drop-ordered copy of the tokens: files are ranges of (drop, token), newest first inside a drop."""
+    """The drop-ordered copy of the tokens, newest first inside a drop."""
     copy = tokens.select("drop_id", "token_id", "source_uid", "owner_address_norm")
-    order = [F.col("drop_id").asc(), F.col("token_id").desc(), F.col("source_uid").desc(), F.col("owner_address_norm").desc()]
-    copy.repartitionByRange("drop_id", "token_id").sortWithinPartitions(*order).write.parquet(path)
+    write_clustered(copy, path, "drop_id", COLLECTOR_ORDER)
+
+
+def write_owner_layout(tokens: DataFrame, path: str) -> None:
+    """The owner-ordered copy of the tokens, newest first inside an owner."""
+    write_clustered(tokens.select("owner_address_norm", "token_id", "source_uid", "drop_id"), path, "owner_address_norm", HOLDING_ORDER)
 
 
 def prefix_bounds(prefix: str) -> tuple[str, str | None]:

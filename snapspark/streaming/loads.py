@@ -8,8 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -25,10 +27,11 @@ def _batch_path(path: str, batch: int) -> str:
     return f"{path}/batch_id={batch}"
 
 
-def run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+def run_batches(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None], mode: str = "append") -> StreamingQuery:
     """Run until all files present at the start are read."""
     started = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write).trigger(availableNow=True).start()
     started.awaitTermination()
+    return started
 
 
 def stage_shards(stream: DataFrame, data: str, checkpoint: str) -> None:
@@ -105,12 +108,60 @@ def over_plan(counts: DataFrame, plan: DataFrame, table: str) -> DataFrame:
     return joined.where(bad).select(table, "loaded", "expected_rows")
 
 
-def first_suppressions(stream: DataFrame, ready: bool, key: str, order: list[str], columns: list[str]) -> DataFrame:
-    """Accepted suppressions: active, only for a ready snapshot, the first per id by `order`. The state grows with the ids."""
-    active = stream.where((F.col("active") == 1) & F.lit(ready))
-    return active.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("first")).select(key, "first.*")
+Fold = Callable[[DataFrame], DataFrame]
 
 
-def latest_states(stream: DataFrame, key: str, seq: str, columns: list[str]) -> DataFrame:
-    """Last record per key of an append-only log, as a streaming aggregate."""
-    return stream.groupBy(key).agg(F.max(seq).alias(seq), F.max_by(F.struct(*columns), seq).alias("state")).select(key, seq, "state.*")
+def fold_batches(stream: DataFrame, fold: Fold, path: str, checkpoint: str, every: int = 8) -> StreamingQuery:
+    """A table of one row per key, kept up by a stream that holds no state.
+
+    `fold` sums rows up to one per key and takes its own results again, in any order and more than once. Each batch is
+    folded by itself and written; after every `every` batches all that is written so far is folded into a new base. Ids
+    that never come again so cost nothing but their row in the table.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        fold(batch).write.mode("overwrite").parquet(_batch_path(f"{path}/batches", batch_id))
+        if (batch_id + 1) % every == 0:
+            spark = batch.sparkSession
+            folded(spark, path, fold, batch_id).write.mode("overwrite").parquet(f"{path}/bases/upto={batch_id}")
+            # The base counts from here on.
+            spark.range(1).write.mode("overwrite").parquet(f"{path}/done/upto={batch_id}")
+
+    return run_batches(stream, checkpoint, write)
+
+
+def folded(spark: SparkSession, path: str, fold: Fold, batch_id: int | None = None) -> DataFrame:
+    """One row per key from the last base and the batches behind it; up to a batch, or all."""
+    batches = spark.read.parquet(f"{path}/batches")
+    rows, upto = batches, _last_base(spark, path, batch_id)
+    if batch_id is not None:
+        rows = rows.where(F.col("batch_id") <= batch_id)
+    if upto is not None:
+        rows = rows.where(F.col("batch_id") > upto).drop("batch_id").unionByName(spark.read.parquet(f"{path}/bases/upto={upto}"))
+    return fold(rows)
+
+
+def _last_base(spark: SparkSession, path: str, before: int | None) -> int | None:
+    """The last base; a batch that comes again does not use its own."""
+    try:
+        done = spark.read.parquet(f"{path}/done")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
+            raise
+        return None
+    return done.where(F.lit(True) if before is None else F.col("upto") < before).agg(F.max("upto")).first()[0]
+
+
+def accepted_suppressions(rows: DataFrame, ready: bool) -> DataFrame:
+    """Suppressions that count: active, and only for a ready snapshot."""
+    return rows.where((F.col("active") == 1) & F.lit(ready))
+
+
+def first_of(key: str, order: list[str], columns: list[str]) -> Fold:
+    """The first row per key by `order`; `columns` hold the order."""
+    return lambda rows: rows.groupBy(key).agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("first")).select(key, "first.*")
+
+
+def last_of(key: str, seq: str, columns: list[str]) -> Fold:
+    """The last row per key by `seq`."""
+    return lambda rows: rows.groupBy(key).agg(F.max(seq).alias(seq), F.max_by(F.struct(*columns), seq).alias("state")).select(key, seq, "state.*")

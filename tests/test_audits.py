@@ -39,7 +39,9 @@ def test_digest_ignores_order_and_partitions_but_not_nulls_or_copies(spark, arch
 def test_foreign_key_counts(spark):
     child = spark.createDataFrame([(1,), (1,), (2,), (None,)], "p int")
     parent = spark.createDataFrame([(1,)], "id int")
-    assert tuple(D.foreign_key(child, "p", parent, "id", "x").collect()[0]) == ("x", 3, 1, 1)
+    found = D.foreign_keys({"x": (child, "p"), "y": (child.where("p is not null"), "p"), "none": (child.limit(0), "p")}, parent, "id")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {tuple(r) for r in found.collect()} == {("x", 3, 1, 1), ("y", 3, 1, 0), ("none", 0, 0, 0)}
 
 
 def test_derived_arrays_name_the_collection(spark):

@@ -138,21 +138,23 @@ def test_previous_row_across_blocks(spark):
 
 
 def test_list_parts_keep_a_key_of_any_size_whole(spark):
-    df = frame(spark, "k int, v int", *[(1, i) for i in range(3)], *[(2, i) for i in range(5000)])
-    parts = O.list_parts(df, "k", (("v", "desc"),), ["v"], "vs").collect()
-    assert all(len(r.vs) <= O.LIST_PART for r in parts)
+    df = frame(spark, "k int, v int, w string", *[(1, i, "a") for i in range(3)], *[(2, i, None) for i in range(5000)], (None, 7, "lost"))
+    docs = frame(spark, "k int, title string", (1, "one"), (2, "two"))
+    parts = O.with_lists(docs, "k", [O.Listed(df, (("v", "desc"),), ["v", "w"], "vs"), O.Listed(df.limit(0), (("v", "asc"),), ["v"], "none")]).collect()
+    assert all(len(r.vs) <= O.LIST_PART and not r.none for r in parts)
     whole = {k: [v.v for r in sorted((r for r in parts if r.k == k), key=lambda r: r.part) for v in r.vs] for k in (1, 2)}
-    assert whole == {1: [2, 1, 0], 2: list(range(4999, -1, -1))}
+    assert whole == {1: [2, 1, 0], 2: list(range(4999, -1, -1))} and {r.part for r in parts if r.k == 2} == set(range(5))
 
 
 def test_documents_go_on_in_further_parts(spark):
     docs = frame(spark, "k int, title string", (1, "one"), (2, "two"), (3, "three"))
     tags = frame(spark, "k int, v int", *[(1, i) for i in range(7)], *[(2, i) for i in range(2)], *[(9, i) for i in range(9)])
-    links = frame(spark, "k int, v int", *[(1, i) for i in range(12)])
-    lists = [O.list_parts(t, "k", (("v", "asc"),), ["v"], name, 5) for t, name in ((tags, "tags"), (links, "links"))]
-    got = {(r.k, r.part): (r.title, [v.v for v in r.tags or []], [v.v for v in r.links or []]) for r in O.with_lists(docs, "k", lists).collect()}
+    links = frame(spark, "k int, v string", *[(1, f"l{i:02d}") for i in range(12)])
+    lists = [O.Listed(t, (("v", "asc"),), ["v"], name) for t, name in ((tags, "tags"), (links, "links"))]
+    got = {(r.k, r.part): (r.title, [v.v for v in r.tags or []], [v.v for v in r.links or []]) for r in O.with_lists(docs, "k", lists, 5).collect()}
+    names = [f"l{i:02d}" for i in range(12)]
     assert got == {
-        (1, 0): ("one", [0, 1, 2, 3, 4], [0, 1, 2, 3, 4]), (1, 1): (None, [5, 6], [5, 6, 7, 8, 9]), (1, 2): (None, [], [10, 11]),
+        (1, 0): ("one", [0, 1, 2, 3, 4], names[:5]), (1, 1): (None, [5, 6], names[5:10]), (1, 2): (None, [], names[10:]),
         (2, 0): ("two", [0, 1], []), (3, 0): ("three", [], []),
     }
 
