@@ -16,7 +16,9 @@ end with an end token.
 
 Counts and classes of the words that occur most, up to `KNOWN` of them (34 MB), are broadcast; the others meet theirs in
 joins, once for each distinct word, or pair with such a word, of a document. In the first round all words have their class
-by their item, so nothing is joined. Bigrams themselves are never written: tasks sum them up to cells or pairs of classes.
+by their item, so nothing is joined. A word that occurs once chooses by the classes at its one place, so that wherever it
+stands in a training text its class is worked out on the spot; where all words that are not at hand occur once, training
+texts join nothing. Bigrams themselves are never written: tasks sum them up to cells or pairs of classes.
 Words are 64-bit hashes; cells are gathered by the upper 57 bits, and words that share these choose alike. What the driver
 holds is bounded by the numbers of items, classes and known words.
 """
@@ -274,6 +276,11 @@ class Classes:
     counts: np.ndarray
     of: np.ndarray
     pairs: np.ndarray | None = None  # counts of class bigrams
+    single: np.ndarray | None = None  # class of a word that occurs once, by the first classes before it, behind it and its own
+
+    def lookup(self, model: Model) -> tuple:
+        """What tasks need to find the classes of tokens."""
+        return self.index, self.of, model.frequent, model.of, self.single if self.cut <= 2 else None
 
 
 def first_classes(model):
@@ -310,22 +317,33 @@ def at_hand(table: DataFrame, most: int) -> Classes:
 class _Tokens:
     """Bigrams of whole rows with the places of known words and classes; -1 for others.
 
-    Classes are those of known words, or without an index those of the items.
+    Classes are those of known words, or without an index those of the items. `learnt` tells which rows are training texts:
+    there, if `single` is given, all words that are not known occur once, and their classes follow from their places.
     """
 
-    def __init__(self, hashes: np.ndarray, endings: np.ndarray, bounds: np.ndarray, classes: tuple):
+    def __init__(self, hashes: np.ndarray, endings: np.ndarray, bounds: np.ndarray, classes: tuple, learnt: np.ndarray | None = None):
         n = len(hashes)
-        index, of, frequent, of_items = classes
-        if index is None:
-            place = np.full(n, -1, dtype=np.int64)
-            own = of_items[_items(hashes, endings, frequent)]
-        else:
-            place = index.find(hashes)
-            own = np.where(place >= 0, of[place] if len(of) else -1, -1).astype(np.int64)
+        index, of, frequent, of_items, single = classes
         self.before, self.after, self.row = _bigrams(np.arange(n), bounds, n + 1, n)
         self.hash = np.concatenate([hashes, [END_HASH, np.uint64(0)]]).view(np.int64)
-        self.place = place
-        self.own = np.concatenate([own, [CLASSES - 1, CLASSES - 2]])
+        self.single = np.zeros(n, dtype=bool)
+        outside = [CLASSES - 1, CLASSES - 2]
+        if index is None:
+            self.place = np.full(n, -1, dtype=np.int64)
+            self.own = np.concatenate([of_items[_items(hashes, endings, frequent)], outside])
+            return
+        self.place = index.find(hashes)
+        own = np.where(self.place >= 0, of[self.place] if len(of) else -1, -1).astype(np.int64)
+        if single is not None:
+            self.single = self.place < 0
+            if learnt is not None:
+                self.single &= np.repeat(learnt, np.diff(bounds))
+            at = np.flatnonzero(self.single)
+            first = np.concatenate([of_items[_items(hashes, endings, frequent)], outside])
+            behind, ahead = np.empty(n + 2, dtype=np.int64), np.empty(n + 2, dtype=np.int64)
+            behind[self.before], ahead[self.after] = self.after, self.before
+            own[at] = single[first[ahead[at]], first[behind[at]], first[at]]
+        self.own = np.concatenate([own, outside])
 
 
 CELL_BITS = 7  # side * CLASSES + class
@@ -393,12 +411,26 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(axis=0)).sum() - _xlogx(pairs.sum(axis=1)).sum())
 
 
-def best_classes(near: np.ndarray, n: np.ndarray, own: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+def _best(gain: np.ndarray, own: np.ndarray) -> np.ndarray:
+    best, at = gain[:, : CLASSES - 2].argmax(axis=1), np.arange(len(own))
+    return np.where((own >= CLASSES - 2) | (gain[at, best] <= gain[at, own] + 1e-9), own, best)
+
+
+def single_classes(pairs: np.ndarray) -> np.ndarray:
+    """The best class of a word that occurs once, by the class before it, the class behind it and its own."""
+    forth, each = np.log(smoothed(pairs)), np.log(pairs.sum(axis=0) + 1)
+    gain = (forth[:, None, :] + forth.T[None, :, :] - each).reshape(-1, CLASSES)
+    return np.stack([_best(gain, np.full(len(gain), own)) for own in range(CLASSES)], axis=1).reshape(CLASSES, CLASSES, CLASSES).astype(np.int8)
+
+
+def best_classes(near: np.ndarray, n: np.ndarray, own: np.ndarray, pairs: np.ndarray, single: np.ndarray) -> np.ndarray:
     """Each word's best class under the class bigrams, from the counts of classes behind and before it."""
     forth, each = np.log(smoothed(pairs)), np.log(pairs.sum(axis=0) + 1)
-    gain = near[:, :CLASSES] @ forth.T + near[:, CLASSES:] @ forth - n[:, None] * each
-    best, at = gain[:, : CLASSES - 2].argmax(axis=1), np.arange(len(n))
-    return np.where((own >= CLASSES - 2) | (gain[at, best] <= gain[at, own] + 1e-9), own, best)
+    best = _best(near[:, :CLASSES] @ forth.T + near[:, CLASSES:] @ forth - n[:, None] * each, own)
+    # Words of one place by the table that tasks use on the spot, so that both agree to the last bit.
+    once = np.flatnonzero((n == 1) & (own < CLASSES - 2))
+    best[once] = single[near[once, CLASSES:].argmax(axis=1), near[once, :CLASSES].argmax(axis=1), own[once]]
+    return best
 
 
 def choose(pairs):
@@ -409,9 +441,10 @@ def choose(pairs):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_near, held_words = None, np.zeros((1, 2 * CLASSES)), []
+        single = single_classes(pairs.value)
 
         def chosen(near: np.ndarray, word: np.ndarray, n: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-            best = best_classes(near, n, own, pairs.value)
+            best = best_classes(near, n, own, pairs.value, single)
             columns = [pa.array(word), pa.array(n), pa.array(best.astype(np.int32)), pa.array((best != own).astype(np.int32))]
             return pa.RecordBatch.from_arrays(columns, names=["word", "n", "class", "moved"])
 
@@ -499,7 +532,7 @@ def refine(docs: DataFrame, model: Model, counts: DataFrame, rounds: int = ROUND
     context, known = docs.sparkSession.sparkContext, known or KNOWN
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = counts.mapInArrow(first_classes(context.broadcast((model.frequent, model.of))), "word long, n long, class int")
-    held = context.broadcast((None, None, model.frequent, model.of))
+    held = context.broadcast((None, None, model.frequent, model.of, None))
     found, gained = Classes(table, 0, Index(np.zeros(0, np.uint64)), np.zeros(0, np.int64), np.zeros(0, np.int8), model.pairs), 0.0
     key = F.expr(f"shiftrightunsigned(word, {CELL_BITS})")
     for at in range(rounds):
@@ -516,7 +549,9 @@ def refine(docs: DataFrame, model: Model, counts: DataFrame, rounds: int = ROUND
         if not chosen.agg(F.coalesce(F.sum("moved"), F.lit(0))).first()[0]:
             break
         new = at_hand(chosen.drop("moved"), known)
-        held = context.broadcast((new.index, new.of, model.frequent, model.of))
+        # Only the first round chooses by classes that every task knows.
+        new.single = None if at else single_classes(found.pairs)
+        held = context.broadcast(new.lookup(model))
         new.pairs = class_pairs(docs, new, held)
         gain = likelihood(new.pairs) - likelihood(found.pairs)
         if gain <= 0:
@@ -529,6 +564,7 @@ def refine(docs: DataFrame, model: Model, counts: DataFrame, rounds: int = ROUND
         return found
     first = at_hand(stored(table, "classes"), known)
     first.pairs = model.pairs
+    first.single = np.broadcast_to(np.arange(CLASSES, dtype=np.int8), (CLASSES, CLASSES, CLASSES))
     return first
 
 
@@ -545,20 +581,20 @@ def score_batches(model):
     """A task that scores rows but for their words that are not `known`, which it lists with their numbers, and bigrams with such words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, index, of, counts, steps = model.value
+        m, classes, counts, steps = model.value
         of_endings = m.of[WORDS : WORDS + ENDINGS]
-        classes = (index, of, m.frequent, m.of)
         for batch in batches:
             done: list[list] = [[] for _ in range(4)]
             words, times, sizes = [], [], []
             open_sizes, opened = [], [[] for _ in range(5)]
-            for _, _, bounds, hashes, endings in scan(batch.column("text"), SPACES, word_measures):
+            learnt = ~np.asarray(batch.column("held_out"))
+            for first_row, end_row, bounds, hashes, endings in scan(batch.column("text"), SPACES, word_measures):
                 rows = len(bounds) - 1
                 row = np.repeat(np.arange(rows), np.diff(bounds))
-                t = _Tokens(hashes, endings, bounds, classes)
+                t = _Tokens(hashes, endings, bounds, classes, learnt[first_row:end_row])
                 place = t.place
-                known, count = place >= 0, np.zeros(len(hashes))
-                count[known] = counts[place[known]]
+                known, count = (place >= 0) | t.single, t.single.astype(float)
+                count[place >= 0] = counts[place[place >= 0]]
                 first, second = t.own[t.before], t.own[t.after]
                 closed = (first >= 0) & (second >= 0)
                 own = np.bincount(t.row[closed], weights=steps[first[closed], second[closed]], minlength=rows)
@@ -644,7 +680,7 @@ def score(docs: DataFrame, held_out_fold: int = 1) -> DataFrame:
     model, counts = train(learnt)
     classes = refine(learnt, model, counts)
     steps = steps_between(classes, model)
-    held = docs.sparkSession.sparkContext.broadcast((model, classes.index, classes.of, classes.counts, steps))
+    held = docs.sparkSession.sparkContext.broadcast((model, classes.lookup(model), classes.counts, steps))
     tail = classes.table.where((F.col("n") < classes.cut) & (F.col("word") != int(np.int64(END_HASH))))  # all others are at hand
     scored = stored(rows.mapInArrow(score_batches(held), SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
     words = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
