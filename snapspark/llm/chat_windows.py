@@ -1,9 +1,11 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn tokens give every turn its place in the conversation. A window takes the turns whose place falls
-into its stretch of `budget` tokens, keeps the system turn, repeats the latest turns before it up to `history` tokens,
-and masks what it repeats: each assistant text is a target in just one window. Turns are never cut; a turn longer than
-the budget fills a window of its own.
+Prefix sums of turn tokens give every turn its place in the conversation. A window holds the system turn, the latest turns
+before it up to `history` tokens, and new turns; it masks what it repeats, so that each assistant text is a target in just
+one window. What is left of `budget` for new turns is the conversation's room. A turn above half of the room is a window of
+its own. The others are cut into stretches by their place: with m tokens in the longest of them, the turns that begin in a
+stretch of room - m tokens never hold more than the room. Turns are never cut, and no window is above the budget but that of
+one turn which is itself too long; such a window repeats as much history as still fits, or none.
 
 Windows depend on prefix sums alone, so that a very long conversation is not one task's work: turns are dealt by range
 of (conversation, turn), sums inside a range are joined with the totals of the ranges before it, and windows, bounded
@@ -52,8 +54,13 @@ def tokens(text: Column) -> Column:
     return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"))
 
 
-def placed_turns(turns: DataFrame, count=tokens) -> DataFrame:
-    """conv_id, turn, role, text, tokens, number (1, 2, ...), before (tokens of earlier turns), system (the conversation's first turn, if it is one)."""
+def placed_turns(turns: DataFrame, budget: int, history: int, count=tokens) -> tuple[DataFrame, DataFrame]:
+    """Turns and conversations.
+
+    Turns: conv_id, turn, role, text, tokens, number (1, 2, ...), before (tokens of earlier turns), alone (too long to share a
+    window), longs (turns of that kind before it). Conversations, one row each: conv_id, stretch (tokens a window spans),
+    held (tokens of the system turn, if the first turn is one), system (its text).
+    """
     text = F.coalesce(turns["text"].cast("string"), F.lit(""))
     role = F.coalesce(turns["role"].cast("string"), F.lit(""))
     rows = turns.select(turns["conv_id"].cast("long").alias("conv_id"), turns["turn"].cast("long").alias("turn"), role.alias("role"), text.alias("text"))
@@ -63,40 +70,72 @@ def placed_turns(turns: DataFrame, count=tokens) -> DataFrame:
     ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged = ranged.select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"))
     ranged = stored(ranged, "turns")
+    # One row for each conversation and range.
+    first = F.min_by(F.struct("role", "text", "tokens"), F.struct("part", "place"))
+    firsts = ranged.groupBy("conv_id").agg(first.alias("first"))
+    is_system = F.col("first.role") == "system"
+    held = F.when(is_system, F.col("first.tokens")).otherwise(0)
+    room = F.greatest(F.lit(1), budget - history - held)
+    rooms = stored(firsts.select("conv_id", held.alias("held"), F.when(is_system, F.col("first.text")).alias("system"), room.alias("room")), "rooms")
+    known = rooms.select(F.col("conv_id").alias("conv"), "room")
+    marked = ranged.join(known, ranged["conv_id"].eqNullSafe(F.col("conv"))).drop("conv")
+    marked = stored(marked.withColumn("alone", 2 * F.col("tokens") > F.col("room")).drop("room"), "turns")
     within = Window.partitionBy("part", "conv_id").orderBy("place")
-    inside = ranged.withColumn("number", F.row_number().over(within)).withColumn(
-        "before", F.coalesce(F.sum("tokens").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    )
-    # One row for each range and conversation: earlier ranges' totals are the offsets.
-    earlier = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy("conv_id", "part").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"), F.min_by(F.struct("role", "text"), "place").alias("first"))
-    offsets = totals.select(
-        F.col("conv_id").alias("conv"), F.col("part").alias("range"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("n_before"), F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("sum_before"),
-        F.first("first").over(Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("first"),
+    earlier_rows = within.rowsBetween(Window.unboundedPreceding, -1)
+    longs = F.col("alone").cast("long")
+    inside = marked.withColumn("number", F.row_number().over(within))
+    inside = inside.withColumn("before", F.coalesce(F.sum("tokens").over(earlier_rows), F.lit(0))).withColumn("longs", F.coalesce(F.sum(longs).over(earlier_rows), F.lit(0)))
+    # Earlier ranges' totals are the offsets.
+    earlier = Window.partitionBy("conv").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    most = F.max(F.when(~F.col("alone"), F.col("tokens")))
+    totals = marked.groupBy(F.col("conv_id").alias("conv"), F.col("part").alias("range")).agg(
+        F.count("*").alias("n"), F.sum("tokens").alias("sum"), F.sum(longs).alias("long"), most.alias("most")
     )
+    totals = stored(totals, "turn-totals")
+    before = {name: F.coalesce(F.sum(total).over(earlier), F.lit(0)).alias(name) for name, total in (("n_before", "n"), ("sum_before", "sum"), ("longs_before", "long"))}
+    offsets = totals.select("conv", "range", *before.values())
     joined = inside.join(offsets, inside["conv_id"].eqNullSafe(offsets["conv"]) & (inside["part"] == offsets["range"]))
-    return joined.select(
-        "conv_id", "turn", "role", "text", "tokens",
-        (F.col("number") + F.col("n_before")).alias("number"), (F.col("before") + F.col("sum_before")).alias("before"),
-        F.when(F.col("first.role") == "system", F.col("first.text")).alias("system"),
+    placed = joined.select(
+        "conv_id", "turn", "role", "text", "tokens", (F.col("number") + F.col("n_before")).alias("number"),
+        (F.col("before") + F.col("sum_before")).alias("before"), "alone", (F.col("longs") + F.col("longs_before")).alias("longs"),
     )
+    longest = totals.groupBy("conv").agg(F.coalesce(F.max("most"), F.lit(0)).alias("longest"))
+    spans = rooms.join(longest, rooms["conv_id"].eqNullSafe(F.col("conv")))
+    return placed, spans.select("conv_id", F.greatest(F.lit(1), F.col("room") - F.col("longest")).alias("stretch"), "held", "system")
 
 
-def window_turns(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, count=tokens) -> DataFrame:
-    """Turns with the windows they belong to: (conv_id, window, number, role, text, new, system).
+def window_turns(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, count=tokens) -> tuple[DataFrame, DataFrame]:
+    """Turns with the windows they belong to, (conv_id, window, number, role, text, new), and windows (conv_id, window, system).
 
-    A turn is new in the window of its place. It is repeated in the next one if it starts within `history` tokens of that
-    window's stretch and is itself no longer than that.
+    A window's name orders the windows of a conversation. A turn is new in one window, and repeated in those that begin within
+    `history` tokens behind its own begin; the system turn is not repeated as history.
     """
-    placed = placed_turns(turns, count)
-    window = F.floor(F.col("before") / budget)
-    repeated = ((window + 1) * budget - F.col("before") <= history) & (F.col("tokens") <= history)
-    own = F.struct(window.alias("window"), F.lit(True).alias("new"))
-    again = F.struct((window + 1).alias("window"), F.lit(False).alias("new"))
-    return placed.withColumn("at", F.explode(F.when(repeated, F.array(own, again)).otherwise(F.array(own)))).select(
-        "conv_id", F.col("at.window").alias("window"), "number", "role", "text", F.col("at.new").alias("new"), "system"
+    placed, conversations = placed_turns(turns, budget, history, count)
+    placed, conversations = stored(placed, "placed"), stored(conversations, "conversations")
+    spans = conversations.select(F.col("conv_id").alias("conv"), "stretch", "held", F.col("system").isNotNull().alias("leads"))
+    located = placed.join(spans, placed["conv_id"].eqNullSafe(F.col("conv"))).drop("conv")
+    # A long turn has a name of its own, between the turns of its stretch before it and those behind it.
+    number = F.expr("before div stretch")
+    window = F.struct(number.alias("stretch"), F.col("longs").alias("longs"), F.col("alone").alias("alone"))
+    located = located.withColumn("window", window)
+    windows = located.groupBy("conv_id", "window").agg(
+        F.min("before").alias("begin"), F.sum("tokens").alias("size"), F.max("held").alias("held"), F.min("number").alias("first")
     )
+    # What a window may repeat; the system turn takes its place once more where the window does not have it.
+    system = F.when(F.col("first") > 1, F.col("held")).otherwise(0)
+    spare = F.least(F.lit(history), budget - system - F.col("size"))
+    windows = windows.select(F.col("conv_id").alias("of"), "window", "begin", F.greatest(F.lit(0), spare).cast("long").alias("spare"))
+    bucket = max(1, history)
+    asked = windows.where("spare > 0").withColumn("bucket", F.expr(f"begin div {bucket}"))
+    # Turns that end a window's begin at most `history` tokens behind theirs lie in its bucket or the one before.
+    near = located.where(~(F.col("leads") & (F.col("number") == 1)) & (F.col("tokens") <= history)).drop("window")
+    near = near.withColumn("bucket", F.explode(F.array(F.expr(f"before div {bucket}"), F.expr(f"before div {bucket} + 1"))))
+    again = near.join(asked, near["conv_id"].eqNullSafe(asked["of"]) & (near["bucket"] == asked["bucket"]))
+    distance = F.col("begin") - F.col("before")
+    again = again.where((distance > 0) & (distance <= F.col("spare")))
+    columns = ["conv_id", "window", "number", "role", "text"]
+    every = located.select(*columns, F.lit(True).alias("new")).unionByName(again.select(*columns, F.lit(False).alias("new")))
+    return every, conversations.select("conv_id", "system")
 
 
 def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, count=tokens) -> DataFrame:
@@ -107,15 +146,14 @@ def format_windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTOR
     it stands by itself, is it new. Null roles and texts are empty; ties of turn go by role and text; repeated rows are
     turns like others; rows with a null conv_id form one conversation. Other columns are not read. No turns, no windows.
     """
-    rows = window_turns(turns, budget, history, count)
+    rows, conversations = window_turns(turns, budget, history, count)
     piece = F.struct(
         "number", "new", "role", F.concat(F.lit("<s>["), escape(F.col("role")), F.lit("] ")).alias("head"), escape(F.col("text")).alias("body"),
         F.concat(F.lit(" [/"), escape(F.col("role")), F.lit("]</s>")).alias("tail"),
     )
-    grouped = rows.groupBy("conv_id", "window").agg(
-        F.array_sort(F.collect_list(piece)).alias("turns"), F.first("system").alias("system"), F.bool_or("new").alias("any_new")
-    )
-    grouped = grouped.where("any_new")  # a stretch inside a turn longer than the budget has no window
+    grouped = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(piece)).alias("turns"))
+    leads = conversations.select(F.col("conv_id").alias("of"), "system")
+    grouped = grouped.join(leads, grouped["conv_id"].eqNullSafe(F.col("of")), "left").drop("of")
     # The retained system turn, where the window does not have it already.
     system = F.struct(
         F.lit(1).cast("long").alias("number"), F.lit(False).alias("new"), F.lit("system").alias("role"),

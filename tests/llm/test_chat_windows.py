@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import pytest
+import regex
 
 from snapspark.llm import chat_windows as C
 
@@ -58,6 +59,45 @@ def test_windows_keep_the_system_turn_and_mask_history(spark):
     assert sum(s["new"] for w in windows for s in w["segments"]) == 30
 
 
+def size(text):
+    return len(regex.findall(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]", text)) + C.TURN_TOKENS
+
+
+@pytest.mark.parametrize("budget,history,seed", [(60, 20, 1), (60, 0, 2), (200, 60, 3), (25, 20, 4)])
+def test_no_window_is_above_the_budget_but_for_a_turn_too_long(spark, budget, history, seed):
+    rnd = random.Random(seed)
+    rows = []
+    for conv in range(12):
+        if conv % 3:
+            rows.append((conv, 0, "system", "rule " * rnd.choice([1, 3, 10])))
+        rows += [(conv, t, ("user", "assistant")[t % 2], "w " * rnd.choice([0, 1, 3, 8, 20, 20, 90])) for t in range(1, rnd.randrange(2, 60))]
+    rows += [(50, t, "user", "w " * 4) for t in range(3000)] + [(51, 0, "user", "w " * 100_000), (51, 1, "assistant", "end")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    new, history_seen = {}, 0
+    for w in C.format_windows(table, budget, history).collect():
+        turns = [(role, C.unescape(text)) for role, text in C.TURN.findall(w["text"])]
+        flags = [s["new"] for s in w["segments"]]
+        leads = turns[0][0] == "system"
+        old = [size(t) for (r, t), f in zip(turns, flags) if not f and r != "system"]
+        own = [size(t) for (_, t), f in zip(turns, flags) if f]
+        assert sum(old) <= history and own
+        total = sum(size(t) for _, t in turns)
+        assert total <= budget or len(own) == 1 and not old and total == own[0] + (size(turns[0][1]) if leads and not flags[0] else 0)
+        new.setdefault(w["conv_id"], []).extend(t for (_, t), f in zip(turns, flags) if f)
+        history_seen += len(old)
+    assert bool(history_seen) == bool(history)
+    want = {}
+    for conv, _, _, text in rows:
+        want.setdefault(conv, []).append(text)
+    assert {c: sorted(v) for c, v in new.items()} == {c: sorted(v) for c, v in want.items()}
+
+
+def test_windows_of_short_turns_are_well_filled(spark):
+    table = spark.createDataFrame([(1, t, "user", "w " * 6) for t in range(400)], "conv_id long, turn long, role string, text string")
+    windows = C.format_windows(table, 120, 20).collect()
+    assert len(windows) <= 400 * 10 / 80  # at least four fifths of the room of 100
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert C.digests(C.format_windows(empty)).count() == 0
