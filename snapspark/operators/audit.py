@@ -205,6 +205,18 @@ def shard_reconciliation(captured: DataFrame, final: DataFrame, shard: str) -> D
     return both.where(F.col("captured") != F.col("final"))
 
 
+def retry_list(captured: DataFrame, mismatches: DataFrame, shard: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """What a reset of the mismatched shards leaves, and per shard what is read again: rows taken out and the range of keys.
+
+    A shard that the capture does not have at all is read again whole, without a range.
+    """
+    wrong = mismatches.select(shard)
+    left = captured.join(wrong, shard, "left_anti")
+    spans = captured.groupBy(shard).agg(F.min(key).alias("low"), F.max(key).alias("high"))
+    again = mismatches.join(spans, shard, "left").select(shard, F.col("captured").alias("removed"), "low", "high")
+    return left, again
+
+
 def manifest_consistency(manifest: DataFrame, records: DataFrame) -> DataFrame:
     """(collection, segment, count) claims against (collection, segment, record_id) rows."""
     per_id = records.groupBy("collection_id", "segment", "record_id").agg(F.count("*").alias("n"))

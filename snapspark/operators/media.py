@@ -257,6 +257,27 @@ def recovery_strategies(plan: DataFrame, captured: DataFrame, choices: DataFrame
         F.when(F.size(found) > 0, found).otherwise(F.array(fallback)).alias("strategies"))
 
 
+def strategy_candidates(strategies: DataFrame, gateways: DataFrame, media: DataFrame, hosts: R.MediaHosts) -> DataFrame:
+    """(media_key, kind, rank, gateway_id, source_url, required_sha256): every candidate of every strategy that fetches something.
+
+    A legacy strategy has all legacy gateways of its media, in the order of their ids; the others have one candidate. What is
+    fetched as an original must have the digest that the source gave for the media, if it gave one.
+    """
+    c = F.col
+    rows = strategies.select("media_key", F.explode("strategies").alias("s")).select("media_key", "s.kind", "s.fidelity", "s.gateway_id").where("gateway_id is not null")
+    legacy = c("kind") == "legacy_original"
+    labelled = labelled_gateways(gateways, hosts)
+    own = labelled.where(c("label") == "legacy").select("media_key", "gateway_id", c("url").alias("source_url"))
+    ranked = O.positions(own, "media_key", ["gateway_id"], "rank")
+    many = rows.where(legacy).drop("gateway_id").join(ranked, "media_key")
+    urls = labelled.select("media_key", "gateway_id", c("url").alias("source_url"))
+    one = rows.where(~legacy).join(urls, ["media_key", "gateway_id"], "left").withColumn("rank", F.lit(0).cast("bigint"))
+    hashes = media.select("media_key", c("source_hash").alias("required_sha256"))
+    joined = many.unionByName(one).join(hashes, "media_key", "left")
+    required = F.when(c("fidelity") == "original", c("required_sha256"))
+    return joined.select("media_key", "kind", "rank", "gateway_id", "source_url", required.alias("required_sha256"))
+
+
 def effective_manifest(plan: DataFrame, captured: DataFrame, recovered: DataFrame) -> DataFrame:
     """The final state of every planned media: finished capture, recovered original, other stored capture, missing, as captured."""
     cap = captured.select("media_key", F.struct("status", "object_key", "sha256", "byte_length", "content_type").alias("cap"))

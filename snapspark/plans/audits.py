@@ -344,6 +344,17 @@ def _(a):
     return D.shard_reconciliation(rows, final, "shard")
 
 
+@query("d18_retry_list", """
+  select shard, n as removed, low, high, (select count(*) from $raw_tokens where token_id % 16 not in (select shard from $d18_wrong)) as rows_left from $d18_wrong""", {
+    "d18_wrong": """select c.shard, c.n, c.low, c.high from (select token_id % 16 as shard, count(*) as n, min(token_id) as low, max(token_id) as high from $raw_tokens group by 1) c
+      where exists (select 1 from $raw_tokens r where r.token_id % 16 = c.shard and c.shard in (3, 9) and r.transfer_count = 7)"""})
+def _(a):
+    rows = a.raw_tokens.withColumn("shard", F.col("token_id") % 16)
+    final = rows.where("not (shard in (3, 9) and transfer_count = 7)")
+    left, again = D.retry_list(rows, D.shard_reconciliation(rows, final, "shard"), "shard", "token_id")
+    return again.withColumn("rows_left", left.agg(F.count("*")).scalar())
+
+
 @query("d19_referenced_coverage", """
   select 'captured_plus_missing' as name, (select count(*) from $drops_base where drop_id in (select drop_id from $tokens))
     + (select count(distinct drop_id) from $tokens where drop_id not in (select drop_id from $drops_base)) as left_value,

@@ -151,6 +151,21 @@ def captured_entities(a):
         "collection_urls": as_text(a.collection_urls, {"url_id": "id"}),
         "suggested_drops": as_text(a.suggested_drops, {"suggestion_id": "id"}, suggested_by=null, reviewed_on=null,
                                    curation_status=F.when(c("drop_id").cast("bigint") % 89 == 0, null).otherwise(c("curation_status"))),
+        "collection_item_sections": as_text(a.collection_item_sections, position=F.when(c("position") == "7", null).otherwise(c("position"))),
+        "collection_ui_settings": as_text(
+            a.collection_ui_settings, **{name: null for name in ("primary_color", "highlight_color", "dark_color", "grey_color", "white_color")},
+            is_visible_in_recent_list=F.when(c("collection_id").cast("bigint") % 9 == 1, "maybe").otherwise(c("is_visible_in_recent_list"))),
+        "collection_media": as_text(a.collection_media, byte_length=F.when((c("role") == "banner") & (c("collection_id").cast("bigint") % 3 == 0), "-1").otherwise(c("byte_length"))),
+        "collection_artists": as_text(a.collection_artists, {"artist_id": "id"}, slug=null, created_at=F.when(c("collection_id").cast("bigint") % 6 == 0, "").otherwise("2023-01-01")),
+        "collection_artist_drops": as_text(a.collection_artist_drops, drop_id=F.when(c("drop_id").cast("bigint") % 103 == 0, "0").otherwise(c("drop_id"))),
+        "collection_organizations": as_text(
+            a.collection_organizations, {"organization_id": "id"}, slug=F.lit("org"), created_on=F.lit("2023-01-01"),
+            name=F.when(c("collection_id").cast("bigint") % 7 == 0, null).otherwise(c("name"))),
+        "verified_collections": as_text(a.verified_collections, verified_by=F.when(c("collection_id").cast("bigint") % 3 == 0, "someone").otherwise(c("verified_by"))),
+        "featured_collections": as_text(a.featured_collections, featured_on=F.when(c("collection_id").cast("bigint") % 2 == 0, null).otherwise(c("featured_on"))),
+        "collection_drop_cards": as_text(
+            a.drop_cards, {"drop_id": "id", "title": "name", "is_virtual": "virtual"}, channel=null, platform=null, timezone=null,
+            year=F.when(c("id").cast("bigint") % 71 == 0, "x").otherwise(c("year"))),
         "collection_drop_stats_by_chain": as_text(a.chain_stats, created_on=null, token_count=F.when(c("drop_id").cast("bigint") % 101 == 0, "1.5").otherwise(c("token_count"))),
     }
 
@@ -161,7 +176,17 @@ def captured_entities(a):
   union all select 'collection_items', item_id::varchar, 'collection_items.drop_id' from $collection_items where drop_id % 97 = 0
   union all select 'collection_sections', section_id, 'collection_sections.position' from $collection_sections where position = 2
   union all select 'suggested_drops', suggestion_id::varchar, 'suggested_drops.curation_status' from $suggested_drops where drop_id % 89 = 0
-  union all select 'collection_drop_stats_by_chain', drop_id::varchar, 'collection_drop_stats_by_chain.token_count' from $chain_stats where drop_id % 101 = 0""")
+  union all select 'collection_drop_stats_by_chain', drop_id::varchar, 'collection_drop_stats_by_chain.token_count' from $chain_stats where drop_id % 101 = 0
+  union all select 'collection_item_sections', item_id::varchar, 'collection_item_sections.position' from $collection_item_sections where position = 7
+  union all select 'collection_ui_settings', collection_id::varchar, 'collection_ui_settings.is_visible_in_recent_list' from $collection_ui_settings where collection_id % 9 = 1
+  union all select 'collection_media', collection_id::varchar, 'collection_media.byte_length' from $collection_media where role = 'banner' and collection_id % 3 = 0
+  union all select 'collection_artists', artist_id, 'collection_artists.created_at' from $collection_artists where collection_id % 6 = 0
+  union all select 'collection_artist_drops', artist_id, 'collection_artist_drops.drop_id' from $collection_artist_drops where drop_id % 103 = 0
+  union all select 'collection_organizations', organization_id::varchar, 'collection_organizations.name' from $collection_organizations where collection_id % 7 = 0
+  union all select 'verified_collections', collection_id::varchar, 'verified_collections.verified_by' from $verified_collections where collection_id % 3 = 0
+  union all select 'featured_collections', collection_id::varchar, 'featured_collections.featured_on' from $featured_collections where collection_id % 2 = 0
+  union all select 'collection_drop_cards', drop_id::varchar, 'collection_drop_cards.title' from $drop_cards where title is null
+  union all select 'collection_drop_cards', drop_id::varchar, 'collection_drop_cards.year' from $drop_cards where drop_id % 71 = 0""")
 def _(a):
     parts = []
     for entity, rows in captured_entities(a).items():
@@ -175,7 +200,11 @@ def _(a):
 @query("p16_typed_moments", """
   select 'capsules' as entity, capsule_id::varchar as key, nullif(trim(case when capsule_id % 9 = 0 then '  ' else ' ' || owner end), '') as name,
     case when capsule_id % 9 <> 0 then owner_address_norm end as address, case when capsule_id % 10 = 0 then 'capsules.created_on' else '' end as violations from $capsules
-  union all select 'moments', moment_id::varchar, author, author_address_norm, case when moment_id % 50 = 0 then 'moments.legacy_drop_id' else '' end from $moments""")
+  union all select 'moments', moment_id::varchar, author, author_address_norm, case when moment_id % 50 = 0 then 'moments.legacy_drop_id' else '' end from $moments
+  union all select 'moment_media', media_key, case when doc_id % 15 = 2 then '' else source_status end, null, concat_ws(',', case when doc_id % 15 = 2 then 'moment_media.source_status' end,
+    case when doc_id % 21 = 5 then 'moment_media.byte_length' end) from $moment_media
+  union all select 'moment_links', link_id::varchar, title, null, case when link_id % 12 = 0 then 'moment_links.moment_id' else '' end from $moment_links
+  union all select 'moment_user_tags', tag_id::varchar, case when tag_id % 8 = 0 then null else ens end, address_norm, '' from $moment_user_tags""")
 def _(a):
     c = F.col
     text = lambda name: F.col(name).cast("string")
@@ -183,10 +212,22 @@ def _(a):
                                  "title", "url", F.when(c("capsule_id") % 10 != 0, c("created_on")).alias("created_on"))
     moments = a.moments.select(text("moment_id").alias("id"), "display_id", "author", "description", "cid", c("token_ref").alias("token_id"),
                                F.when(c("moment_id") % 50 == 0, "x1").alias("drop_id"), "created_on", "updated_on", text("updated").alias("updated"))
-    cap = N.typed(capsules, "capsules", N.MOMENT_SPECS["capsules"])
-    mom = N.typed(moments, "moments", N.MOMENT_SPECS["moments"])
-    return cap.select(F.lit("capsules").alias("entity"), c("capsule_id").cast("string").alias("key"), c("owner").alias("name"), c("owner_address_norm").alias("address"), F.array_join("violations", ",").alias("violations")).unionByName(
-        mom.select(F.lit("moments").alias("entity"), c("moment_id").alias("key"), c("author").alias("name"), c("author_address_norm").alias("address"), F.array_join("violations", ",").alias("violations")))
+    media = a.moment_media.select(
+        F.upper("media_key").alias("key"), text("moment_id").alias("moment_id"), "mime_type", c("source_hash").alias("hash"),
+        F.when(c("doc_id") % 15 == 2, "").otherwise(c("source_status")).alias("status"), F.when(c("doc_id") % 21 == 5, "1.5").otherwise(text("byte_length")).alias("byte_length"))
+    links = a.moment_links.select(text("link_id").alias("id"), F.when(c("link_id") % 12 != 0, text("moment_id")).alias("moment_id"), "title", "url")
+    tags = a.moment_user_tags.select(
+        text("tag_id").alias("id"), text("moment_id").alias("moment_id"), F.concat(F.lit(" "), "address").alias("address"),
+        F.when(c("tag_id") % 8 == 0, "  ").otherwise(c("ens")).alias("ens"))
+    shown = {  # entity: rows, key, name, address
+        "capsules": (capsules, "capsule_id", c("owner"), c("owner_address_norm")), "moments": (moments, "moment_id", c("author"), c("author_address_norm")),
+        "moment_media": (media, "media_key", c("source_status"), F.lit(None).cast("string")), "moment_links": (links, "link_id", c("title"), F.lit(None).cast("string")),
+        "moment_user_tags": (tags, "tag_id", c("ens"), c("address_norm")),
+    }
+    return J.union_all(*[
+        N.typed(rows, entity, N.MOMENT_SPECS[entity]).select(
+            F.lit(entity).alias("entity"), c(key).cast("string").alias("key"), name.alias("name"), address.alias("address"), F.array_join("violations", ",").alias("violations"))
+        for entity, (rows, key, name, address) in shown.items()])
 
 
 @query("p17_flat_drops", """

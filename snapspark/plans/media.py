@@ -180,6 +180,17 @@ def _(a):
     return rows.select("media_key", (F.col("position") + 1).alias("position"), "s.*")
 
 
+@query("e08_strategy_candidates", """
+  select s.media_key, s.kind, coalesce(l.rank, 0) as rank, coalesce(l.gateway_id, s.gateway_id) as gateway_id, case when s.kind = 'legacy_original' then l.url else g.url end as source_url,
+    case when s.fidelity = 'original' then m.source_hash end as required_sha256
+  from $strategies s left join (select *, row_number() over (partition by media_key order by gateway_id) - 1 as rank from $labelled where label = 'legacy') l
+      on l.media_key = s.media_key and s.kind = 'legacy_original'
+    left join $labelled g on g.media_key = s.media_key and g.gateway_id = s.gateway_id left join $moment_media m on m.media_key = s.media_key
+  where s.gateway_id is not null""", SQL)
+def _(a):
+    return M.strategy_candidates(recovery(a), a.gateways, a.moment_media, HOSTS)
+
+
 @query("g15_strategy_histogram", """
   select k.kind, count(s.media_key) as n from (values ('retry_primary'), ('multipart_original'), ('hash_alias_original'), ('legacy_original'), ('thumbnail_derivative'),
     ('hls_derivative'), ('public_original_required'), ('private_recovery_required'), ('metadata_only')) k(kind) left join $strategies s on s.kind = k.kind group by k.kind""", SQL)
