@@ -205,6 +205,22 @@ def shard_reconciliation(captured: DataFrame, final: DataFrame, shard: str) -> D
     return both.where(F.col("captured") != F.col("final"))
 
 
+def projection_verdict(name: str, planned: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
+    """(name, planned, loaded, missing, broken, ok): whether a loaded projection holds just the planned keys, each once.
+
+    `broken` are loaded rows that no rule lets through, or that repeat a key.
+    """
+    p = planned.select(key).distinct().withColumn("_p", F.lit(1))
+    counts = loaded.groupBy(key).agg(F.count("*").alias("_n"))
+    both = p.join(counts, key, "full_outer")
+    n, wanted = F.coalesce("_n", F.lit(0)), F.coalesce("_p", F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint")
+    sums = both.agg(
+        total(wanted).alias("planned"), total(n).alias("loaded"), total(F.when((wanted == 1) & (n == 0), 1).otherwise(0)).alias("missing"),
+        total(F.greatest(n - wanted, F.lit(0))).alias("broken"))
+    return sums.select(F.lit(name).alias("name"), "*", R.flag((F.col("missing") == 0) & (F.col("broken") == 0)).alias("ok"))
+
+
 def retry_list(captured: DataFrame, mismatches: DataFrame, shard: str, key: str) -> tuple[DataFrame, DataFrame]:
     """What a reset of the mismatched shards leaves, and per shard what is read again: rows taken out and the range of keys.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ordering as O
 from ..functions import rules as R
 from .relations import union_all
 
@@ -194,3 +195,17 @@ def invalid_counters(tokens: DataFrame) -> DataFrame:
         F.count_if(c("transfer_count").isNull() | (c("transfer_count") < 0)).alias("invalid_transfers"),
         F.count_if(~owner.rlike("^0x[0-9a-f]{40}$")).alias("invalid_owners"),
     )
+
+
+def judge_capture_order(rows: DataFrame, shard: str, seq: str) -> DataFrame:
+    """Rows of a sharded capture that break its order: an identity (id, chain) not above the one before it in the shard, an id
+    at or below the shard's lower bound, or above its upper one. `seq` counts a shard's rows without gaps; a shard of any
+    size is judged in blocks."""
+    here, before = F.struct("id", "chain"), F.struct(F.col("prev_id").alias("id"), F.col("prev_chain").alias("chain"))
+    rules = R.reasons(
+        ("order_invalid", F.col("prev_id").isNotNull() & (here <= before)),
+        ("lower_crossed", F.col("id") <= F.col("lower_exclusive")),
+        ("upper_crossed", F.col("id") > F.col("upper_inclusive")),
+    )
+    chained = O.with_previous(rows, shard, seq, ["id", "chain"])
+    return chained.withColumn("reasons", rules).where(F.size("reasons") > 0).drop("prev_id", "prev_chain")

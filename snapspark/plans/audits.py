@@ -335,6 +335,31 @@ def _(a):
     return J.union_all(*[df.agg(F.count("*").alias("n")).select(F.lit(k).alias("name"), "n") for k, df in frames.items()])
 
 
+# Loaded projections: of moments some are lost and some hidden ones are in, of capsules some are doubled, of a third all is well.
+VERDICT = {
+    **PUB,
+    "loaded_moments": "select moment_id from $public_moments where moment_id % 70 <> 1 union all select moment_id from $moments where moment_id % 90 = 2 and moment_id not in (select moment_id from $public_moments)",
+    "loaded_capsules": "select capsule_id from $public_capsules union all select capsule_id from $public_capsules where capsule_id % 80 = 3",
+}
+
+
+@query("d17_projection_verdict", """
+  select 'moments' as name, (select count(*) from $public_moments) as planned, (select count(*) from $loaded_moments) as loaded,
+    (select count(*) from $public_moments where moment_id % 70 = 1) as missing, (select count(*) from $loaded_moments where moment_id not in (select moment_id from $public_moments)) as broken,
+    case when (select count(*) from $public_moments where moment_id % 70 = 1) = 0 and (select count(*) from $loaded_moments where moment_id not in (select moment_id from $public_moments)) = 0 then 1 else 0 end as ok
+  union all select 'capsules', (select count(*) from $public_capsules), (select count(*) from $loaded_capsules), 0, (select count(*) from $public_capsules where capsule_id % 80 = 3),
+    case when (select count(*) from $public_capsules where capsule_id % 80 = 3) = 0 then 1 else 0 end
+  union all select 'collections', (select count(*) from $collections), (select count(*) from $collections), 0, 0, 1""", VERDICT)
+def _(a):
+    moments, capsules = public_moments(a).select("moment_id"), public_capsules(a).select("capsule_id")
+    hidden = a.moments.where("moment_id % 90 = 2").select("moment_id").join(moments, "moment_id", "left_anti")
+    loaded = moments.where("moment_id % 70 <> 1").unionByName(hidden)
+    doubled = capsules.unionByName(capsules.where("capsule_id % 80 = 3"))
+    return J.union_all(
+        D.projection_verdict("moments", moments, loaded, "moment_id"), D.projection_verdict("capsules", capsules, doubled, "capsule_id"),
+        D.projection_verdict("collections", a.collections, a.collections, "collection_id"))
+
+
 @query("d18_shard_reconciliation", """
   select c.shard, c.n as captured, coalesce(f.n, 0) as final from (select token_id % 16 as shard, count(*) as n from $raw_tokens group by 1) c
   left join (select token_id % 16 as shard, count(*) as n from $raw_tokens where not (token_id % 16 in (3, 9) and transfer_count = 7) group by 1) f on f.shard = c.shard where c.n <> coalesce(f.n, 0)""")

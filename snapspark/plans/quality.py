@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import ordering as O
 from ..operators import aggregates as G
 from ..operators import quality as Q
 from ..operators import relations as J
+from ..sources.layout import id_shard
 from .registry import query
 
 DROP_VERDICT = """
@@ -190,6 +192,32 @@ def _(a):
     return judged.groupBy("reasons").agg(F.count("*").alias("n"), F.sum("id").alias("id_sum"))
 
 
+# Captured identities in five shards of real bounds; in each shard some rows have slipped below it, and some above.
+SHARDED = """
+  select shard, (u * shard) // 5 as lower_exclusive, (u * (shard + 1)) // 5 as upper_inclusive, place, chain,
+    case when place % 500 = 123 then id - 1000000000 when place % 700 = 99 then id + 1000000000 else id end as id
+  from (select *, row_number() over (partition by shard order by id, chain) - 1 as place from (
+    select id, chain, u, (select min(i) from range(0, 5) r(i) where id <= (u * (i + 1)) // 5) as shard from (
+      select l_orderkey + 1 as id, l_returnflag || cast(l_linenumber as varchar) as chain, (select max(l_orderkey) + 1 from $lineitem_) as u from $lineitem_) x) y) z"""
+
+
+@query("a11_capture_order", """
+  select shard, place, id, reasons from (
+    select shard, place, id, concat_ws(',', case when (id, chain) <= (lag(id) over w, lag(chain) over w) then 'order_invalid' end,
+      case when id <= lower_exclusive then 'lower_crossed' end, case when id > upper_inclusive then 'upper_crossed' end) as reasons
+    from $sharded window w as (partition by shard order by place)) x where reasons <> ''""", {"lineitem_": "select l_orderkey, l_returnflag, l_linenumber from lineitem", "sharded": SHARDED})
+def _(a):
+    c = F.col
+    rows = a.lineitem.select((c("l_orderkey") + 1).alias("id"), F.concat("l_returnflag", c("l_linenumber").cast("string")).alias("chain"))
+    top = a.lineitem.agg(F.max(c("l_orderkey") + 1)).scalar()
+    sharded = rows.withColumn("shard", id_shard(c("id"), top, 5))
+    placed = O.positions(sharded, "shard", ["id", "chain"], "place")
+    slipped = F.when(c("place") % 500 == 123, c("id") - 1_000_000_000).when(c("place") % 700 == 99, c("id") + 1_000_000_000).otherwise(c("id"))
+    bound = lambda i: F.floor(i.cast("decimal(38,0)") * top / 5)
+    bounded = placed.withColumn("id", slipped).withColumn("lower_exclusive", bound(c("shard"))).withColumn("upper_inclusive", bound(c("shard") + 1))
+    return codes(Q.judge_capture_order(bounded, "shard", "place"), "shard", "place", "id")
+
+
 @query("a12_invalid_counters", """
   select count(*) as tokens, count(*) filter (where drop_id <= 0) as invalid_drop_ids, count(*) filter (where minted_on is null or minted_on < 0) as invalid_minted_on,
     count(*) filter (where network = '') as invalid_networks, count(*) filter (where transfer_count < 0) as invalid_transfers,
