@@ -203,7 +203,7 @@ SHARDED = """
 
 @query("a11_capture_order", """
   select shard, place, id, reasons from (
-    select shard, place, id, concat_ws(',', case when (id, chain) <= (lag(id) over w, lag(chain) over w) then 'order_invalid' end,
+    select shard, place, id, concat_ws(',', case when lag(id) over w is not null and (id, chain) <= (lag(id) over w, lag(chain) over w) then 'order_invalid' end,
       case when id <= lower_exclusive then 'lower_crossed' end, case when id > upper_inclusive then 'upper_crossed' end) as reasons
     from $sharded window w as (partition by shard order by place)) x where reasons <> ''""", {"lineitem_": "select l_orderkey, l_returnflag, l_linenumber from lineitem", "sharded": SHARDED})
 def _(a):
