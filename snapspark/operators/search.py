@@ -52,14 +52,16 @@ def _write_layer(texts: DataFrame, dead: DataFrame, path: str, layer: int, shard
         writer = rows.write.mode("overwrite")
         (writer.partitionBy(cut) if cut else writer).parquet(f"{path}/{table}/layer={layer}")
 
-    rows = texts.select("doc_id", F.explode(X.tokens(F.col("text"))).alias("token"))
+    # Texts are cut into tokens once; dealing by range would do it again for its sample, and the counts once more.
+    texts = written(texts.select("doc_id", "digest", X.tokens(F.col("text")).alias("tokens")), "index-tokens")
+    rows = texts.select("doc_id", F.explode("tokens").alias("token"))
     ranged = rows.repartitionByRange(shards, "token", "doc_id").sortWithinPartitions("token", "doc_id")
     put(ranged.select("token", "doc_id", F.spark_partition_id().alias("shard")), "postings", "shard")
     posted = _read(spark, path, "postings").where(F.col("layer") == layer)
     # Counts of a token and shard; written by range of the token, so that row groups hold neighbouring tokens.
     counts = posted.groupBy("token", "shard").agg(F.count("*").alias("docs"))
     put(counts.repartitionByRange("token", "shard").sortWithinPartitions("token"), "vocabulary")
-    put(texts.select("doc_id", "digest", F.size(X.tokens(F.col("text"))).alias("tokens")), "documents")
+    put(texts.select("doc_id", "digest", F.size("tokens").alias("tokens")), "documents")
     put(dead.select("doc_id", "gone"), "dead")
     put(spark.range(1).select(F.lit(shards).alias("shards")), "commits")
 
