@@ -147,7 +147,7 @@ def _(a):
 def _(a):
     path = scratch_path(a.spark, "export-json")
     rows = export_rows(a)
-    rows.write.option("ignoreNullFields", "false").json(path)
+    S.write_json(rows, path)
     back = a.spark.read.schema(rows.schema).json(path)
     return back.withColumn("is_private", F.col("is_private").cast("string")).withColumn("is_hidden", F.col("is_hidden").cast("string"))
 
