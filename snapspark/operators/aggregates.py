@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import ordering as O
 from ..functions import rules as R
 from .relations import union_all
 
@@ -117,10 +118,10 @@ def holdings_by_month(tokens: DataFrame, owner: str) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(order))
 
 
-def url_coverage(references: DataFrame) -> DataFrame:
+def url_coverage(references: DataFrame, parts: int | None = None) -> DataFrame:
     """(owner, url, bytes) references -> distinct urls, known bytes and urls of unknown length per owner."""
     known = F.max(F.when(F.col("bytes") > 0, F.col("bytes")))
-    per_url = references.where(R.nonempty(F.col("url"))).groupBy("owner", "url").agg(known.alias("bytes"))
+    per_url = O.dealt(references.where(R.nonempty(F.col("url"))), parts, "owner", "url").groupBy("owner", "url").agg(known.alias("bytes"))
     return per_url.groupBy("owner").agg(
         F.count("*").alias("reference_count"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("known_bytes"),

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from snapspark.functions import ordering as O
+from snapspark.operators import aggregates as G
+from snapspark.operators import exports as X
 from snapspark.operators import publication as P
 from snapspark.operators import relations as J
 from snapspark.session import parts_for
@@ -38,3 +40,18 @@ def test_held_status_is_dealt_as_asked(spark, held):
     status = P.held_drop_status(tokens, known, 31)
     assert "31)" in plan(status) and sorted(map(tuple, status.collect())) == sorted(map(tuple, P.held_drop_status(tokens, known).collect()))
     assert O.dealt(held, 31, "owner").rdd.getNumPartitions() == 31
+
+
+@pytest.fixture
+def references(spark):
+    rows = [(f"o{i % 20}", ("items", "moments")[i % 2], "k", str(i % 90), f"u{i % 45}" if i % 7 else "", i % 11 or None, f"t{i % 2}") for i in range(3000)]
+    return spark.createDataFrame(rows, "owner string, category string, kind string, ref string, url string, bytes bigint, type string")
+
+
+@pytest.mark.parametrize("step", [X.image_reference_rows, X.image_plan, G.url_coverage])
+def test_references_of_a_url_meet_once_in_as_many_partitions_as_asked(references, step):
+    found = step(references, 31)
+    exchanges = [line for line in plan(found).splitlines() if "Exchange hashpartitioning(owner" in line]
+    assert sum("url" in line.split("hashpartitioning")[1].split("]")[0] for line in exchanges) == 1 and "31)" in exchanges[-1]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, step(references).collect()), key=key)
