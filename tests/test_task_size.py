@@ -22,6 +22,14 @@ def test_parts_follow_the_rows(spark):
     assert parts_for(table, rows=500) == 8 and parts_for(table, rows=10) == 100 and parts_for(table, table, rows=10) == 200
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 @pytest.fixture
 def held(spark):
     return spark.createDataFrame([(f"o{i % 50}", i % 70) for i in range(2000)], "owner string, drop_id bigint")
@@ -55,3 +63,29 @@ def test_references_of_a_url_meet_once_in_as_many_partitions_as_asked(references
     assert sum("url" in line.split("hashpartitioning")[1].split("]")[0] for line in exchanges) == 1 and "31)" in exchanges[-1]
     key = lambda r: tuple(map(str, r))
     assert sorted(map(tuple, found.collect()), key=key) == sorted(map(tuple, step(references).collect()), key=key)
+
+
+def personal(spark, held):
+    moments = spark.createDataFrame([(f"o{i % 30}", i) for i in range(200)], "author_address_norm string, moment_id bigint")
+    tagged = moments.select(F.concat("author_address_norm", F.lit("t")).alias("address_norm"), "moment_id")
+    drops = spark.createDataFrame([(i % 200, i % 90) for i in range(600)], "moment_id bigint, drop_id bigint")
+    return held.withColumnRenamed("owner", "owner_address_norm"), moments, tagged, drops, held.where("drop_id > 60")
+
+
+def test_personal_references_are_dealt_as_asked(spark, held):
+    sides = personal(spark, held)
+    found, want = P.personal_references(*sides, 31), P.personal_references(*sides)
+    assert len(re.findall(r"Exchange hashpartitioning\(owner.*drop_id.*, 31\)", plan(found))) == 1
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_associations_need_no_distinct_of_the_pairs(spark, no_broadcast):
+    moments = spark.createDataFrame([(f"o{i % 30}", i % 150) for i in range(400)], "who string, moment_id bigint")
+    drops = spark.createDataFrame([(i % 200, i % 90) for i in range(600)], "moment_id bigint, drop_id bigint")
+    items = spark.createDataFrame([(i % 90, i % 25) for i in range(900)], "drop_id bigint, collection_id bigint")
+    found = P.moment_associations(moments, "who", J.collection_map(drops, items, 31))
+    text, rows = plan(found), sorted(map(tuple, found.collect()))
+    plain = moments.withColumnRenamed("who", "owner").join(drops, "moment_id").join(items, "drop_id").select("owner", "collection_id", "moment_id").distinct()
+    assert rows == sorted(map(tuple, plain.collect())) and len(set(rows)) == len(rows)
+    assert "Aggregate" not in text[: text.index("SortMergeJoin")]
+    assert len(re.findall(r"Exchange hashpartitioning\(moment_id\S*, 31\), REPARTITION", text)) == 1
