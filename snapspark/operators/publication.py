@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import ordering as O
 from ..functions import rules as R
 from .aggregates import chain_key, preservation_state
-from .relations import spread_join, union_all, union_distinct
+from .relations import spread_join, union_all
 
 
 def drop_scope(moment_drops: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -172,25 +172,25 @@ def held_drop_status(tokens: DataFrame, known: DataFrame, parts: int | None = No
 def personal_references(tokens, authored, tagged, moment_drops, owned_drops, parts: int | None = None) -> DataFrame:
     """(owner, drop) pairs a person refers to: held, through authored and tagged moments, through owned collections."""
     held = tokens.select(F.col("owner_address_norm").alias("owner"), "drop_id")
-    moments = union_distinct(
+    moments = O.dealt(union_all(
         authored.select(F.col("author_address_norm").alias("owner"), "moment_id"),
         tagged.select(F.col("address_norm").alias("owner"), "moment_id"),
-    )
+    ), parts, "moment_id").distinct()
     through = moments.join(moment_drops, "moment_id").select("owner", "drop_id")
     return O.dealt(union_all(held, through, owned_drops.select("owner", "drop_id")), parts, "owner", "drop_id").distinct()
 
 
-def personal_collections(tokens, items, collections, authored, tagged, pairs) -> DataFrame:
+def personal_collections(tokens, items, collections, authored, tagged, pairs, parts: int | None = None) -> DataFrame:
     """(owner, collection) pairs a person needs: memberships of held drops, owned, and through moments."""
     held = tokens.select(F.col("owner_address_norm").alias("owner"), "drop_id").distinct()
     member = spread_join(held, items.select("drop_id", "collection_id").distinct(), "drop_id").select("owner", "collection_id")
     owned = collections.where("owner_address_norm is not null").select(F.col("owner_address_norm").alias("owner"), "collection_id")
-    moments = union_distinct(
+    moments = O.dealt(union_all(
         authored.select(F.col("author_address_norm").alias("owner"), "moment_id"),
         tagged.select(F.col("address_norm").alias("owner"), "moment_id"),
-    )
+    ), parts, "moment_id").distinct()
     through = moments.join(pairs, "moment_id").select("owner", "collection_id")
-    return union_distinct(member, owned, through)
+    return O.dealt(union_all(member, owned, through), parts, "owner", "collection_id").distinct()
 
 
 def moment_associations(moments: DataFrame, owner: str, pairs: DataFrame) -> DataFrame:

@@ -259,4 +259,5 @@ def _(a):
 def _(a):
     public = public_moments(a)
     tagged = P.tagged_moments(a.moment_user_tags, public)
-    return P.personal_collections(a.tokens, a.collection_items, a.collections, public, tagged, pairs(a))
+    parts = parts_for(a.lineitem, rows=50_000)  # a token's drop is in a dozen collections and more
+    return P.personal_collections(a.tokens, a.collection_items, a.collections, public, tagged, pairs(a), parts)

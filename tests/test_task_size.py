@@ -89,3 +89,13 @@ def test_associations_need_no_distinct_of_the_pairs(spark, no_broadcast):
     assert rows == sorted(map(tuple, plain.collect())) and len(set(rows)) == len(rows)
     assert "Aggregate" not in text[: text.index("SortMergeJoin")]
     assert len(re.findall(r"Exchange hashpartitioning\(moment_id\S*, 31\), REPARTITION", text)) == 1
+
+
+def test_personal_collections_are_dealt_as_asked(spark, held):
+    tokens, moments, tagged, drops, _ = personal(spark, held)
+    items = spark.createDataFrame([(i % 90, i % 25) for i in range(900)], "drop_id bigint, collection_id bigint")
+    collections = spark.createDataFrame([(i, f"o{i % 5}" if i % 4 else None) for i in range(30)], "collection_id bigint, owner_address_norm string")
+    sides = tokens, items, collections, moments, tagged, J.collection_map(drops, items)
+    found = P.personal_collections(*sides, 31)
+    assert len(re.findall(r"Exchange hashpartitioning\(owner.*collection_id.*, 31\)", plan(found))) == 1
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, P.personal_collections(*sides).collect()))
