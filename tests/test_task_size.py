@@ -10,6 +10,8 @@ from snapspark.operators import aggregates as G
 from snapspark.operators import exports as X
 from snapspark.operators import publication as P
 from snapspark.operators import relations as J
+from snapspark.domain import Archive
+from snapspark.plans import exports
 from snapspark.session import parts_for
 
 
@@ -99,3 +101,10 @@ def test_personal_collections_are_dealt_as_asked(spark, held):
     found = P.personal_collections(*sides, 31)
     assert len(re.findall(r"Exchange hashpartitioning\(owner.*collection_id.*, 31\)", plan(found))) == 1
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, P.personal_collections(*sides).collect()))
+
+
+def test_bundle_links_are_dealt_by_the_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(exports, "parts_for", lambda *tables, rows=0: 31 if rows == 50_000 else 29)
+    text = plan(exports.datasets(Archive(spark, sf)))
+    assert re.search(r"Exchange hashpartitioning\(owner[^)]*collection_id[^)]*, 31\), REPARTITION", text)
+    assert re.search(r"Exchange hashpartitioning\(owner[^)]*drop_id[^)]*, 29\), REPARTITION", text)
