@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import prefixed, stored, text_or_empty
 from .words import SIGNS, scan
@@ -258,18 +259,22 @@ def find(
     added = ("n_words", "n_hit", "item_ids", "spans")
     columns = [c for c in (docs.columns if columns is None else columns) if c.lower() not in added]
     empty = F.array().cast("array<struct<word:long,words:long,start:long,end:long>>")
-    found = docs.select(
-        *[docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(columns)], text_or_empty(docs).alias("searched"),
-        F.lit(0).cast("long").alias("total"), empty.alias("hits"), F.array().cast("array<string>").alias("names"),
-    )
+    carried = [docs[f"`{c}`"].alias(f"c{i}") for i, c in enumerate(columns)]
+    # Texts go to the tasks and back once: a string column `text` that is kept is searched as it is, its nulls as no words.
+    searched = next((f"c{i}" for i, c in enumerate(columns) if c.lower() == "text" and isinstance(docs.select("text").schema[0].dataType, T.StringType)), None)
+    if searched is None:
+        searched = "searched"
+        carried.append(text_or_empty(docs).alias(searched))
+    found = docs.select(*carried, F.lit(0).cast("long").alias("total"), empty.alias("hits"), F.array().cast("array<string>").alias("names"))
+    carried = [c for c in found.columns if c not in ("total", "hits", "names")]
     context = docs.sparkSession.sparkContext
     for number, index in enumerate(blocks(items, n, block_words, piece_words)):
         if number:
             found = stored(found, "hits")
         held = context.broadcast(index)
-        scanned = found.mapInArrow(scan_block(held, "searched"), prefixed(found, FOUND))
+        scanned = found.mapInArrow(scan_block(held, searched), prefixed(found, FOUND))
         found = scanned.select(
-            *[f"c{i}" for i in range(len(columns))], "searched", F.col("n_words").alias("total"),
+            *carried, F.col("n_words").alias("total"),
             F.concat("hits", "spans").alias("hits"), F.array_sort(F.array_union("names", "items")).alias("names"),
         )
     # Stretches of different blocks may touch or overlap: each counts from where the ones before it end.
@@ -294,7 +299,8 @@ def clean(docs: DataFrame, items: DataFrame, n: int = N, most: float = 0.5, **op
 
     Documents without a hit, without words or without text stay as they are.
     """
-    work = docs.select(*[docs[f"`{c}`"].alias(f"d{i}") for i, c in enumerate(docs.columns)], docs["text"].alias("text"))
+    names = ["text" if c.lower() == "text" else f"d{i}" for i, c in enumerate(docs.columns)]
+    work = docs.select(*[docs[f"`{c}`"].alias(name) for c, name in zip(docs.columns, names)])
     found = find(work, items, n, **options)
     kept = found.where(F.col("n_hit") <= most * F.col("n_words"))
     merged = F.aggregate(
@@ -306,4 +312,4 @@ def clean(docs: DataFrame, items: DataFrame, n: int = N, most: float = 0.5, **op
         lambda a: F.concat(a["text"], F.substring(F.col("text").cast("binary"), (a["at"] + 1).cast("int"), F.lit(2147483647))).cast("string"),
     )
     text = F.when(F.col("n_hit") == 0, F.col("text")).otherwise(merged)
-    return kept.select(*[(text if c == "text" else F.col(f"d{i}")).alias(c) for i, c in enumerate(docs.columns)])
+    return kept.select(*[(text if name == "text" else F.col(name)).alias(c) for c, name in zip(docs.columns, names)])

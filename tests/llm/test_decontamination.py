@@ -64,6 +64,17 @@ def test_clean_takes_spans_out_or_drops_the_document(spark):
     assert {r[0] for r in D.clean(table, items, n=4, most=0.0).select("doc_id").collect()} == {3, 4}
 
 
+def test_a_text_goes_to_the_tasks_once(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(D, "prefixed", lambda df, schema, old=D.prefixed: sent.append([f.name for f in df.schema if f.dataType.simpleString() == "string"]) or old(df, schema))
+    items = spark.createDataFrame([(1, "a b c d")], "item_id long, text string")
+    table = spark.createDataFrame([(1, "x a b c d y", "z"), (2, None, None)], "doc_id long, text string, lang string")
+    assert sorted(map(tuple, D.clean(table, items, n=4, most=0.9).collect())) == [(1, "x  y", "z"), (2, None, None)]
+    assert [len(columns) for columns in sent] == [2]  # text and lang
+    binary = table.select("doc_id", table["text"].cast("binary").alias("text"))
+    assert [tuple(r)[2:5] for r in D.find(binary, items, 4).orderBy("doc_id").collect()] == [(6, 4, ["1"]), (0, 0, [])]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.find(docs, items).count() == 0
