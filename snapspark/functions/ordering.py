@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import parts_for, written
 
 Order = Sequence[tuple[str, str]]  # (column, "asc" | "desc")
 
@@ -153,18 +153,30 @@ class Listed(NamedTuple):
     name: str
 
 
-def with_lists(docs: DataFrame, key: str, lists: Sequence[Listed], size: int = LIST_PART) -> DataFrame:
-    """Documents with their lists in numbered parts of at most `size` values, so that a key of any size is whole.
+def _ordered(values: Column, order: Order) -> Column:
+    """An array of structs that begin with the columns of `order`, as `_0`, `_1` and so on, in that order."""
+    ways = {way for _, way in order}
+    if len(ways) == 1:
+        return F.sort_array(values, asc=ways == {"asc"})
 
-    Part 0 has the columns of the document, further parts only its key and more of the lists; a list that a part does not
-    have is NULL or empty. The rows of all lists are stacked and numbered once, over ranges of (key, list, order), so that a
-    long list is spread over many tasks; then one group by (key, part) builds all lists of a part.
-    """
+    def compared(a: Column, b: Column) -> Column:
+        found = F.lit(0)
+        for i, (_, way) in reversed(list(enumerate(order))):
+            x, y, less = a[f"_{i}"], b[f"_{i}"], -1 if way == "asc" else 1
+            found = F.when(x.eqNullSafe(y), found).when(x.isNull() | (x < y), less).otherwise(-less)
+        return found
+
+    return F.array_sort(values, compared)
+
+
+def _long_parts(lists: Sequence[Listed], key: str, size: int) -> DataFrame:
+    """(key, part, lists): the rows of all lists stacked and numbered once, over ranges of (key, list, order), so that a long
+    list is spread over many tasks; then one group by (key, part) builds all lists of a part."""
     stacked = []
     for i, one in enumerate(lists):
         order = [F.col(c).alias(f"_o{i}_{j}") for j, (c, _) in enumerate(one.order)]
         owner = F.struct(F.col(key).alias("key"), F.lit(i).alias("list"))
-        stacked.append(one.rows.where(F.col(key).isNotNull()).select(owner.alias("_owner"), *order, F.struct(*one.columns).alias(f"_s{i}")))
+        stacked.append(one.rows.select(owner.alias("_owner"), *order, F.struct(*one.columns).alias(f"_s{i}")))
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), stacked)
     ways = [F.col(f"_o{i}_{j}").desc() if way == "desc" else F.col(f"_o{i}_{j}") for i, one in enumerate(lists) for j, (_, way) in enumerate(one.order)]
     placed = positions(rows, "_owner", ways, "_n").withColumn("part", F.expr(f"_n div {size}"))
@@ -174,7 +186,41 @@ def with_lists(docs: DataFrame, key: str, lists: Sequence[Listed], size: int = L
         return F.transform(F.array_sort(mine), lambda x: x[f"_s{i}"]).alias(name)
 
     parts = placed.groupBy(F.col("_owner.key").alias(key), "part").agg(*[values(i, one.name) for i, one in enumerate(lists)])
-    parts = written(parts, "list-parts")
-    first = docs.withColumn("part", F.lit(0).cast("bigint")).join(parts, [key, "part"], "left")
-    more = parts.where("part > 0").join(docs.select(key), key, "left_semi")
-    return first.unionByName(more, allowMissingColumns=True)
+    return written(parts, "list-parts")
+
+
+def with_lists(docs: DataFrame, key: str, lists: Sequence[Listed], size: int = LIST_PART) -> DataFrame:
+    """Documents with their lists in numbered parts of at most `size` values, so that a key of any size is whole.
+
+    Part 0 has the columns of the document, further parts only its key and more of the lists; a list that a part does not
+    have is NULL or empty. Each list is written and its values are counted by key. A list of up to `size` values is one
+    group by key; documents and all such lists are dealt by key once, into partitions that follow the rows, and meet there
+    without a further exchange. Only longer lists are numbered over ranges (`_long_parts`).
+    """
+    names = [one.name for one in lists]
+    kept = []
+    for one in lists:
+        columns = dict.fromkeys([key, *(c for c, _ in one.order), *one.columns])
+        kept.append(one._replace(rows=written(one.rows.where(F.col(key).isNotNull()).select(*columns), "list-rows")))
+    counts = [one.rows.groupBy(key).count().where(F.col("count") > size).select(key, F.lit(i).alias("_list")) for i, one in enumerate(kept)]
+    long = written(reduce(DataFrame.unionByName, counts), "long-lists")
+    any_long = not long.isEmpty()
+    parts = parts_for(*[one.rows for one in kept])
+    first = docs.withColumn("part", F.lit(0).cast("bigint")).repartition(parts, key)
+    for i, one in enumerate(kept):
+        rows = one.rows.join(long.where(F.col("_list") == i), key, "left_anti") if any_long else one.rows
+        order = [F.col(c).alias(f"_{j}") for j, (c, _) in enumerate(one.order)]
+        values = F.collect_list(F.struct(*order, F.struct(*one.columns).alias("_s")))
+        short = rows.repartition(parts, key).groupBy(key).agg(F.transform(_ordered(values, one.order), lambda x: x["_s"]).alias(one.name))
+        first = first.join(short, key, "left")
+    first = first.select(key, "part", *[c for c in docs.columns if c != key], *names)
+    if not any_long:
+        return first
+    cut = [one._replace(rows=one.rows.join(long.where(F.col("_list") == i), key, "left_semi")) for i, one in enumerate(kept)]
+    further = _long_parts(cut, key, size)
+    begun = further.where("part = 0").select(key, *[F.col(n).alias(f"_l{i}") for i, n in enumerate(names)])
+    begun = first.join(begun, key, "left")
+    both = [F.when(F.size(f"_l{i}") > 0, F.col(f"_l{i}")).otherwise(F.col(n)).alias(n) for i, n in enumerate(names)]
+    begun = begun.select(*[c for c in first.columns if c not in names], *both)
+    more = further.where("part > 0").join(docs.select(key), key, "left_semi")
+    return begun.unionByName(more, allowMissingColumns=True)

@@ -146,6 +146,26 @@ def test_list_parts_keep_a_key_of_any_size_whole(spark):
     assert whole == {1: [2, 1, 0], 2: list(range(4999, -1, -1))} and {r.part for r in parts if r.k == 2} == set(range(5))
 
 
+def test_short_lists_are_dealt_by_key_once(spark):
+    docs = frame(spark, "k int, title string", *[(i, f"t{i}") for i in range(40)])
+    tags = frame(spark, "k int, v int, w string", *[(i % 50, i // 9, f"w{i}") for i in range(200)], (3, None, "n"))
+    links = frame(spark, "k int, v int", *[(i % 20, i) for i in range(60)])
+    lists = [O.Listed(tags, (("v", "desc"), ("w", "asc")), ["w"], "tags"), O.Listed(links, (("v", "asc"),), ["v"], "links")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = O.with_lists(docs, "k", lists)
+        plan = whole._jdf.queryExecution().executedPlan().toString()
+        rows = whole.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange") == 3  # one for the documents and one for each list
+    assert whole.columns == ["k", "part", "title", "tags", "links"] and len(rows) == 40
+    data = sorted([(i % 50, i // 9, f"w{i}") for i in range(200)], key=lambda r: (-r[1], r[2])) + [(3, None, "n")]
+    assert {r.k: [t.w for t in r.tags] for r in rows} == {k: [w for i, _, w in data if i == k] for k in range(40)}
+    assert {r.k: [x.v for x in r.links or []] for r in rows} == {k: [i for i in range(60) if i % 20 == k] for k in range(40)}
+
+
 def test_documents_go_on_in_further_parts(spark):
     docs = frame(spark, "k int, title string", (1, "one"), (2, "two"), (3, "three"))
     tags = frame(spark, "k int, v int", *[(1, i) for i in range(7)], *[(2, i) for i in range(2)], *[(9, i) for i in range(9)])
