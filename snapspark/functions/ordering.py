@@ -122,10 +122,15 @@ def running_sums(
     return joined.select(*df.columns, *[(F.col(f"_b_{name}") + F.col(f"_o_{name}")).alias(name) for name in sums])
 
 
-def positions(df: DataFrame, group: str, order: list[str], name: str = "position", parts: int | None = None) -> DataFrame:
-    """Zero-based position of every row inside its group: its place from the group's first in the range on, after earlier ranges."""
+def positions(df: DataFrame, group: str, order: list[str], name: str = "position", parts: int | None = None, few: bool = False) -> DataFrame:
+    """Zero-based position of every row inside its group: its place from the group's first in the range on, after earlier ranges.
+
+    With `few` groups, of a fixed number, there are hardly more spans than ranges: they are broadcast and the rows stay where
+    they lie.
+    """
     ranged = ranges(df, group, order, parts)
     shift = spans(ranged).select("_of", "_range", (F.col("_before") - F.col("_first")).alias("_shift"))
+    shift = F.broadcast(shift) if few else shift
     return ranged.join(shift, ["_of", "_range"]).select(*df.columns, (F.col("_place") + F.col("_shift")).alias(name))
 
 

@@ -10,6 +10,7 @@ from ..functions import rules as R
 from ..operators import audit as D
 from ..operators import digests as H
 from ..operators import relations as J
+from ..session import parts_for
 from .aggregates import export_manifest
 from .joins import drop_id_arrays
 from .publication import SQL as PUB
@@ -243,9 +244,10 @@ PAYLOAD = ["token_id", "source_uid", "drop_id", "owner_address_norm"]
 
 
 def placed_tokens(a):
-    """Tokens with their shard and their place in it."""
+    """Tokens with their shard, one for each last digit of an address, and their place in it."""
     path = F.concat(F.lit("tokens-"), F.substring("owner_address_norm", 42, 1))
-    return O.positions(a.tokens.select(path.alias("shard_path"), *PAYLOAD), "shard_path", ["token_id", "source_uid"], "place")
+    rows = a.tokens.select(path.alias("shard_path"), *PAYLOAD)
+    return O.positions(rows, "shard_path", ["token_id", "source_uid"], "place", parts_for(a.lineitem), few=True)
 
 
 def shard_journal(placed, source):

@@ -131,6 +131,21 @@ def test_positions_of_a_hot_group(spark, parts):
     assert got == {(g, k): i for g, ks in by_group.items() for i, k in enumerate(ks)}
 
 
+def test_positions_in_few_groups_leave_the_rows_where_they_lie(spark):
+    df = spark.range(5000).selectExpr("id % 3 as g", "5000 - id as k")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = O.positions(df, "g", ["k"], "p", 7, few=True)
+        plan = placed._jdf.queryExecution().executedPlan().toString()
+        got = {(r.g, r.k): r.p for r in placed.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    groups = {g: sorted(5000 - i for i in range(5000) if i % 3 == g) for g in range(3)}
+    assert got == {(g, k): i for g, ks in groups.items() for i, k in enumerate(ks)}
+
+
 def test_previous_row_across_blocks(spark):
     df = frame(spark, "g int, s bigint, v bigint", *[(0, i, i * 10) for i in range(50)])
     got = {r.s: r.prev_v for r in O.with_previous(df, "g", "s", ["v"], block=7).collect()}
