@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ordering as O
 from ..functions import rules as R
+from ..session import written
 
 DROP_ORDERS: dict[str, O.Order] = {
     "recent": (("start_date", "desc"), ("drop_id", "desc")),
@@ -16,6 +17,9 @@ DROP_ORDERS: dict[str, O.Order] = {
 HOLDING_ORDER: O.Order = (("token_id", "desc"), ("source_uid", "desc"))
 COLLECTOR_ORDER: O.Order = (*HOLDING_ORDER, ("owner_address_norm", "desc"))
 COLLECTION_ORDER: O.Order = (("updated_on", "desc"), ("collection_id", "desc"))
+TOKEN_KEY = ["owner_address_norm", "token_id", "source_uid"]
+TOKEN_DETAILS = ["minted_on", "network", "transfer_count"]
+HOT_DROP = 50_000  # tokens of a drop that may lie in one partition
 ROLE_RANK = {"logo": 1, "banner": 2, "mobile_banner": 3}
 
 
@@ -108,13 +112,46 @@ def redacted_cards(cards: DataFrame, base: str, catalog: str, collections: str)
     )
 
 
-def drop_collectors(refs: DataFrame, tokens: DataFrame, keys: DataFrame | None = None, per_key: int | None = None) -> DataFrame:
-    """Collectors of each drop through the drop-ordered copy of the tokens; a page is cut before the tokens are joined."""
-    on = ["owner_address_norm", "token_id", "source_uid"]
+def drop_collectors(
+    refs: DataFrame, tokens: DataFrame, keys: DataFrame | None = None, per_key: int | None = None, parts: int | None = None
+) -> DataFrame:
+    """Collectors of each drop through the drop-ordered copy of the tokens; a page is cut before the tokens are joined.
+
+    With `parts` (`session.parts_for`), pages and tokens are dealt by drop into as many partitions and meet there, so that a
+    page is not moved a second time; a reference must name the drop of its token. Drops with more than `HOT_DROP` tokens, and
+    rows without a drop, are not dealt so: their pages are cut before an exchange and meet the tokens by the key of the
+    tokens, as all pages do without `parts`.
+    """
     wanted = O.only(refs, keys, "drop_id")
-    if per_key is not None:
-        wanted = O.page_per_key(wanted, "drop_id", COLLECTOR_ORDER, per_key)
-    return wanted.join(tokens.select(*on, "minted_on", "network", "transfer_count"), on)
+    if per_key is None:
+        return _with_tokens(wanted, tokens)
+    if parts is None:
+        return _with_tokens(O.page_per_key(wanted, "drop_id", COLLECTOR_ORDER, per_key), tokens)
+    hot = tokens.groupBy(F.col("drop_id").alias("_hot")).count().where((F.col("count") > HOT_DROP) | F.col("_hot").isNull())
+    hot = written(hot.select("_hot"), "hot-drops")
+    any_hot, is_hot = not hot.isEmpty(), F.col("drop_id").eqNullSafe(F.col("_hot"))
+    calm = [df.join(hot, is_hot, "left_anti") if any_hot else df for df in (wanted, tokens)]
+    dealt_refs, dealt_tokens = (O.dealt(df, parts, "drop_id") for df in calm)
+    found = _with_tokens_there(O.page_per_key(dealt_refs, "drop_id", COLLECTOR_ORDER, per_key), dealt_tokens)
+    if not any_hot:
+        return found
+    hot_refs, hot_tokens = (df.join(hot, is_hot, "left_semi") for df in (wanted, tokens))
+    return found.unionByName(_with_tokens(O.page_per_key(hot_refs, "drop_id", COLLECTOR_ORDER, per_key), hot_tokens))
+
+
+def _with_tokens(refs: DataFrame, tokens: DataFrame) -> DataFrame:
+    return refs.join(tokens.select(*TOKEN_KEY, *TOKEN_DETAILS), TOKEN_KEY)
+
+
+def _with_tokens_there(page: DataFrame, tokens: DataFrame) -> DataFrame:
+    """`_with_tokens` for sides that are dealt by drop. Only the drop is a key of this join, as Spark would deal both sides again
+    by a longer one; a token is compared with the rows of its drop's page."""
+    own = tokens.select(F.col("drop_id").alias("_drop"), *[F.col(c).alias(f"_{c}") for c in TOKEN_KEY], *TOKEN_DETAILS)
+    same = F.lit(True)
+    for c in ("token_id", "source_uid", "owner_address_norm"):
+        same = same & (F.col(f"_{c}") == F.col(c))
+    joined = own.join(page, (F.col("_drop") == F.col("drop_id")) & F.coalesce(same, F.lit(False)))
+    return joined.select(*TOKEN_KEY, *[c for c in page.columns if c not in TOKEN_KEY], *TOKEN_DETAILS)
 
 
 def owner_holdings(tokens: DataFrame, keys: DataFrame | None = None, per_key: int | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from ..functions import ordering as O
 from ..functions import rules as R
 from ..operators import browse as B
 from ..operators.relations import collection_drop_union
+from ..session import parts_for, written
 from .registry import query
 from .sqltext import CARD_KEY_OK, CLASS_SQL, PUBLIC_MEDIA
 
@@ -178,8 +179,9 @@ def _(a):
     select *, row_number() over (partition by drop_id order by token_id desc, source_uid desc, owner_address_norm desc) as n,
       count(*) over (partition by drop_id) as total from $tokens) x where n <= 48""")
 def _(a):
-    refs = a.tokens.select("drop_id", "token_id", "source_uid", "owner_address_norm")
-    return B.drop_collectors(refs, a.tokens, per_key=48)
+    tokens = written(a.tokens, "tokens")  # worked out once for the references and the details
+    refs = tokens.select("drop_id", "token_id", "source_uid", "owner_address_norm")
+    return B.drop_collectors(refs, tokens, per_key=48, parts=parts_for(tokens))
 
 
 @query("k05_collections_page", """

@@ -5,8 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from snapspark.functions import ordering as O
 from snapspark.operators import aggregates as G
+from snapspark.operators import browse as B
 from snapspark.operators import exports as X
 from snapspark.operators import publication as P
 from snapspark.operators import relations as J
@@ -108,3 +110,34 @@ def test_bundle_links_are_dealt_by_the_rows(spark, sf, monkeypatch):
     text = plan(exports.datasets(Archive(spark, sf)))
     assert re.search(r"Exchange hashpartitioning\(owner[^)]*collection_id[^)]*, 31\), REPARTITION", text)
     assert re.search(r"Exchange hashpartitioning\(owner[^)]*drop_id[^)]*, 29\), REPARTITION", text)
+
+
+@pytest.fixture
+def tokens(spark):
+    # Drop 0 has a third of all tokens, one in fifty has no drop, and owners hold several tokens of one drop.
+    rows = [(f"o{i % 25}", i // 2, f"u{i}", None if i % 50 == 7 else 0 if i % 3 == 0 else i % 40, i, f"n{i % 2}", i % 5) for i in range(900)]
+    return spark.createDataFrame(rows, "owner_address_norm string, token_id bigint, source_uid string, drop_id bigint, minted_on bigint, network string, transfer_count bigint")
+
+
+def collectors(tokens, parts=None, keys=None):
+    return B.drop_collectors(tokens.select("drop_id", "token_id", "source_uid", "owner_address_norm"), tokens, keys, 20, parts)
+
+
+@pytest.mark.parametrize("hot", [10**9, 100, 0])
+def test_pages_of_dealt_drops_equal_the_plain_ones(spark, tokens, rows, monkeypatch, hot):
+    monkeypatch.setattr(B, "HOT_DROP", hot)
+    asked = spark.createDataFrame([(0,), (3,), (4,), (99,)], "drop_id bigint")
+    want, found = collectors(tokens), collectors(tokens, 31)
+    assert found.columns == want.columns and rows(found) == rows(want)
+    assert {0, None} < {r.drop_id for r in found.collect()} and found.where("drop_id = 0 and has_next").count() == 20
+    assert rows(collectors(tokens, 31, asked)) == rows(collectors(tokens, keys=asked))
+
+
+def test_a_page_is_not_moved_a_second_time(tokens, no_broadcast):
+    text = plan(collectors(tokens.where("drop_id is not null"), 31))
+    assert len(re.findall(r"Exchange hashpartitioning\(drop_id\S*, 31\), REPARTITION", text)) == text.count("Exchange") == 2
+
+
+def test_tokens_of_a_collectors_page_are_worked_out_once(spark, sf, no_broadcast):
+    text = plan(entry.queries()["k04_drop_collectors_page"](spark, sf))
+    assert "orders.parquet" not in text and "lineitem.parquet" not in text and text.count("Exchange") == 2
