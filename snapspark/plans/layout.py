@@ -9,13 +9,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..domain import CATALOG_SNAPSHOT, HOLDINGS_SNAPSHOT, MEDIA_BASE
+from ..functions import ordering as O
 from ..functions import rules as R
 from ..operators import audit as D
 from ..operators import browse as B
 from ..operators import exports as X
 from ..operators import quality as Q
 from ..operators import relations as J
-from ..session import parts_for, scratch_path
+from ..session import parts_for, scratch_path, written
 from ..sources import clustered as K
 from ..sources import layout as S
 from .joins import layers
@@ -185,9 +186,11 @@ def _(a):
   where n <= 48 and drop_id in (select drop_id from $suggested_drops where curation_status = 'approved')""")
 def _(a):
     path = scratch_path(a.spark, "collectors")
-    S.write_collector_layout(a.tokens, path)
-    asked = a.suggested_drops.where("curation_status = 'approved'").select("drop_id")
-    return B.drop_collectors(K.read_keys(a.spark, path, "drop_id", asked), a.tokens, per_key=48)
+    tokens = written(a.tokens, "tokens")  # worked out once for the copy and the details
+    S.write_collector_layout(tokens, path)
+    asked = written(a.suggested_drops.where("curation_status = 'approved'").select("drop_id").distinct(), "asked-drops")
+    refs = K.read_keys(a.spark, path, "drop_id", asked)
+    return B.drop_collectors(refs, O.only(tokens, asked, "drop_id"), per_key=48, parts=parts_for(tokens))
 
 
 @query("s14_range_read", """
