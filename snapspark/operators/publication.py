@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import ordering as O
 from ..functions import rules as R
+from ..session import bucketed, written
 from .aggregates import chain_key, preservation_state
-from .relations import spread_join, union_all
+from .relations import HEAVY_LISTS, IDS, busy_keys, dealt_ids, drop_collections, id_lists, single_ids, spread_join, union_all
 
 
 def drop_scope(moment_drops: DataFrame, hidden: DataFrame) -> DataFrame:
@@ -181,16 +182,23 @@ def personal_references(tokens, authored, tagged, moment_drops, owned_drops, par
 
 
 def personal_collections(tokens, items, collections, authored, tagged, pairs, parts: int | None = None) -> DataFrame:
-    """(owner, collection) pairs a person needs: memberships of held drops, owned, and through moments."""
-    held = tokens.select(F.col("owner_address_norm").alias("owner"), "drop_id").distinct()
-    member = spread_join(held, items.select("drop_id", "collection_id").distinct(), "drop_id").select("owner", "collection_id")
+    """(owner, collection) pairs a person needs: memberships of held drops, owned, and through moments.
+
+    The lists of collections of drops and moments are joined and dealt by owner as they are; only then are they pairs. `pairs`
+    are distinct.
+    """
+    held = bucketed(tokens.select(F.col("owner_address_norm").alias("owner"), "drop_id"), "held_drops", "drop_id", made=DataFrame.distinct)
+    member = spread_join(held, drop_collections(items), "drop_id", HEAVY_LISTS)
     owned = collections.where("owner_address_norm is not null").select(F.col("owner_address_norm").alias("owner"), "collection_id")
-    moments = O.dealt(union_all(
+    moments = written(union_all(
         authored.select(F.col("author_address_norm").alias("owner"), "moment_id"),
         tagged.select(F.col("address_norm").alias("owner"), "moment_id"),
-    ), parts, "moment_id").distinct()
-    through = moments.join(pairs, "moment_id").select("owner", "collection_id")
-    return O.dealt(union_all(member, owned, through), parts, "owner", "collection_id").distinct()
+    ), "owner-moments")
+    # A stored copy of a few MB may hold millions of rows: by its size on disk it would be broadcast.
+    through = moments.hint("merge").join(id_lists(pairs, "moment_id", "collection_id"), "moment_id")
+    lists = union_all(*[df.select("owner", *IDS) for df in (member, through)], single_ids(owned, "owner", "collection_id"))
+    links = dealt_ids(lists, "owner", "collection_id", busy_keys("owner", held, moments, owned), parts)
+    return links.distinct().select("owner", "collection_id")
 
 
 def moment_associations(moments: DataFrame, owner: str, pairs: DataFrame) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import ordering as O
 from ..functions import rules as R
-from ..session import written
+from ..session import bucketed, written
 
 LAYER_COLUMNS = ["drop_id", "fancy_id", "title", "start_date", "end_date", "city", "country", "year",
                  "event_url", "image_url", "has_artwork", "token_count", "is_private", "is_hidden"]
@@ -173,9 +174,16 @@ def item_sections(items: DataFrame, links: DataFrame, sections: DataFrame) -> Da
 
 
 def collection_map(moment_drops: DataFrame, items: DataFrame, parts: int | None = None) -> DataFrame:
-    """Distinct (moment, collection) pairs through shared drops; with `parts`, dealt by moment into so many partitions."""
-    pairs = items.select("drop_id", "collection_id").distinct()
-    return O.dealt(moment_drops.join(pairs, "drop_id").select("moment_id", "collection_id"), parts, "moment_id").distinct()
+    """Distinct (moment, collection) pairs through shared drops; with `parts`, dealt by moment into so many partitions.
+
+    What is dealt are the drops' lists of collections, as the pairs are many more.
+    """
+    if parts is None:
+        pairs = items.select("drop_id", "collection_id").distinct()
+        return moment_drops.join(pairs, "drop_id").select("moment_id", "collection_id").distinct()
+    lists = id_lists(items.select("drop_id", "collection_id").repartition("drop_id").distinct(), "drop_id", "collection_id")
+    linked = moment_drops.join(lists, "drop_id").select("moment_id", *IDS)
+    return O.dealt(linked, parts, "moment_id").select("moment_id", listed_ids("collection_id")).distinct()
 
 
 def collection_map_counts(moment_drops: DataFrame, collections: DataFrame, items: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -268,3 +276,63 @@ def spread_join(left: DataFrame, right: DataFrame, on: str, pairs: int = HEAVY_P
 
     sides = dealt(left, F.col("_left_larger")), dealt(right, ~F.col("_left_larger"))
     return light.unionByName(sides[0].join(sides[1], [on, "_slice"]).drop("_slice"))
+
+
+LIST_IDS = 100  # ids in one row of a list
+IDS = ["_near", "_far"]  # a list of ids: of four bytes each, or in full where one does not fit into them
+BUSY_ROWS = 100_000  # rows of one key that a task should meet
+HEAVY_LISTS = 100_000  # pairs with a list that one task makes of a key
+
+
+def _packed(ids: Column) -> list[Column]:
+    lost = F.exists(ids, lambda x: x.isNotNull() & x.try_cast("int").isNull())
+    return [F.when(~lost, F.transform(ids, lambda x: x.try_cast("int"))).alias(IDS[0]), F.when(lost, ids).alias(IDS[1])]
+
+
+def id_lists(pairs: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, list): the values of distinct pairs in lists of at most `LIST_IDS`.
+
+    A join that repeats the values of a key for each row of another table moves a row for each list then, not for each value.
+    """
+    place = F.row_number().over(W.partitionBy(key).orderBy(value)) - 1
+    placed = pairs.select(key, F.col(value).cast("bigint").alias("_id"), F.floor(place / LIST_IDS).alias("_list"))
+    lists = placed.groupBy(key, "_list").agg(F.collect_list(F.struct("_id")).alias("_ids"))  # as structs, NULL stays
+    return lists.select(key, *_packed(F.transform("_ids", lambda x: x["_id"])))
+
+
+def drop_collections(items: DataFrame) -> DataFrame:
+    """(drop_id, list): the collections of each drop, in buckets of the drop."""
+    return bucketed(items.select("drop_id", "collection_id"), "drop_collections", "drop_id", made=lambda rows: id_lists(rows.distinct(), "drop_id", "collection_id"))
+
+
+def single_ids(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, list): each row's value as a list of its own."""
+    return rows.select(key, *_packed(F.array(F.col(value).cast("bigint"))))
+
+
+def listed_ids(name: str) -> Column:
+    """The ids of a list, one row each."""
+    return F.explode(F.coalesce(F.col(IDS[1]), F.col(IDS[0]).cast("array<bigint>"))).alias(name)
+
+
+def busy_keys(key: str, *tables: DataFrame, rows: int = BUSY_ROWS) -> DataFrame:
+    """(key, _slices): keys with more than `rows` rows in all tables, and the slices that their rows with lists are cut into."""
+    counts = union_all(*[df.select(key) for df in tables]).groupBy(key).agg(F.count("*").alias("_n"))
+    busy = counts.where(F.col("_n") > rows).orderBy(F.desc("_n"), key).limit(HEAVY_KEYS)
+    return F.broadcast(written(busy.select(key, F.ceil(F.col("_n") / rows).cast("int").alias("_slices")), "busy-keys"))
+
+
+def dealt_ids(lists: DataFrame, key: str, value: str, busy: DataFrame, parts: int | None) -> DataFrame:
+    """(key, other columns, value, <value>_slice): the ids of lists, dealt by (key, slice) while they are still lists.
+
+    All lists of a key go to one partition, those of a busy key are taken apart first and go to the slices of their ids. Equal
+    (key, value) are in one slice, so a group by (key, slice, value) needs no other exchange.
+    """
+    part, others = f"{value}_slice", [c for c in lists.columns if c not in (key, *IDS)]
+    near, far = (F.col(c) for c in IDS)
+    ids = F.coalesce(far, near.cast("array<bigint>"))
+    whole = F.array(F.struct(F.lit(0).alias(part), near.alias(IDS[0]), far.alias(IDS[1])))
+    apart = F.transform(ids, lambda x: F.struct(
+        F.pmod(F.xxhash64(x), F.col("_slices")).cast("int").alias(part), F.lit(None).cast("array<int>").alias(IDS[0]), F.array(x).alias(IDS[1])))
+    cut = lists.join(busy, key, "left").select(key, *others, F.inline(F.when(F.col("_slices").isNull(), whole).otherwise(apart)))
+    return O.dealt(cut, parts, key, part).select(key, *others, part, listed_ids(value))

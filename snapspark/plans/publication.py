@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import browse as B
 from ..operators import publication as P
 from ..operators import relations as J
-from ..session import parts_for
+from ..session import parts_for, written
 from .aggregates import media_counts
 from .browse import preview_media, public_media
 from .joins import details, layers
@@ -42,8 +42,9 @@ def public_capsules(a):
     return P.public_capsules(a.capsules, a.capsule_visibility, a.capsule_suppressions)
 
 
-def pairs(a):
-    return J.collection_map(a.moment_drops, a.collection_items, parts_for(a.events, rows=50_000))  # a moment has a dozen collections and more
+def pairs(a, items=None):
+    items = a.collection_items if items is None else items
+    return J.collection_map(a.moment_drops, items, parts_for(a.events, rows=50_000))  # a moment has a dozen collections and more
 
 
 @query("j06_public_moments", "select moment_id, author_address_norm, created_on from $public_moments", SQL)
@@ -260,4 +261,5 @@ def _(a):
     public = public_moments(a)
     tagged = P.tagged_moments(a.moment_user_tags, public)
     parts = parts_for(a.lineitem, rows=50_000)  # a token's drop is in a dozen collections and more
-    return P.personal_collections(a.tokens, a.collection_items, a.collections, public, tagged, pairs(a), parts)
+    items = written(a.collection_items.select("drop_id", "collection_id"), "items")
+    return P.personal_collections(a.tokens, items, a.collections, public, tagged, pairs(a, items), parts)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,11 +62,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, *keys: str, made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """`df` as a table of the session in the shared folder, dealt into buckets of `keys` once: later joins and groups on
-    these keys need no exchange of it. The table has a name of its own and is for one run."""
+    these keys need no exchange of it. The table has a name of its own and is for one run. `made` is a step on the dealt
+    rows that keeps them by `keys`, such as a DISTINCT, which then needs no exchange of its own."""
     spark, buckets = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     table = f"{name}_{uuid.uuid4().hex}"
-    writer = df.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+    rows = df.repartition(buckets, *keys)
+    writer = (made(rows) if made else rows).write.bucketBy(buckets, *keys).sortBy(*keys)
     writer.option("path", scratch_path(spark, name)).saveAsTable(table)
     return spark.table(table)
