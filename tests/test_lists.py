@@ -5,8 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from snapspark.domain import Archive
 from snapspark.operators import publication as P
 from snapspark.operators import relations as J
+from snapspark.plans import exports
 from snapspark.session import bucketed
 
 BIG = 1 << 40
@@ -96,3 +98,12 @@ def test_a_busy_owner_is_taken_apart(spark, tokens, items):
     by = {r.owner: (r.slices, r.parts) for r in at.groupBy("owner").agg(F.count_distinct("collection_id_slice").alias("slices"), F.count_distinct("p").alias("parts")).collect()}
     assert by["o0"][0] == 5 and by["o0"][1] > 1 and {v for k, v in by.items() if k != "o0"} == {(1, 1)}
     assert dealt.groupBy("owner", "collection_id").agg(F.count_distinct("collection_id_slice").alias("n")).agg(F.max("n")).first()[0] == 1
+
+
+def test_bundle_links_are_dealt_as_lists(spark, sf, no_broadcast):
+    text = plan(exports.datasets(Archive(spark, sf)))
+    assert len(re.findall(r"Exchange hashpartitioning\(owner#\d+, collection_id_slice#\d+, \d+\), REPARTITION", text)) == 1
+    assert not re.search(r"Exchange hashpartitioning\(owner#\d+, collection_id#", text)
+    # Relations of bundles are read as they were written: moments with two columns, each pair of collection and drop once.
+    assert "description" not in text and "events.parquet" in text
+    assert "Window" not in text and text.count("HashAggregate(keys=[l_suppkey") == 0
